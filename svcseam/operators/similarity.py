@@ -13,8 +13,8 @@ all-pairs similarity-search literature):
    ‖y_{≥j}‖ ≥ t, so it lies in both *prefixes* — the tokens whose suffix
    norm is still ≥ t. Joining prefixes on the token therefore finds every
    pair with similarity ≥ t; prefixes are short when t is high.
-3. **Score** candidates exactly (dot product of the two sparse vectors,
-   in-row), union the seeds, keep the top k by (similarity desc, a, b).
+3. **Score** candidates exactly (dot product of the two sparse vectors by
+   a join on the shared tokens), union the seeds, keep the top k by (similarity desc, a, b).
 4. **Pad.** If a project has fewer than k pairs with positive similarity, the
    remaining slots are zero-similarity pairs in name order, which only involve
    the first 2k documents by name.
@@ -28,26 +28,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..session import cut_lineage
 
 KEY = ["project_id"]
 SIM_DECIMALS = 9
 EPS = 1e-12
 
 
-def _doc_vectors(vecs: DataFrame, doc: str) -> DataFrame:
-    return vecs.groupBy(*KEY, doc).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("v"))
-
-
-def _dot(va, vb):
-    return F.aggregate(F.map_entries(va), F.lit(0.0),
-                       lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(vb, e["key"]), F.lit(0.0)))
-
-
-def _score(pairs: DataFrame, dv: DataFrame, doc: str) -> DataFrame:
-    a = dv.select(*KEY, F.col(doc).alias("a"), F.col("v").alias("va"))
-    b = dv.select(*KEY, F.col(doc).alias("b"), F.col("v").alias("vb"))
-    return (pairs.join(a, [*KEY, "a"]).join(b, [*KEY, "b"])
-            .select(*KEY, "a", "b", F.round(_dot(F.col("va"), F.col("vb")), SIM_DECIMALS).alias("similarity")))
+def _score(pairs: DataFrame, v: DataFrame, doc: str) -> DataFrame:
+    """Exact dot products of candidate pairs: each pair meets the tokens of its
+    first document, then the second document's weight for the same token."""
+    va = v.select(*KEY, F.col(doc).alias("a"), "token", F.col("value").alias("va"))
+    vb = v.select(*KEY, F.col(doc).alias("b"), "token", F.col("value").alias("vb"))
+    return (pairs.join(va, [*KEY, "a"]).join(vb, [*KEY, "b", "token"])
+            .groupBy(*KEY, "a", "b").agg(F.round(F.sum(F.col("va") * F.col("vb")), SIM_DECIMALS).alias("similarity")))
 
 
 def _ordered_pair(x, y):
@@ -59,16 +53,18 @@ def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_P
     """``vecs``: long unit vectors ``(project_id, <doc>, token, value)`` with
     value > 0 (e.g. from ``features.tfidf``). Output:
     ``(project_id, class_a, class_b, similarity, rank)`` with class_a < class_b."""
-    v = vecs.select(*KEY, doc, "token", "value").filter(F.col("value") > 0)
-    dv = _doc_vectors(v, doc)
+    # The vectors feed six consumers: write them once to the shared
+    # checkpoint folder instead of recomputing their lineage each time.
+    v = cut_lineage(vecs.select(*KEY, doc, "token", "value").filter(F.col("value") > 0))
 
-    # 1. seeds: neighbours by weight inside salted posting lists
-    salt = F.pmod(F.xxhash64(F.col(doc)), F.lit(salt_buckets))
+    # 1. seeds: neighbours by weight inside posting lists, split into salt
+    #    buckets by weight so copies (equal weights) stay neighbours
+    salt = F.pmod(F.xxhash64(F.floor(F.col("value") * F.lit(4096))), F.lit(salt_buckets))
     ws = Window.partitionBy(*KEY, "token", "_salt").orderBy(F.col("value").desc(), F.col(doc))
     seeds = (v.withColumn("_salt", salt).withColumn("_next", F.lead(doc).over(ws))
              .filter(F.col("_next").isNotNull())
              .select(*KEY, *_ordered_pair(F.col(doc), F.col("_next"))).distinct())
-    seed_scores = _score(seeds, dv, doc)
+    seed_scores = _score(seeds, v, doc)
     wk = Window.partitionBy(*KEY).orderBy(F.col("similarity").desc(), "a", "b")
     thr = (seed_scores.filter(F.col("similarity") > 0).withColumn("_r", F.row_number().over(wk))
            .filter(F.col("_r") <= k)
@@ -88,11 +84,11 @@ def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_P
     p2 = pref.select(*KEY, "token", F.col(doc).alias("y"))
     cands = (p1.join(p2, [*KEY, "token"]).filter(F.col("x") < F.col("y"))
              .select(*KEY, F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    scored = _score(cands.unionByName(seeds).distinct(), dv, doc).filter(F.col("similarity") > 0)
+    scored = _score(cands.unionByName(seeds).distinct(), v, doc).filter(F.col("similarity") > 0)
 
     # 4. zero-similarity padding among the first 2k documents by name
     wn = Window.partitionBy(*KEY).orderBy(doc)
-    first = dv.select(*KEY, doc).withColumn("_r", F.row_number().over(wn)).filter(F.col("_r") <= 2 * k)
+    first = v.select(*KEY, doc).distinct().withColumn("_r", F.row_number().over(wn)).filter(F.col("_r") <= 2 * k)
     f1 = first.select(*KEY, F.col(doc).alias("a"))
     f2 = first.select(*KEY, F.col(doc).alias("b"))
     pad = (f1.join(f2, KEY).filter(F.col("a") < F.col("b"))

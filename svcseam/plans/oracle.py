@@ -249,12 +249,12 @@ zs AS (
   FROM matrix WINDOW w AS (PARTITION BY project_id)),
 camel AS (
   SELECT project_id, class_name,
-         CASE WHEN len(kept) > 0 THEN array_to_string(list_transform(kept, x -> lower(x)), ' ')
+         CASE WHEN len(kept) > 0 THEN array_to_string(list_transform(kept, lambda x: lower(x)), ' ')
               ELSE lower(class_name) END AS tokens
   FROM (SELECT project_id, class_name,
                list_filter(list_filter(regexp_split_to_array(
                    regexp_replace(regexp_replace(class_name, '([A-Z][a-z]+)', ' \\1', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'),
-                   '\\s+'), x -> x <> ''), x -> NOT list_contains({_CAMEL_STOP}, x)) AS kept
+                   '\\s+'), lambda x: x <> ''), lambda x: NOT list_contains({_CAMEL_STOP}, x)) AS kept
         FROM classes)),
 tok AS (SELECT project_id, class_name, unnest(regexp_extract_all(lower(tokens), '\\b\\w\\w+\\b', 0)) AS token FROM camel),
 tf AS (SELECT project_id, class_name, token, count(*) AS tf FROM tok GROUP BY ALL),
