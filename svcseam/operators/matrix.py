@@ -20,6 +20,14 @@ def substrings(s: Column) -> Column:
         lambda i: F.transform(F.sequence(i, F.greatest(n, i)), lambda j: F.substring(s, i, j - i + 1)))))
 
 
+def substrings_of_lengths(s: Column, lengths: Column) -> Column:
+    """Substrings of ``s`` whose length is in ``lengths`` (an int array)."""
+    n = F.length(s)
+    ok = F.filter(lengths, lambda L: L <= n)
+    return F.flatten(F.transform(ok, lambda L: F.transform(F.sequence(F.lit(1), n - L + 1),
+                                                           lambda i: F.substring(s, i, L))))
+
+
 def related_table(classes: DataFrame, tbls: DataFrame, removals=rules.TABLE_STEM_REMOVALS) -> DataFrame:
     """A class's table is one whose name contains the class stem or is
     contained in it; ties go to the shortest name, then alphabetical (K12).
@@ -31,9 +39,10 @@ def related_table(classes: DataFrame, tbls: DataFrame, removals=rules.TABLE_STEM
     (first table by the tie rule)."""
     c = classes.select(*KEY, "class_name", TX.table_stem(F.col("class_name"), removals).alias("stem"))
     t = tbls.select(*KEY, "table_name").distinct()
-    # t ⊆ stem
-    a = (c.filter(F.col("stem") != "")
-         .select(*KEY, "class_name", F.explode(substrings(F.col("stem"))).alias("table_name"))
+    # t ⊆ stem: only substrings as long as some table name of the project
+    lens = t.groupBy(*KEY).agg(F.array_distinct(F.collect_list(F.length("table_name"))).alias("_lens"))
+    a = (c.filter(F.col("stem") != "").join(lens, KEY, "inner")
+         .select(*KEY, "class_name", F.explode(substrings_of_lengths(F.col("stem"), F.col("_lens"))).alias("table_name"))
          .join(t, [*KEY, "table_name"], "inner"))
     # stem ⊆ t
     ts = t.select(*KEY, "table_name", F.explode(substrings(F.col("table_name"))).alias("stem"))
@@ -108,7 +117,10 @@ def matrix_by_domain(matrix: DataFrame) -> DataFrame:
 
 
 def classes_by_domain(matrix: DataFrame) -> DataFrame:
-    """Classes per upper-cased domain."""
-    m = classify(matrix)
-    return (m.groupBy(*KEY, F.upper("domain").alias("domain"))
-            .agg(F.sort_array(F.collect_list("class_name")).alias("classes"), F.count("*").alias("n_classes")))
+    """The classes of each upper-cased domain, long form (one row per
+    class, with the domain's class count). No per-domain list is built, so a
+    huge domain never becomes one value; order by (domain, class_name) at the
+    sink — a range-partitioned sort splits a hot domain."""
+    m = classify(matrix).select(*KEY, F.upper("domain").alias("domain"), "class_name")
+    n = m.groupBy(*KEY, "domain").agg(F.count("*").alias("n_classes"))
+    return m.join(n, [*KEY, "domain"])

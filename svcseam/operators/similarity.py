@@ -4,10 +4,11 @@ A token self-join would emit every pair inside a token's posting list, which
 for a common token is quadratic. Instead (prefix filtering, as in the
 all-pairs similarity-search literature):
 
-1. **Seed.** In every posting list (salted, so a hot token is split), pair
-   each document with its neighbour by weight. That is linear in the data
-   and gives real pairs whose exact similarities bound the k-th best from
-   below: threshold ``t``.
+1. **Seed.** In the posting lists of each document's rarest tokens (salted,
+   so a hot token is split), pair each document with its neighbour by
+   weight. That is linear in the number of documents and gives real pairs
+   whose exact similarities bound the k-th best from below: threshold ``t``.
+   (Copies share their rarest tokens with equal weights, so they meet.)
 2. **Prefix.** Order each unit vector's tokens globally (rarest first). If
    cos(x, y) ≥ t, their first shared token j satisfies ‖x_{≥j}‖ ≥ t and
    ‖y_{≥j}‖ ≥ t, so it lies in both *prefixes* — the tokens whose suffix
@@ -49,19 +50,34 @@ def _ordered_pair(x, y):
 
 
 def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_PAIRS,
-                  salt_buckets: int = 16) -> DataFrame:
+                  salt_buckets: int = 16, seed_tokens: int = 2) -> DataFrame:
     """``vecs``: long unit vectors ``(project_id, <doc>, token, value)`` with
     value > 0 (e.g. from ``features.tfidf``). Output:
-    ``(project_id, class_a, class_b, similarity, rank)`` with class_a < class_b."""
-    # The vectors feed six consumers: write them once to the shared
-    # checkpoint folder instead of recomputing their lineage each time.
-    v = cut_lineage(vecs.select(*KEY, doc, "token", "value").filter(F.col("value") > 0))
-
-    # 1. seeds: neighbours by weight inside posting lists, split into salt
-    #    buckets by weight so copies (equal weights) stay neighbours
+    ``(project_id, class_a, class_b, similarity, rank)`` with class_a < class_b.
+
+    ``seed_tokens`` only steers how the threshold is found (each document's
+    rarest tokens supply the seed pairs); results do not depend on it."""
+    v0 = vecs.select(*KEY, doc, "token", "value").filter(F.col("value") > 0)
+    # Global token order: document frequency, then token (rarest first). Per
+    # document: position in that order and the squared norm of the suffix
+    # starting at each token — one window, bounded by document length.
+    df = v0.groupBy(*KEY, "token").agg(F.count("*").alias("_df"))
+    w_desc = Window.partitionBy(*KEY, doc).orderBy(F.col("_df").desc(), F.col("token").desc())
+    w_doc = Window.partitionBy(*KEY, doc)
+    ranked = (v0.join(df, [*KEY, "token"])
+              .withColumn("_suffix2", F.sum(F.col("value") * F.col("value")).over(
+                  w_desc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+              .withColumn("_pos", F.count("*").over(w_doc) - F.row_number().over(w_desc) + 1))
+    # Several consumers: write once to the shared checkpoint folder.
+    ranked = cut_lineage(ranked)
+    v = ranked.select(*KEY, doc, "token", "value")
+
+    # 1. seeds: neighbours by weight in the posting lists of each document's
+    #    rarest tokens, split into salt buckets by weight (copies stay together)
     salt = F.pmod(F.xxhash64(F.floor(F.col("value") * F.lit(4096))), F.lit(salt_buckets))
     ws = Window.partitionBy(*KEY, "token", "_salt").orderBy(F.col("value").desc(), F.col(doc))
-    seeds = (v.withColumn("_salt", salt).withColumn("_next", F.lead(doc).over(ws))
+    seeds = (ranked.filter(F.col("_pos") <= seed_tokens)
+             .withColumn("_salt", salt).withColumn("_next", F.lead(doc).over(ws))
              .filter(F.col("_next").isNotNull())
              .select(*KEY, *_ordered_pair(F.col(doc), F.col("_next"))).distinct())
     seed_scores = _score(seeds, v, doc)
@@ -71,14 +87,10 @@ def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_P
            .groupBy(*KEY).agg(F.min("similarity").alias("_t"), F.count("*").alias("_n"))
            .select(*KEY, F.when(F.col("_n") >= k, F.col("_t")).otherwise(F.lit(0.0)).alias("t")))
 
-    # 2. prefixes under the threshold (global order: document frequency, token)
-    df = v.groupBy(*KEY, "token").agg(F.count("*").alias("_df"))
-    wsuf = (Window.partitionBy(*KEY, doc).orderBy(F.col("_df").desc(), F.col("token").desc())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pref = (v.join(df, [*KEY, "token"]).join(thr, KEY, "left")
+    # 2. prefixes under the threshold: tokens whose suffix norm is still ≥ t
+    pref = (ranked.join(thr, KEY, "left")
             .withColumn("t", F.coalesce("t", F.lit(0.0)))
-            .withColumn("_suffix", F.sqrt(F.sum(F.col("value") * F.col("value")).over(wsuf)))
-            .filter(F.col("_suffix") >= F.col("t") - F.lit(1e-9))
+            .filter(F.sqrt(F.col("_suffix2")) >= F.col("t") - F.lit(1e-9))
             .select(*KEY, doc, "token"))
     p1 = pref.select(*KEY, "token", F.col(doc).alias("x"))
     p2 = pref.select(*KEY, "token", F.col(doc).alias("y"))

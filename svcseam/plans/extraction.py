@@ -4,6 +4,11 @@
 scripts, log lines) and exposes every intermediate table as a property. Each
 property is a lazy DataFrame; Catalyst prunes whatever a consumer does not
 read. Nothing is collected.
+
+The call edges and the matrix each feed several consumers (class list, call
+metrics; z-scores, TF-IDF, quality checks), so they are written once to the
+shared checkpoint folder (``materialize=True``) instead of being recomputed
+per consumer.
 """
 
 from __future__ import annotations
@@ -19,17 +24,23 @@ from ..operators import logs as L
 from ..operators import matrix as X
 from ..operators import metrics as A
 from ..operators import similarity as S
+from ..session import cut_lineage
 from ..sources import fixtures as FX
 
 
 class Extraction:
     def __init__(self, log_lines: DataFrame, ddl_scripts: DataFrame, edges: DataFrame,
-                 source_files: DataFrame | None = None, bucket_rows: int | None = None):
+                 source_files: DataFrame | None = None, bucket_rows: int | None = None,
+                 materialize: bool = True):
         self.log_lines = log_lines
         self.ddl_scripts = ddl_scripts
         self._edges = edges
         self.source_files = source_files
         self.bucket_rows = bucket_rows
+        self.materialize = materialize
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if self.materialize else df
 
     # -- fixtures -------------------------------------------------------------
     @classmethod
@@ -93,8 +104,8 @@ class Extraction:
     @cached_property
     def edges(self) -> DataFrame:
         if self._edges is not None:
-            return self._edges
-        return C.call_edges(self.parsed_sources)
+            return self._keep(self._edges)
+        return self._keep(C.call_edges(self.parsed_sources))
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -111,7 +122,7 @@ class Extraction:
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return X.feature_matrix(self.classes, self.call_metrics, self.tables, self.table_metrics)
+        return self._keep(X.feature_matrix(self.classes, self.call_metrics, self.tables, self.table_metrics))
 
     # -- step 3: features -----------------------------------------------------
     @cached_property

@@ -380,6 +380,10 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     # -- logs
     q["log_events"] = LOGS + "SELECT * FROM ev"
+    q["log_events_fixed_update"] = LOGS.replace(
+        "lower(regexp_extract(line, " + P_SQL + ", 3))",
+        "CASE WHEN lower(regexp_extract(line, " + P_SQL + ", 1)) = 'update' THEN lower(regexp_extract(line, "
+        "'(?i)update\\s+(\\w+)', 1)) ELSE lower(regexp_extract(line, " + P_SQL + ", 3)) END") + "SELECT * FROM ev"
     q["log_correlation"] = LOGS + ("SELECT project_id, session_id, line_no, seq, carried AS resource, table_name, "
                                    "operation FROM corr")
     q["resource_table_map"] = LOGS + """
@@ -402,6 +406,20 @@ def oracle_sql() -> dict[str, str]:
     q["ddl_columns"] = SCH + "SELECT project_id, table_name, ordinal, name, type, nullable, primary_key FROM cols"
     q["ddl_foreign_keys"] = SCH + f"SELECT {_FK_COLS} FROM efk"
     q["inferred_foreign_keys"] = SCH + f"SELECT {_FK_COLS} FROM ifk"
+    q["inferred_foreign_keys_plural"] = SCH + """
+      , hits AS (
+        SELECT c.project_id, c.table_name AS from_table, c.name AS "column", t.table_name AS references_table,
+               min(c.table_pos) AS a, min(c.ordinal) AS b
+        FROM cols c JOIN tbls t ON t.project_id = c.project_id
+          AND (t.table_name = substr(lower(c.name), 1, length(c.name) - 3)
+               OR t.table_name = substr(lower(c.name), 1, length(c.name) - 3) || 's')
+        WHERE ends_with(lower(c.name), '_id') AND lower(c.name) <> 'id'
+          AND NOT EXISTS (SELECT 1 FROM efk WHERE efk.project_id = c.project_id AND efk.from_table = c.table_name
+                          AND efk."column" = c.name)
+        GROUP BY ALL)
+      SELECT project_id, from_table, "column", references_table, 'id' AS references_column, true AS inferred
+      FROM (SELECT *, row_number() OVER (PARTITION BY project_id, from_table, "column"
+                                          ORDER BY length(references_table)) AS r FROM hits) WHERE r = 1"""
     q["all_foreign_keys"] = SCH + f"SELECT {_FK_COLS} FROM fks"
     q["table_domains"] = SCH + f"SELECT project_id, table_name, {_TDOMAIN} AS domain FROM tbls"
     q["domain_groups"] = SCH + f"""
@@ -465,8 +483,8 @@ def oracle_sql() -> dict[str, str]:
              calls_out, calls_in, CASE WHEN has_autowired = 1 THEN {_s(rules.YES)} ELSE {_s(rules.NO)} END AS injected,
              log_frequency, {_RANK} AS stereotype_rank FROM classified"""
     q["classes_by_domain"] = MAT + """
-      SELECT project_id, upper(domain) AS domain, string_agg(class_name, ',' ORDER BY class_name) AS classes,
-             count(*) AS n_classes FROM classified GROUP BY ALL"""
+      SELECT project_id, upper(domain) AS domain, class_name,
+             count(*) OVER (PARTITION BY project_id, upper(domain)) AS n_classes FROM classified"""
     # -- features
     q["zscore_features"] = FEAT + "SELECT project_id, class_name, " + ", ".join(
         _r(f"num_{c}", f"num_{c}") for c in rules.NUMERIC_COLUMNS) + " FROM zs"
@@ -496,6 +514,12 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT project_id, '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min_value, min({c}) < 0 AS negative "
         f"FROM matrix GROUP BY ALL" for c in rules.NUMERIC_COLUMNS)
     q["dq_negatives"] = MAT + negs
+    q["dq_missing_inputs"] = MAT + """
+      SELECT DISTINCT project_id, 'ddl_scripts' AS input, true AS required, 'stop' AS effect FROM classes c
+      WHERE NOT EXISTS (SELECT 1 FROM ddl_scripts d WHERE d.project_id = c.project_id)
+      UNION ALL
+      SELECT DISTINCT project_id, 'log_lines', false, 'issue' FROM classes c
+      WHERE NOT EXISTS (SELECT 1 FROM log_lines l WHERE l.project_id = c.project_id)"""
     q["dq_isolated"] = MAT + "SELECT project_id, class_name, 'warning' AS severity FROM matrix WHERE calls_out = 0 AND calls_in = 0"
     const = " UNION ALL ".join(
         f"SELECT project_id, '{c}' AS \"column\", round(stddev_pop(CAST({c} AS DOUBLE)), 6) + 0.0 AS std, "

@@ -53,6 +53,12 @@ def log_events(spark, sf):
     return _x(spark, sf).events
 
 
+@query
+def log_events_fixed_update(spark, sf):
+    """K1 fixed: an UPDATE's table is the word after UPDATE."""
+    return L.log_events(FX.log_lines(spark, sf), fixed_update_table=True)
+
+
 @query
 def log_correlation(spark, sf):
     return _x(spark, sf).correlation
@@ -132,6 +138,13 @@ def inferred_foreign_keys(spark, sf):
     return _fk(_x(spark, sf).inferred_fks)
 
 
+@query
+def inferred_foreign_keys_plural(spark, sf):
+    """K7 fixed: ``<t>_id`` also matches a table ``<t>s``."""
+    x = _x(spark, sf)
+    return _fk(D.inferred_foreign_keys(x.columns, x.tables, x.explicit_fks, also_plural=True))
+
+
 @query
 def all_foreign_keys(spark, sf):
     return _fk(_x(spark, sf).foreign_keys)
@@ -258,7 +271,7 @@ def matrix_by_domain(spark, sf):
 
 @query
 def classes_by_domain(spark, sf):
-    return X.classes_by_domain(_x(spark, sf).matrix).select("project_id", "domain", _joined("classes"), "n_classes")
+    return X.classes_by_domain(_x(spark, sf).matrix)
 
 
 # ---------------------------------------------------------------- features (M*)
@@ -348,6 +361,13 @@ def dq_zero_tfidf(spark, sf):
     return Q.zero_tfidf(x.classes, x.tfidf)
 
 
+@query
+def dq_missing_inputs(spark, sf):
+    """Q10: projects with classes but no schema script (required here) or no log (optional)."""
+    x = _x(spark, sf)
+    return Q.missing_inputs(x.classes, {"ddl_scripts": (x.ddl_scripts, True), "log_lines": (x.log_lines, False)})
+
+
 def _issues(x: Extraction) -> DataFrame:
     """Issue rows per (project, step): step 2 — duplicate names and negative
     minima; step 3 — z-score means off zero, all-zero TF-IDF rows, constant
@@ -373,7 +393,6 @@ def step_status(spark, sf):
 def report_metrics(spark, sf):
     x = _x(spark, sf)
     e = x.edges
-    cnt = lambda df, c="value": df
     per = {
         "classes": (1, x.classes.groupBy("project_id").agg(F.count("*").alias("value"))),
         "calls": (1, e.groupBy("project_id").agg(F.count("*").alias("value"))),
@@ -386,7 +405,6 @@ def report_metrics(spark, sf):
         "numeric_features": (3, x.matrix.groupBy("project_id").agg(F.lit(len(rules.NUMERIC_COLUMNS)).alias("value"))),
         "tfidf_tokens": (3, x.tfidf.groupBy("project_id").agg(F.count_distinct("token").alias("value"))),
     }
-    del cnt
     out = Q.report_metrics(per)
     vocab = x.tfidf.groupBy("project_id").agg(F.count_distinct("token").alias("v"))
     comp = vocab.select("project_id", F.lit(3).alias("step"), F.lit("composite_features").alias("metric"),
