@@ -36,25 +36,28 @@ def carry_forward_window(df: DataFrame, keys: Sequence[str], order: Sequence[str
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
                   bucket_of: str | None = None, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Bucketed carry-forward; ``bucket_of`` is the (numeric) order column
-    that is cut into buckets of ``bucket_rows`` values (default: first order column)."""
+    that is cut into buckets of ``bucket_rows`` values (default: first order column).
+
+    Plan: one shuffle of the input by (key, bucket); one window over it gives
+    each row's in-bucket value and each bucket's last value; the bucket table
+    (one row per bucket, aggregated without another shuffle of the data) is
+    windowed by key to get the value carried into each bucket and joined back
+    on the same partitioning. The input is scanned once."""
     bucket_of = bucket_of or order[0]
     b = "__carry_bucket"
     v = "__carry_value"
-    o = "__carry_order"
     base = (df.withColumn(b, F.floor(F.col(bucket_of) / F.lit(bucket_rows)).cast("long"))
               .withColumn(v, value)
-              .withColumn(o, F.struct(*_cols(order))))
-
-    # Last non-null value inside each bucket (partial + final aggregate).
-    per_bucket = (base.groupBy(*keys, b)
-                      .agg(F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(o))).alias("__bucket_last")))
-    # Value entering each bucket: last non-null of all *earlier* buckets.
+              .repartition(*_cols(keys), F.col(b)))
+    wl = Window.partitionBy(*_cols(keys), F.col(b)).orderBy(*_cols(order))
+    local = (base.withColumn("__local", F.last(F.col(v), ignorenulls=True).over(
+                 wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+                 .withColumn("__bucket_last", F.last(F.col(v), ignorenulls=True).over(
+                     wl.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    buckets = local.groupBy(*keys, b).agg(F.first("__bucket_last").alias("__bucket_last"))
     wb = (Window.partitionBy(*_cols(keys)).orderBy(F.col(b))
           .rowsBetween(Window.unboundedPreceding, -1))
-    carried_in = per_bucket.select(*keys, b, F.last("__bucket_last", ignorenulls=True).over(wb).alias("__carried_in"))
-
-    wl = (Window.partitionBy(*_cols(keys), F.col(b)).orderBy(*_cols(order))
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = base.join(carried_in, on=[*keys, b], how="left")
-    return (joined.withColumn(out, F.coalesce(F.last(F.col(v), ignorenulls=True).over(wl), F.col("__carried_in")))
-                  .drop(b, v, o, "__carried_in"))
+    carried_in = buckets.select(*keys, b, F.last("__bucket_last", ignorenulls=True).over(wb).alias("__carried_in"))
+    return (local.join(carried_in, on=[*keys, b], how="left")
+                 .withColumn(out, F.coalesce(F.col("__local"), F.col("__carried_in")))
+                 .drop(b, v, "__local", "__bucket_last", "__carried_in"))
