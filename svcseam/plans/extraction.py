@@ -131,7 +131,7 @@ class Extraction:
 
     @cached_property
     def tfidf(self) -> DataFrame:
-        return M.class_tfidf(self.matrix.select("project_id", "class_name"))
+        return M.class_tfidf(self.classes)
 
     @cached_property
     def composite(self) -> DataFrame:
