@@ -14,6 +14,8 @@ all-pairs similarity-search literature):
    ‖y_{≥j}‖ ≥ t, so it lies in both *prefixes* — the tokens whose suffix
    norm is still ≥ t. Joining prefixes on the token therefore finds every
    pair with similarity ≥ t; prefixes are short when t is high.
+   Each joined row also carries the Cauchy–Schwarz bound of its token,
+   which drops hopeless pairs before they are materialised.
 3. **Score** candidates exactly (dot product of the two sparse vectors by
    a join on the shared tokens), union the seeds, keep the top k by (similarity desc, a, b).
 4. **Pad.** If a project has fewer than k pairs with positive similarity, the
@@ -91,10 +93,17 @@ def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_P
     pref = (ranked.join(thr, KEY, "left")
             .withColumn("t", F.coalesce("t", F.lit(0.0)))
             .filter(F.sqrt(F.col("_suffix2")) >= F.col("t") - F.lit(1e-9))
-            .select(*KEY, doc, "token"))
-    p1 = pref.select(*KEY, "token", F.col(doc).alias("x"))
-    p2 = pref.select(*KEY, "token", F.col(doc).alias("y"))
-    cands = (p1.join(p2, [*KEY, "token"]).filter(F.col("x") < F.col("y"))
+            .select(*KEY, doc, "token", "value", "t"))
+    p1 = pref.select(*KEY, "token", F.col(doc).alias("x"), F.col("value").alias("vx"), "t")
+    p2 = pref.select(*KEY, "token", F.col(doc).alias("y"), F.col("value").alias("vy"))
+    # Cauchy–Schwarz on a shared token j: cos ≤ x_j·y_j + √(1−x_j²)·√(1−y_j²).
+    # A pair reaching t passes this bound on every shared token, so rows
+    # below it are dropped before any pair is materialised.
+    bound = (F.col("vx") * F.col("vy")
+             + F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("vx") * F.col("vx")))
+             * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("vy") * F.col("vy"))))
+    cands = (p1.join(p2, [*KEY, "token"])
+             .filter((F.col("x") < F.col("y")) & (bound >= F.col("t") - F.lit(1e-9)))
              .select(*KEY, F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     scored = _score(cands.unionByName(seeds).distinct(), v, doc).filter(F.col("similarity") > 0)
 
