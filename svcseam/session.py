@@ -38,17 +38,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
     (local tests) a private folder is created and registered.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
-    if conf_dir:
-        if not current:
-            sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir() or conf_dir
     if current:
         return current
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if conf_dir:
+        sc.setCheckpointDir(conf_dir)
+        return sc.getCheckpointDir() or conf_dir
+    # Unset (local tests only): a private folder. The core setting itself
+    # cannot be changed at runtime, so only the context is pointed at it.
     local_dir = tempfile.mkdtemp(prefix="svcseam-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local_dir)
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir() or local_dir
 
