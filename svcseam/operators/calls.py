@@ -93,9 +93,17 @@ def _position():
     return F.struct("path", "line_number", "call_idx")
 
 
+def adjacency_edges(edges: DataFrame) -> DataFrame:
+    """C7, long form: each distinct (class, target) with its first position and
+    call count — the scalable form (no per-class list)."""
+    return edges.groupBy(*KEY, "from_class", "to_class").agg(F.min(_position()).alias("first"),
+                                                             F.count("*").alias("n_calls"))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Distinct targets per class in first-seen order."""
-    first = edges.groupBy(*KEY, "from_class", "to_class").agg(F.min(_position()).alias("first"))
+    """Distinct targets per class in first-seen order (list form for the
+    sink; bounded by the classes of one project)."""
+    first = adjacency_edges(edges)
     return (first.groupBy(*KEY, "from_class")
             .agg(F.sort_array(F.collect_list(F.struct("first", "to_class"))).alias("_t"),
                  F.count("*").alias("n_targets"))

@@ -9,7 +9,6 @@ token self-join). Column names and types match the Spark side.
 from __future__ import annotations
 
 from .. import rules
-from ..functions import javalex as JL
 from ..sources import fixtures as FX
 
 
@@ -442,6 +441,10 @@ def oracle_sql() -> dict[str, str]:
       , firsts AS (SELECT project_id, from_class, to_class, min((path, line_number)) AS f FROM calls GROUP BY ALL)
       SELECT project_id, from_class, string_agg(to_class, ',' ORDER BY f, to_class) AS targets, count(*) AS n_targets
       FROM firsts GROUP BY ALL"""
+    q["adjacency_edges"] = CALLS + """
+      SELECT project_id, from_class, to_class, arg_min(path, (path, line_number)) AS first_path,
+             arg_min(line_number, (path, line_number)) AS first_line, count(*) AS n_calls
+      FROM calls GROUP BY ALL"""
     q["class_list"] = CALLS + "SELECT project_id, class_name FROM classes"
     q["call_summary"] = CALLS + """
       SELECT project_id, count(DISTINCT path) AS total_files, count(DISTINCT path) AS parsed_files,

@@ -197,6 +197,13 @@ def adjacency(spark, sf):
     return C.adjacency(_x(spark, sf).edges).select("project_id", "from_class", _joined("targets"), "n_targets")
 
 
+@query
+def adjacency_edges(spark, sf):
+    return C.adjacency_edges(_x(spark, sf).edges).select(
+        "project_id", "from_class", "to_class", F.col("first.path").alias("first_path"),
+        F.col("first.line_number").alias("first_line"), "n_calls")
+
+
 @query
 def class_list(spark, sf):
     return _x(spark, sf).classes

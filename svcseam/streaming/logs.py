@@ -9,6 +9,11 @@
   expected in order per session across batches; an event older than the
   state's position is emitted with the state as it was when it arrived.
 * L7/L8 frequencies are plain streaming aggregates (update mode).
+
+Keyed state is sequential per session by nature, so one session's rows of a
+micro-batch meet in one task; the batch size is bounded by the trigger
+(``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``), and the state per
+session is one string and one number (RocksDB state store at scale).
 """
 
 from __future__ import annotations
