@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -32,10 +32,14 @@ def required_columns(df: DataFrame, required: Sequence[str] = rules.MATRIX_COLUM
 
 
 def duplicates(rows: DataFrame, name: str = "class_name", order: str = "row_order") -> DataFrame:
-    """Q2: second and later rows of a repeated name (issue)."""
-    w = Window.partitionBy(*KEY, name).orderBy(order)
-    return (rows.withColumn("occurrence", F.row_number().over(w)).filter(F.col("occurrence") > 1)
-            .select(*KEY, name, order, "occurrence", F.lit("issue").alias("severity")))
+    """Q2: second and later rows of a repeated name (issue).
+
+    No window per name (a name repeated across a third of the rows would be
+    one task): a partial aggregate finds each name's first position, and the
+    rows after it are found by a join whose other side has one row per name."""
+    first = rows.groupBy(*KEY, name).agg(F.min(order).alias("_first"))
+    return (rows.join(first, [*KEY, name]).filter(F.col(order) > F.col("_first"))
+            .select(*KEY, name, order, F.lit("issue").alias("severity")))
 
 
 def negatives(matrix: DataFrame, numeric: Sequence[str] = rules.NUMERIC_COLUMNS) -> DataFrame:

@@ -509,7 +509,7 @@ def oracle_sql() -> dict[str, str]:
         for c in rules.NUMERIC_COLUMNS)
     q["dq_profile"] = MAT + prof
     q["dq_duplicates"] = f"""
-      SELECT project_id, class_name, row_order, CAST(occurrence AS INTEGER) AS occurrence, 'issue' AS severity FROM (
+      SELECT project_id, class_name, row_order, 'issue' AS severity FROM (
         SELECT p_brand AS project_id, {_class_of('p_name', 'p_partkey')} AS class_name, p_partkey AS row_order,
                row_number() OVER (PARTITION BY p_brand, {_class_of('p_name', 'p_partkey')} ORDER BY p_partkey) AS occurrence
         FROM part) WHERE occurrence > 1"""

@@ -380,7 +380,9 @@ def _issues(x: Extraction) -> DataFrame:
     minima; step 3 — z-score means off zero, all-zero TF-IDF rows, constant
     columns in the compat rule (K13: never fires)."""
     m = x.matrix
-    dup = Q.duplicates(m.withColumn("row_order", F.col("class_name"))).select("project_id", F.lit(2).alias("step"))
+    # any unique row id orders the rows; the count of 2nd+ rows does not depend on it
+    dup = Q.duplicates(m.withColumn("row_order", F.monotonically_increasing_id())).select(
+        "project_id", F.lit(2).alias("step"))
     neg = Q.negatives(m).filter("negative").select("project_id", F.lit(2).alias("step"))
     zs = Q.zscore_check(x.zscores).filter(~F.col("mean_ok")).select("project_id", F.lit(3).alias("step"))
     zt = Q.zero_tfidf(x.classes, x.tfidf).select("project_id", F.lit(3).alias("step"))
