@@ -40,7 +40,7 @@ def related_table(classes: DataFrame, tbls: DataFrame, removals=rules.TABLE_STEM
     c = classes.select(*KEY, "class_name", TX.table_stem(F.col("class_name"), removals).alias("stem"))
     t = tbls.select(*KEY, "table_name").distinct()
     # t ⊆ stem: only substrings as long as some table name of the project
-    lens = t.groupBy(*KEY).agg(F.array_distinct(F.collect_list(F.length("table_name"))).alias("_lens"))
+    lens = t.groupBy(*KEY).agg(F.collect_set(F.length("table_name")).alias("_lens"))  # ≤ max name length
     a = (c.filter(F.col("stem") != "").join(lens, KEY, "inner")
          .select(*KEY, "class_name", F.explode(substrings_of_lengths(F.col("stem"), F.col("_lens"))).alias("table_name"))
          .join(t, [*KEY, "table_name"], "inner"))

@@ -51,7 +51,9 @@ def write_matrix_by_domain(matrix: DataFrame, path: str) -> None:
     """S9 + O1: sorted by (domain, stereotype rank, class); one folder per domain."""
     b = X.matrix_by_domain(matrix)
     src = ["domain", "class_name", "stereotype", "related_table", "calls_out", "calls_in", "injected", "log_frequency"]
-    out = (b.repartition("project_id", "domain")
+    # A range partition on the full sort key splits a hot domain over several
+    # tasks and keeps the order across part files.
+    out = (b.repartitionByRange("project_id", "domain", "stereotype_rank", "class_name")
            .sortWithinPartitions("project_id", "domain", "stereotype_rank", "class_name")
            .select("project_id", F.col("domain").alias("_domain"),
                    *[F.col(c).alias(h) for c, h in zip(src, rules.BY_DOMAIN_HEADINGS)]))
