@@ -374,6 +374,20 @@ def _report_sql() -> str:
         for name, step, sql in parts)
 
 
+PAGES = f"""
+WITH pl AS (
+  SELECT regexp_extract(url, {_s(FX.URL_HOST)}, 1) AS project_id, url AS path,
+         regexp_extract(url, {_s(FX.URL_PATH)}, 1) AS from_class,
+         unnest(regexp_extract_all(html, {_s(FX.HREF)}, 1)) AS href,
+         unnest(range(len(regexp_extract_all(html, {_s(FX.HREF)}, 1)))) AS pos
+  FROM pages),
+links AS (
+  SELECT project_id, path, from_class, regexp_extract(href, '^([^?#]*)', 1) AS to_class,
+         CAST(pos + 1 AS INTEGER) AS line_number
+  FROM pl)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     num = ", ".join(rules.NUMERIC_COLUMNS)
     q: dict[str, str] = {}
@@ -453,6 +467,24 @@ def oracle_sql() -> dict[str, str]:
     q["call_type_histogram"] = CALLS + "SELECT project_id, coalesce(call_type, '?') AS call_type, count(*) AS n FROM calls GROUP BY ALL"
     q["first_calls"] = CALLS + _rank_filter("calls", "project_id, path, line_number, from_class, to_class, method_name",
                                             "path, line_number, to_class, method_name")
+    q["page_links"] = PAGES + "SELECT * FROM links"
+    q["page_link_metrics"] = PAGES + """
+      SELECT o.project_id, o.class_name, o.calls_out, CAST(coalesce(i.n, 0) AS INTEGER) AS calls_in, o.deps_unique,
+             o.has_autowired
+      FROM (SELECT project_id, from_class AS class_name, CAST(count(*) AS INTEGER) AS calls_out,
+                   CAST(count(DISTINCT to_class) AS INTEGER) AS deps_unique, 0 AS has_autowired
+            FROM links GROUP BY ALL) o
+      LEFT JOIN (SELECT project_id, lower(to_class) AS k, count(*) AS n FROM links GROUP BY ALL) i
+        ON i.project_id = o.project_id AND i.k = lower(o.class_name)"""
+    q["page_link_adjacency"] = PAGES + """
+      , firsts AS (SELECT project_id, from_class, to_class, min((path, line_number)) AS f FROM links GROUP BY ALL)
+      SELECT project_id, from_class, string_agg(to_class, ',' ORDER BY f, to_class) AS targets, count(*) AS n_targets
+      FROM firsts GROUP BY ALL"""
+    q["page_resources"] = f"""
+      SELECT page_id, regexp_extract(url, {_s(FX.URL_HOST)}, 1) AS project_id,
+             regexp_extract(url, {_s(FX.URL_PATH)}, 1) AS path,
+             regexp_extract(regexp_extract(url, {_s(FX.URL_PATH)}, 1), '^/?([^/?]*)', 1) AS resource
+      FROM pages"""
     # -- metrics
     q["calls_out_in"] = MAT + "SELECT project_id, class_name, calls_out, calls_in, deps_unique, has_autowired FROM cmetrics"
     inj = ", ".join(_s(t) for t in rules.INJECTION_CALL_TYPES)

@@ -226,6 +226,33 @@ def first_calls(spark, sf):
                                                      "to_class", "method_name", "rank")
 
 
+@query
+def page_links(spark, sf):
+    """C1 shape on real text: href edges of ``pages``."""
+    return FX.page_link_edges(spark, sf).select("project_id", "path", "from_class", "to_class", "line_number")
+
+
+@query
+def page_link_metrics(spark, sf):
+    """A1–A4 over the real link graph (fixed form: case-insensitive in-links)."""
+    return A.call_metrics(FX.page_link_edges(spark, sf), fixed=True)
+
+
+@query
+def page_link_adjacency(spark, sf):
+    """C7 over the real link graph."""
+    return C.adjacency(FX.page_link_edges(spark, sf)).select("project_id", "from_class", _joined("targets"),
+                                                             "n_targets")
+
+
+@query
+def page_resources(spark, sf):
+    """L3 on real URL paths."""
+    from ..functions import text as TX
+    u = FX.page_urls(spark, sf)
+    return u.select("page_id", "project_id", "path", TX.resource_of(F.col("path")).alias("resource"))
+
+
 # ---------------------------------------------------------------- metrics (A*)
 @query
 def calls_out_in(spark, sf):

@@ -136,6 +136,32 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("project_id", "path", content.alias("content"))
 
 
+URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
+URL_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)"
+HREF = r'href="([^"]*)"'
+
+
+def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real URLs of ``pages``: project = host, path without query or fragment."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.select("page_id", F.regexp_extract("url", URL_HOST, 1).alias("project_id"),
+                        F.regexp_extract("url", URL_PATH, 1).alias("path"))
+
+
+def page_link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real link graph of ``pages`` in the call-edge schema: a page (its URL
+    path) "calls" every ``href`` target (query and fragment cut), in page order."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    links = pages.select(
+        F.regexp_extract("url", URL_HOST, 1).alias("project_id"), F.col("url").alias("path"),
+        F.regexp_extract("url", URL_PATH, 1).alias("from_class"),
+        F.posexplode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("pos", "href"))
+    return links.select("project_id", "path", "from_class", F.lit("").alias("from_package"),
+                        F.regexp_extract("href", r"^([^?#]*)", 1).alias("to_class"),
+                        F.lit("href").alias("method_name"), F.lit("link").alias("call_type"),
+                        (F.col("pos") + 1).cast("int").alias("line_number"), F.lit(0).alias("call_idx"))
+
+
 def ddl_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One schema script per project. Groups are bounded by the part-name
     vocabulary (nouns × adjectives), not by the data size."""
