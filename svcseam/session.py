@@ -46,8 +46,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    # Unset (local tests only): a private folder. The core setting itself
-    # cannot be changed at runtime, so only the context is pointed at it.
+    # Unset: only acceptable in local mode (tests). On a cluster a machine-local
+    # folder would not survive executor loss, so refuse instead of guessing.
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
+    # The core setting cannot be changed at runtime; point the context at a private folder.
     local_dir = tempfile.mkdtemp(prefix="svcseam-ckpt-")
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir() or local_dir
