@@ -76,7 +76,7 @@ def test_call_metrics_compat_and_fixed(spark):
     assert sum(r.calls_out for r in m.values()) == e.count()
 
 
-GOLDEN = {  # outputs/feature_matrix.csv: class → related table
+GOLDEN = {  # recorded golden: class → related table
     "Owner": "owners", "PetController": "pets", "PetValidator": "pets", "Vet": "vets", "Visit": "visits",
     "PetClinicApplication": None, "PetClinicRuntimeHints": None, "VetController": "vets",
     "VisitController": "visits", "OwnerController": "owners", "Pet": "pets", "PetTypeFormatter": None,
