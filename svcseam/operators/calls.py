@@ -7,8 +7,9 @@ Accepted grammar (documented limit of a lexical scan, quirk K8):
   (``a``, ``this.repo``, ``System.out``, ``super``); a chained call
   contributes its first link only, unscoped calls are ``this`` calls and
   are dropped (C2: scope ``this`` or shorter than 2 characters is dropped);
-* an injected field is ``@Autowired``/``@Inject`` then modifiers, a type and
-  a name on the same line; its edge goes to the type, method = field name;
+* an injected field is ``@Autowired``/``@Inject`` then other annotations,
+  modifiers, a type and a name, on the annotation's line or the next two;
+  its edge goes to the type, method = field name, line = annotation's line;
 * the owner class of a line is the last ``class``/``interface`` declared on
   or before it in the same file, ``Unknown`` before any (K9 reset per file);
 * a file without any class or interface declaration is an error file (C6).
@@ -65,9 +66,19 @@ def call_edges(parsed: DataFrame, min_scope_len: int = 2) -> DataFrame:
                      F.lit("method_call").alias("call_type"),
                      (F.col("idx") + F.lit(CALL_KIND_OFFSET)).cast("int").alias("call_idx"))
              .filter((F.col("to_class") != "this") & (F.length("to_class") >= min_scope_len)))
-    ann = "|".join(rules.INJECTION_ANNOTATIONS)
-    fields = (per_line.filter(F.col("text").rlike(rf"@(?:{ann})\b"))
-              .select("*", F.posexplode(F.regexp_extract_all("text", F.lit(JL.INJECTED_FIELD), 0)).alias("idx", "m"))
+    ann_re = r"@(?:" + "|".join(rules.INJECTION_ANNOTATIONS) + r")\b"
+    # An annotation line is read together with the next two lines (the field
+    # usually follows on its own line); only matches starting on the
+    # annotation line count. Built inside the row from the file's line array.
+    windows = F.filter(F.transform(F.col("lines"), lambda l, i: F.when(l.rlike(ann_re), F.struct(
+        (i + 1).cast("int").alias("line_number"),
+        F.concat_ws(" ", l, F.coalesce(F.try_element_at(F.col("lines"), i + 2), F.lit("")),
+                    F.coalesce(F.try_element_at(F.col("lines"), i + 3), F.lit(""))).alias("text"),
+        F.size(F.regexp_extract_all(l, F.lit(ann_re), 0)).alias("k")))), lambda w: w.isNotNull())
+    fields = (parsed.filter("parsed")
+              .select(*KEY, "path", "from_package", "decls", F.inline(windows))
+              .select("*", F.posexplode(F.slice(F.regexp_extract_all("text", F.lit(JL.INJECTED_FIELD), 0),
+                                                F.lit(1), F.col("k"))).alias("idx", "m"))
               .select(*KEY, "path", "from_package", "decls", "line_number",
                       F.regexp_extract("m", JL.INJECTED_FIELD, 1).alias("to_class"),
                       F.regexp_extract("m", JL.INJECTED_FIELD, 2).alias("method_name"),

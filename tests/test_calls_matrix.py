@@ -43,6 +43,7 @@ def test_lexical_call_edges(spark):
     e = C.call_edges(parsed).orderBy("line_number", "call_idx").collect()
     got = [(r.from_class, r.to_class, r.method_name, r.call_type, r.line_number) for r in e]
     assert got == [
+        ("OwnerController", "OwnerRepository", "unused", "autowired", 7),   # annotation on its own line
         ("OwnerController", "OwnerRepository", "owners", "autowired", 9),
         ("OwnerController", "owners", "findAll", "method_call", 11),
         ("OwnerController", "super", "init", "method_call", 12),   # C2: super passes; run(), b.go() dropped
