@@ -68,7 +68,10 @@ def tfidf(docs: DataFrame, doc_col: str, text_col: str, token_pattern: str = TX.
     df = tf.groupBy(*KEY, "token").agg(F.count("*").alias("df"))
     w = (tf.join(df, [*KEY, "token"]).join(n_docs, KEY)
          .withColumn("w", F.col("tf") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)))
-    norm = Window.partitionBy(*KEY, doc_col)
+    # Ordered full frame: the sum runs in token order, so identical documents
+    # get bit-identical weights (copies are then recognised downstream).
+    norm = (Window.partitionBy(*KEY, doc_col).orderBy("token")
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return w.select(*KEY, doc_col, "token", "tf", "df",
                     (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).alias("value"))
 

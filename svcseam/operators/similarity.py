@@ -4,6 +4,15 @@ A token self-join would emit every pair inside a token's posting list, which
 for a common token is quadratic. Instead (prefix filtering, as in the
 all-pairs similarity-search literature):
 
+0. **Copies.** Documents with bit-identical vectors form one copy group
+   (fingerprint = hash of the sorted (token, weight) list). Only one
+   representative per group enters steps 1–3, so a group of copies holding a
+   third of all rows costs one document there. A pair of groups (G, H) stands
+   for |G|·|H| member pairs of equal similarity, which order by name; only
+   the first k members of each group by name can reach the top k, so the
+   expansion is at most k² pairs per group pair (and the pairs inside a group,
+   at similarity 1, come from its first k + 1 members).
+
 1. **Seed.** In the posting lists of each document's rarest tokens (salted,
    so a hot token is split), pair each document with its neighbour by
    weight. That is linear in the number of documents and gives real pairs
@@ -18,7 +27,8 @@ all-pairs similarity-search literature):
    which drops hopeless pairs before they are materialised.
 3. **Score** candidates exactly (dot product of the two sparse vectors by
    a join on the shared tokens), union the seeds, keep the top k by (similarity desc, a, b).
-4. **Pad.** If a project has fewer than k pairs with positive similarity, the
+4. **Expand** representative pairs to member pairs (step 0). **Pad**: if a
+   project has fewer than k pairs with positive similarity, the
    remaining slots are zero-similarity pairs in name order, which only involve
    the first 2k documents by name.
 
@@ -51,15 +61,12 @@ def _ordered_pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_PAIRS,
-                  salt_buckets: int = 16, seed_tokens: int = 2) -> DataFrame:
-    """``vecs``: long unit vectors ``(project_id, <doc>, token, value)`` with
-    value > 0 (e.g. from ``features.tfidf``). Output:
-    ``(project_id, class_a, class_b, similarity, rank)`` with class_a < class_b.
-
-    ``seed_tokens`` only steers how the threshold is found (each document's
-    rarest tokens supply the seed pairs); results do not depend on it."""
-    v0 = vecs.select(*KEY, doc, "token", "value").filter(F.col("value") > 0)
+def _candidate_pairs(v0: DataFrame, doc: str, k: int, salt_buckets: int, seed_tokens: int,
+                     known: DataFrame | None = None) -> DataFrame:
+    """Steps 1–3 on (representative) unit vectors: every pair with similarity
+    ≥ t, plus the seed pairs, scored exactly: ``(project_id, a, b, similarity)``.
+    ``known`` adds similarities of other real pairs (e.g. inside copy groups)
+    to the threshold: t is the k-th best of seeds ∪ known."""
     # Global token order: document frequency, then token (rarest first). Per
     # document: position in that order and the squared norm of the suffix
     # starting at each token — one window, bounded by document length.
@@ -84,7 +91,10 @@ def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_P
              .select(*KEY, *_ordered_pair(F.col(doc), F.col("_next"))).distinct())
     seed_scores = _score(seeds, v, doc)
     wk = Window.partitionBy(*KEY).orderBy(F.col("similarity").desc(), "a", "b")
-    thr = (seed_scores.filter(F.col("similarity") > 0).withColumn("_r", F.row_number().over(wk))
+    sims = seed_scores.select(*KEY, "a", "b", "similarity")
+    if known is not None:
+        sims = sims.unionByName(known.select(*KEY, "a", "b", "similarity"))
+    thr = (sims.filter(F.col("similarity") > 0).withColumn("_r", F.row_number().over(wk))
            .filter(F.col("_r") <= k)
            .groupBy(*KEY).agg(F.min("similarity").alias("_t"), F.count("*").alias("_n"))
            .select(*KEY, F.when(F.col("_n") >= k, F.col("_t")).otherwise(F.lit(0.0)).alias("t")))
@@ -106,6 +116,55 @@ def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_P
              .filter((F.col("x") < F.col("y")) & (bound >= F.col("t") - F.lit(1e-9)))
              .select(*KEY, F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     scored = _score(cands.unionByName(seeds).distinct(), v, doc).filter(F.col("similarity") > 0)
+    return scored
+
+
+def _fingerprints(v0: DataFrame, doc: str) -> DataFrame:
+    """One row per document: a hash of its sorted (token, weight) list."""
+    entry = F.concat_ws("\u0001", F.col("token"), F.col("value").cast("string"))
+    return (v0.groupBy(*KEY, doc)
+            .agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), "\u0002"), 256).alias("fp"),
+                 F.sum(F.col("value") * F.col("value")).alias("self_dot")))
+
+
+def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_PAIRS,
+                  salt_buckets: int = 16, seed_tokens: int = 2) -> DataFrame:
+    """``vecs``: long unit vectors ``(project_id, <doc>, token, value)`` with
+    value > 0 (e.g. from ``features.tfidf``). Output:
+    ``(project_id, class_a, class_b, similarity, rank)`` with class_a < class_b.
+
+    ``seed_tokens`` only steers how the threshold is found (each document's
+    rarest tokens supply the seed pairs); results do not depend on it."""
+    v0 = cut_lineage(vecs.select(*KEY, doc, "token", "value").filter(F.col("value") > 0))
+
+    # 0. copy groups: representative = first member by name; members ranked
+    #    by name, only the first k + 1 are ever needed (partial limit per task)
+    fps = _fingerprints(v0, doc)
+    wm = Window.partitionBy(*KEY, "fp").orderBy(doc)
+    members = (fps.withColumn("_m", F.row_number().over(wm)).filter(F.col("_m") <= k + 1)
+               .select(*KEY, "fp", F.col(doc).alias("member"), "_m", "self_dot"))
+    reps = members.filter(F.col("_m") == 1).select(*KEY, "fp", F.col("member").alias(doc))
+    v_rep = v0.join(reps.select(*KEY, doc), [*KEY, doc], "left_semi")
+    # pairs inside a copy group (similarity = the vector's own dot product)
+    m1 = members.select(*KEY, "fp", F.col("member").alias("x"), "self_dot")
+    m2 = members.select(*KEY, "fp", F.col("member").alias("y"))
+    intra = (m1.join(m2, [*KEY, "fp"]).filter(F.col("x") < F.col("y"))
+             .select(*KEY, F.col("x").alias("a"), F.col("y").alias("b"),
+                     F.round(F.col("self_dot"), SIM_DECIMALS).alias("similarity")))
+    # intra-group pairs are real pairs: they raise the threshold too
+    scored_reps = _candidate_pairs(v_rep, doc, k, salt_buckets, seed_tokens, known=intra)
+
+    # 4a. expand representative pairs to member pairs (first k members each)
+    fp_a = reps.select(*KEY, F.col("fp").alias("fa"), F.col(doc).alias("a"))
+    fp_b = reps.select(*KEY, F.col("fp").alias("fb"), F.col(doc).alias("b"))
+    ma = members.filter(F.col("_m") <= k).select(*KEY, F.col("fp").alias("fa"), F.col("member").alias("ma"))
+    mb = members.filter(F.col("_m") <= k).select(*KEY, F.col("fp").alias("fb"), F.col("member").alias("mb"))
+    inter = (scored_reps.join(fp_a, [*KEY, "a"]).join(fp_b, [*KEY, "b"])
+             .join(ma, [*KEY, "fa"]).join(mb, [*KEY, "fb"])
+             .select(*KEY, *_ordered_pair(F.col("ma"), F.col("mb")), "similarity"))
+    scored = inter.unionByName(intra).filter(F.col("similarity") > 0)
+    wk = Window.partitionBy(*KEY).orderBy(F.col("similarity").desc(), "a", "b")
+    v = v0
 
     # 4. zero-similarity padding among the first 2k documents by name
     wn = Window.partitionBy(*KEY).orderBy(doc)

@@ -106,3 +106,28 @@ def test_quality_checks(spark):
     ok = {r.step: r.ok for r in st}
     assert ok == {1: True, 2: False, 3: True, 0: False}
     assert not math.isnan(prof["db_columns"].mean)
+
+
+def test_nearest_pairs_copy_groups(spark):
+    """Large copy groups (one vector shared by most documents) give the same
+    top pairs as brute force."""
+    import random
+    rnd = random.Random(7)
+    base = {"A": {"x": 0.6, "y": 0.8}, "B": {"x": 0.8, "z": 0.6}}
+    docs = {}
+    for i in range(30):
+        docs[f"a{i:02d}"] = base["A"]
+    for i in range(6):
+        docs[f"b{i}"] = base["B"]
+    for i in range(8):
+        w = {t: rnd.random() for t in rnd.sample(["x", "y", "z", "u", "v"], 3)}
+        n = sum(x * x for x in w.values()) ** 0.5
+        docs[f"r{i}"] = {t: x / n for t, x in w.items()}
+    rows = [("p", d, t, x) for d, vec in docs.items() for t, x in vec.items()]
+    v = spark.createDataFrame(rows, "project_id string, class_name string, token string, value double")
+    for k in (3, 5, 40):
+        got = [(r.class_a, r.class_b, r.similarity) for r in S.nearest_pairs(v, k=k).orderBy("rank").collect()]
+        names = sorted(docs)
+        sims = sorted((-round(sum(w * docs[b].get(t, 0.0) for t, w in docs[a].items()), 9), a, b)
+                      for i, a in enumerate(names) for b in names[i + 1:])
+        assert got == [(a, b, -s + 0.0) for s, a, b in sims[:k]]
