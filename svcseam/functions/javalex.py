@@ -46,9 +46,10 @@ def blank_code(texts: pd.Series) -> pd.Series:
 
 # Accepted grammar of the lexical extractor (see operators.calls):
 # a dotted scope followed by ``.name(`` is a call site — not inside a longer
-# name, not an annotation (``@a.B(``) and not a qualified constructor
-# (``new a.B(``).
-CALL_SITE = r"(?<![\w$.@])(?<!\bnew\s{1,8})([A-Za-z_$][\w$.]*)\s*\.\s*([A-Za-z_$][\w$]*)\s*\("
+# name and not an annotation (``@a.B(``). Qualified constructor names
+# (``new a.B(``) are neutralised first with NEW_QUALIFIED.
+CALL_SITE = r"(?<![\w$.@])([A-Za-z_$][\w$.]*)\s*\.\s*([A-Za-z_$][\w$]*)\s*\("
+NEW_QUALIFIED = r"\bnew\s+[A-Za-z_$][\w$.]*"
 CLASS_DECL = r"\b(?:class|interface)\s+([A-Za-z_$][\w$]*)"
 PACKAGE_DECL = r"(?m)^\s*package\s+([\w.]+)\s*;"
 INJECTED_FIELD = (r"@(?:Autowired|Inject)\b(?:\s*@\w+(?:\([^)]*\))?)*\s+"

@@ -58,8 +58,10 @@ def call_edges(parsed: DataFrame, min_scope_len: int = 2) -> DataFrame:
     per_line = (parsed.filter("parsed")
                 .select(*KEY, "path", "from_package", "decls", F.posexplode("lines").alias("pos", "text"))
                 .withColumn("line_number", (F.col("pos") + 1).cast("int")))
+    code = F.when(F.col("text").contains("new"), F.regexp_replace("text", JL.NEW_QUALIFIED, "new _")) \
+            .otherwise(F.col("text"))
     calls = (per_line.filter(F.col("text").contains("("))
-             .select("*", F.posexplode(F.regexp_extract_all("text", F.lit(JL.CALL_SITE), 0)).alias("idx", "m"))
+             .select("*", F.posexplode(F.regexp_extract_all(code, F.lit(JL.CALL_SITE), 0)).alias("idx", "m"))
              .select(*KEY, "path", "from_package", "decls", "line_number",
                      F.regexp_extract("m", JL.CALL_SITE, 1).alias("to_class"),
                      F.regexp_extract("m", JL.CALL_SITE, 2).alias("method_name"),
