@@ -22,6 +22,7 @@ from ..operators import matrix as X
 from ..operators import metrics as A
 from ..operators import quality as Q
 from ..operators import similarity as S
+from ..session import cut_lineage
 from ..sources import fixtures as FX
 from .extraction import Extraction
 
@@ -212,6 +213,8 @@ def class_list(spark, sf):
 @query
 def call_summary(spark, sf):
     x = _text(spark, sf)
+    # edges and file counts both read the parsed files: blank the text once
+    x.__dict__["parsed_sources"] = cut_lineage(C.parse_sources(x.source_files))
     return C.call_summary(x.edges, C.file_status(x.parsed_sources))
 
 
