@@ -45,7 +45,6 @@ from ..session import cut_lineage
 
 KEY = ["project_id"]
 SIM_DECIMALS = 9
-EPS = 1e-12
 
 
 def _score(pairs: DataFrame, v: DataFrame, doc: str) -> DataFrame:

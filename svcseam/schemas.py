@@ -24,7 +24,7 @@ LOG_EVENTS = _struct(
 
 CALLS = _struct(
     ("project_id", S), ("path", S), ("from_class", S), ("from_package", S), ("to_class", S),
-    ("method_name", S), ("call_type", S), ("line_number", I), ("call_order", L),
+    ("method_name", S), ("call_type", S), ("line_number", I), ("call_idx", I),
 )
 
 DB_COLUMNS = _struct(
@@ -32,9 +32,12 @@ DB_COLUMNS = _struct(
     ("type", S), ("nullable", B), ("primary_key", B),
 )
 
+# fk_order sorts explicit keys (k=0: statement, match) before inferred ones
+# (k=1: table position, column ordinal).
+FK_ORDER = T.StructType([T.StructField("k", I, True), T.StructField("a", I, True), T.StructField("b", I, True)])
 FOREIGN_KEYS = _struct(
     ("project_id", S), ("from_table", S), ("column", S), ("references_table", S),
-    ("references_column", S), ("inferred", B), ("fk_order", L),
+    ("references_column", S), ("inferred", B), ("fk_order", FK_ORDER),
 )
 
 FEATURE_MATRIX = _struct(
