@@ -84,10 +84,10 @@ def _candidate_pairs(v0: DataFrame, doc: str, k: int, salt_buckets: int, seed_to
     #    rarest tokens, split into salt buckets by weight (copies stay together)
     salt = F.pmod(F.xxhash64(F.floor(F.col("value") * F.lit(4096))), F.lit(salt_buckets))
     ws = Window.partitionBy(*KEY, "token", "_salt").orderBy(F.col("value").desc(), F.col(doc))
-    seeds = (ranked.filter(F.col("_pos") <= seed_tokens)
-             .withColumn("_salt", salt).withColumn("_next", F.lead(doc).over(ws))
-             .filter(F.col("_next").isNotNull())
-             .select(*KEY, *_ordered_pair(F.col(doc), F.col("_next"))).distinct())
+    seeds = cut_lineage(ranked.filter(F.col("_pos") <= seed_tokens)
+                        .withColumn("_salt", salt).withColumn("_next", F.lead(doc).over(ws))
+                        .filter(F.col("_next").isNotNull())
+                        .select(*KEY, *_ordered_pair(F.col(doc), F.col("_next"))).distinct())
     seed_scores = _score(seeds, v, doc)
     wk = Window.partitionBy(*KEY).orderBy(F.col("similarity").desc(), "a", "b")
     sims = seed_scores.select(*KEY, "a", "b", "similarity")
@@ -99,10 +99,11 @@ def _candidate_pairs(v0: DataFrame, doc: str, k: int, salt_buckets: int, seed_to
            .select(*KEY, F.when(F.col("_n") >= k, F.col("_t")).otherwise(F.lit(0.0)).alias("t")))
 
     # 2. prefixes under the threshold: tokens whose suffix norm is still ≥ t
-    pref = (ranked.join(thr, KEY, "left")
-            .withColumn("t", F.coalesce("t", F.lit(0.0)))
-            .filter(F.sqrt(F.col("_suffix2")) >= F.col("t") - F.lit(1e-9))
-            .select(*KEY, doc, "token", "value", "t"))
+    # (joined with itself below: materialise once)
+    pref = cut_lineage(ranked.join(thr, KEY, "left")
+                       .withColumn("t", F.coalesce("t", F.lit(0.0)))
+                       .filter(F.sqrt(F.col("_suffix2")) >= F.col("t") - F.lit(1e-9))
+                       .select(*KEY, doc, "token", "value", "t"))
     p1 = pref.select(*KEY, "token", F.col(doc).alias("x"), F.col("value").alias("vx"), "t")
     p2 = pref.select(*KEY, "token", F.col(doc).alias("y"), F.col("value").alias("vy"))
     # Cauchy–Schwarz on a shared token j: cos ≤ x_j·y_j + √(1−x_j²)·√(1−y_j²).
@@ -140,8 +141,8 @@ def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_P
     #    by name, only the first k + 1 are ever needed (partial limit per task)
     fps = _fingerprints(v0, doc)
     wm = Window.partitionBy(*KEY, "fp").orderBy(doc)
-    members = (fps.withColumn("_m", F.row_number().over(wm)).filter(F.col("_m") <= k + 1)
-               .select(*KEY, "fp", F.col(doc).alias("member"), "_m", "self_dot"))
+    members = cut_lineage(fps.withColumn("_m", F.row_number().over(wm)).filter(F.col("_m") <= k + 1)
+                          .select(*KEY, "fp", F.col(doc).alias("member"), "_m", "self_dot"))
     reps = members.filter(F.col("_m") == 1).select(*KEY, "fp", F.col("member").alias(doc))
     v_rep = v0.join(reps.select(*KEY, doc), [*KEY, doc], "left_semi")
     # pairs inside a copy group (similarity = the vector's own dot product)
@@ -161,7 +162,7 @@ def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_P
     inter = (scored_reps.join(fp_a, [*KEY, "a"]).join(fp_b, [*KEY, "b"])
              .join(ma, [*KEY, "fa"]).join(mb, [*KEY, "fb"])
              .select(*KEY, *_ordered_pair(F.col("ma"), F.col("mb")), "similarity"))
-    scored = inter.unionByName(intra).filter(F.col("similarity") > 0)
+    scored = cut_lineage(inter.unionByName(intra).filter(F.col("similarity") > 0))  # ranked and padded
     wk = Window.partitionBy(*KEY).orderBy(F.col("similarity").desc(), "a", "b")
     v = v0
 

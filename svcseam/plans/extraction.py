@@ -5,9 +5,9 @@ scripts, log lines) and exposes every intermediate table as a property. Each
 property is a lazy DataFrame; Catalyst prunes whatever a consumer does not
 read. Nothing is collected.
 
-The call edges and the matrix each feed several consumers (class list, call
-metrics; z-scores, TF-IDF, quality checks), so they are written once to the
-shared checkpoint folder (``materialize=True``) instead of being recomputed
+The DDL scripts, the call edges and the matrix each feed several
+consumers (tables, columns and keys; class list and call metrics; z-scores
+and quality checks), so they are written once to the shared checkpoint folder (``materialize=True``) instead of being recomputed
 per consumer.
 """
 
@@ -33,7 +33,7 @@ class Extraction:
                  source_files: DataFrame | None = None, bucket_rows: int | None = None,
                  materialize: bool = True):
         self.log_lines = log_lines
-        self.ddl_scripts = ddl_scripts
+        self._ddl_scripts = ddl_scripts
         self._edges = edges
         self.source_files = source_files
         self.bucket_rows = bucket_rows
@@ -72,6 +72,12 @@ class Extraction:
         return L.table_frequency(self.events)
 
     # -- step 2B: schema ------------------------------------------------------
+    @cached_property
+    def ddl_scripts(self) -> DataFrame:
+        # statements, tables, columns, keys, metrics and project lists all
+        # start here: read (or derive) the scripts once
+        return self._keep(self._ddl_scripts)
+
     @cached_property
     def statements(self) -> DataFrame:
         return D.statements(self.ddl_scripts)
