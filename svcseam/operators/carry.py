@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_BUCKET_ROWS = 1 << 20
 
 
@@ -42,7 +44,8 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     each row's in-bucket value and each bucket's last value; the bucket table
     (one row per bucket, aggregated without another shuffle of the data) is
     windowed by key to get the value carried into each bucket and joined back
-    on the same partitioning. The input is scanned once."""
+    on the same partitioning. The windowed rows are checkpointed, so the
+    input is scanned once."""
     bucket_of = bucket_of or order[0]
     b = "__carry_bucket"
     v = "__carry_value"
@@ -54,6 +57,9 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
                  wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
                  .withColumn("__bucket_last", F.last(F.col(v), ignorenulls=True).over(
                      wl.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    # Two consumers (bucket table, join-back): materialise so the input is
+    # scanned once; the checkpoint keeps the (key, bucket) hash partitioning.
+    local = cut_lineage(local)
     buckets = local.groupBy(*keys, b).agg(F.first("__bucket_last").alias("__bucket_last"))
     wb = (Window.partitionBy(*_cols(keys)).orderBy(F.col(b))
           .rowsBetween(Window.unboundedPreceding, -1))
