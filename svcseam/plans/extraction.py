@@ -5,9 +5,10 @@ scripts, log lines) and exposes every intermediate table as a property. Each
 property is a lazy DataFrame; Catalyst prunes whatever a consumer does not
 read. Nothing is collected.
 
-The DDL scripts, the call edges and the matrix each feed several
-consumers (tables, columns and keys; class list and call metrics; z-scores
-and quality checks), so they are written once to the shared checkpoint folder (``materialize=True``) instead of being recomputed
+The log events, the DDL scripts, the call edges and the matrix each feed
+several consumers (correlation and frequencies; tables, columns and keys;
+class list and call metrics; z-scores and quality checks), so they are
+written once to the shared checkpoint folder (``materialize=True``) instead of being recomputed
 per consumer.
 """
 
@@ -52,7 +53,9 @@ class Extraction:
     # -- step 2C: logs --------------------------------------------------------
     @cached_property
     def events(self) -> DataFrame:
-        return L.log_events(self.log_lines)
+        # correlation, frequencies, totals and sinks all read the events:
+        # scan and regex-parse the log once
+        return self._keep(L.log_events(self.log_lines))
 
     @cached_property
     def correlation(self) -> DataFrame:
