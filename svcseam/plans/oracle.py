@@ -79,9 +79,9 @@ tfreq AS (
 CALL_ROWS = f"""
 li AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_discount,
-         coalesce(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey),
-                  first_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS to_partkey
+         coalesce(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount),
+                  first_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                    l_discount ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS to_partkey
   FROM lineitem),
 pc AS (SELECT p_partkey, {_class_of('p_name', 'p_partkey')} AS cls FROM part),
 cr AS (
@@ -91,7 +91,8 @@ cr AS (
          lower(substr(b.cls, 1, 1)) || substr(b.cls, 2) AS to_var,
          CASE WHEN l_discount = 0 THEN 'autowired' ELSE 'method_call' END AS call_type,
          {_list(FX.METHODS)}[l_linenumber] AS verb,
-         CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey) * 3 + 1 AS INTEGER)
+         CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey, l_discount) * 3 + 1
+              AS INTEGER)
            AS line_number
   FROM li JOIN pc a ON a.p_partkey = li.l_partkey JOIN pc b ON b.p_partkey = li.to_partkey),
 calls AS (

@@ -82,15 +82,16 @@ def _call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
     # Callee = part of the next line in the same order (the first line's part for the last line).
-    # (order, line number, part, supplier) is unique; line numbers alone repeat.
-    wo = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    # (order, line number, part, supplier, discount) is unique at every scale;
+    # line numbers alone repeat. Rows equal in all of these are interchangeable.
+    wo = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_discount")
     wo_all = wo.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     li = li.withColumn("to_partkey", F.coalesce(F.lead("l_partkey").over(wo), F.first("l_partkey").over(wo_all)))
     src = part.select(F.col("p_partkey").alias("l_partkey"), class_of(F.col("p_name"), F.col("p_partkey")).alias("from_class"))
     dst = part.select(F.col("p_partkey").alias("to_partkey"), class_of(F.col("p_name"), F.col("p_partkey")).alias("to_type"))
     rows = li.join(src, "l_partkey").join(dst, "to_partkey")
     proj = F.concat(F.lit("P"), F.col("l_suppkey").cast("string"))
-    wf = Window.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey")
+    wf = Window.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_discount")
     auto = F.col("l_discount") == 0
     to_var = _lower_first(F.col("to_type"))
     return rows.select(
