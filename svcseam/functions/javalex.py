@@ -50,6 +50,12 @@ def blank_code(texts: pd.Series) -> pd.Series:
 # (``new a.B(``) are neutralised first with NEW_QUALIFIED.
 CALL_SITE = r"(?<![\w$.@])([A-Za-z_$][\w$.]*)\s*\.\s*([A-Za-z_$][\w$]*)\s*\("
 NEW_QUALIFIED = r"\bnew\s+[A-Za-z_$][\w$.]*"
+# Call chains ``root(args).m1(args).m2(args)`` (arguments may nest one level):
+# each link after a call has the chain so far as its scope text.
+_ARGS = r"\((?:[^()]|\([^()]*\))*\)"
+LINK = r"\s*\.\s*[A-Za-z_$][\w$]*\s*" + _ARGS
+CHAIN = r"(?<![\w$.@])[A-Za-z_$][\w$.]*\s*" + _ARGS + r"(?:" + LINK + r")+"
+LINK_NAME = r"^\s*\.\s*([A-Za-z_$][\w$]*)"
 CLASS_DECL = r"\b(?:class|interface)\s+([A-Za-z_$][\w$]*)"
 PACKAGE_DECL = r"(?m)^\s*package\s+([\w.]+)\s*;"
 INJECTED_FIELD = (r"@(?:Autowired|Inject)\b(?:\s*@\w+(?:\([^)]*\))?)*\s+"

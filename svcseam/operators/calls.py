@@ -4,9 +4,11 @@ Accepted grammar (documented limit of a lexical scan, quirk K8):
 
 * comments, string, char and text-block literals are blanked first;
 * a call site is ``scope.name(`` where ``scope`` is a dotted name
-  (``a``, ``this.repo``, ``System.out``, ``super``); a chained call
-  contributes its first link only, unscoped calls are ``this`` calls and
-  are dropped (C2: scope ``this`` or shorter than 2 characters is dropped);
+  (``a``, ``this.repo``, ``System.out``, ``super``); in a call chain
+  ``r.a(x).b(y)`` every further link's scope is the chain before it
+  (``r.a(x)``, with literals blanked), as long as arguments nest at most one
+  level; unscoped calls are ``this`` calls and are dropped (C2: scope
+  ``this`` or shorter than 2 characters is dropped);
 * an injected field is ``@Autowired``/``@Inject`` then other annotations,
   modifiers, a type and a name, on the annotation's line or the next two;
   its edge goes to the type, method = field name, line = annotation's line;
@@ -29,6 +31,7 @@ from ..functions import javalex as JL
 
 KEY = ["project_id"]
 CALL_KIND_OFFSET = 1 << 20  # injected-field edges precede call edges on a line
+CHAIN_KIND_OFFSET = 2 << 20  # chain links follow the plain call sites of a line
 
 
 def parse_sources(source_files: DataFrame) -> DataFrame:
@@ -68,6 +71,20 @@ def call_edges(parsed: DataFrame, min_scope_len: int = 2) -> DataFrame:
                      F.lit("method_call").alias("call_type"),
                      (F.col("idx") + F.lit(CALL_KIND_OFFSET)).cast("int").alias("call_idx"))
              .filter((F.col("to_class") != "this") & (F.length("to_class") >= min_scope_len)))
+    # chain links whose scope is itself a call: strip the trailing links
+    links = F.regexp_extract_all(F.col("chain"), F.lit(JL.LINK), 0)
+    chained = (per_line.filter(F.col("text").rlike(r"\)\s*\."))
+               .select("*", F.posexplode(F.regexp_extract_all(code, F.lit(JL.CHAIN), 0)).alias("cidx", "chain"))
+               .select("*", F.posexplode(links).alias("li", "link"), F.size(links).alias("nl"))
+               .withColumn("scope", F.regexp_replace(
+                   F.col("chain"), F.concat(F.lit("(?:" + JL.LINK + "){"), (F.col("nl") - F.col("li")).cast("string"),
+                                            F.lit("}$")), F.lit("")))
+               .filter(F.col("scope").endswith(")"))
+               .select(*KEY, "path", "from_package", "decls", "line_number",
+                       F.regexp_replace(F.trim(F.col("scope")), r"\s+", " ").alias("to_class"),
+                       F.regexp_extract("link", JL.LINK_NAME, 1).alias("method_name"),
+                       F.lit("method_call").alias("call_type"),
+                       (F.col("cidx") * 64 + F.col("li") + F.lit(CHAIN_KIND_OFFSET)).cast("int").alias("call_idx")))
     ann_re = r"@(?:" + "|".join(rules.INJECTION_ANNOTATIONS) + r")\b"
     # An annotation line is read together with the next two lines (the field
     # usually follows on its own line); only matches starting on the
@@ -85,7 +102,7 @@ def call_edges(parsed: DataFrame, min_scope_len: int = 2) -> DataFrame:
                       F.regexp_extract("m", JL.INJECTED_FIELD, 1).alias("to_class"),
                       F.regexp_extract("m", JL.INJECTED_FIELD, 2).alias("method_name"),
                       F.lit("autowired").alias("call_type"), F.col("idx").cast("int").alias("call_idx")))
-    edges = calls.unionByName(fields)
+    edges = calls.unionByName(chained).unionByName(fields)
     return edges.select(*KEY, "path", _owner(F.col("decls"), F.col("line_number")).alias("from_class"),
                         "from_package", "to_class", "method_name", "call_type", "line_number", "call_idx")
 

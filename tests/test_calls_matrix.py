@@ -129,3 +129,15 @@ def test_matrix_from_fixture_consistent(spark, sf_small):
     assert m.count() == x.classes.count()
     tot = m.agg(F.sum("calls_out")).collect()[0][0]
     assert tot == x.edges.count()
+
+
+def test_chained_calls(spark):
+    src = ("package p;\nclass A {\n  void f() {\n    repo.findAll().stream().map(x -> x.getName()).count();\n"
+           "    foo().bar(\"a.b()\");\n    this.repo.find(1, g(2)).x();\n  }\n}\n")
+    e = C.call_edges(C.parse_sources(_src(spark, [("A.java", src)]))).orderBy("line_number", "call_idx").collect()
+    assert [(r.line_number, r.to_class, r.method_name) for r in e] == [
+        (4, "repo", "findAll"), (4, "repo.findAll()", "stream"), (4, "repo.findAll().stream()", "map"),
+        (4, "repo.findAll().stream().map(x -> x.getName())", "count"),
+        (5, "foo()", "bar"),
+        (6, "this.repo", "find"), (6, "this.repo.find(1, g(2))", "x"),
+    ]
