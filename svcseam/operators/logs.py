@@ -65,10 +65,17 @@ def log_correlation(events: DataFrame, bucketed: bool = True,
                            "table_name", "operation"))
 
 
+def resource_table_pairs(pairs: DataFrame) -> DataFrame:
+    """L6, long form: each distinct (resource, table) with its first position
+    and number of correlated SQL events — the scalable form (no list)."""
+    return (event_order(pairs).groupBy(*KEY, "resource", "table_name")
+            .agg(F.min("ord").alias("first_ord"), F.count("*").alias("n_events")))
+
+
 def resource_table_map(pairs: DataFrame) -> DataFrame:
-    """Resource → distinct tables in first-seen order (plus the resource's first_seen)."""
-    first = (event_order(pairs).groupBy(*KEY, "resource", "table_name")
-             .agg(F.min("ord").alias("first_ord")))
+    """Resource → distinct tables in first-seen order (plus the resource's
+    first_seen); list form for the sink, bounded by one project's tables."""
+    first = resource_table_pairs(pairs)
     return (first.groupBy(*KEY, "resource")
                  .agg(F.min("first_ord").alias("first_seen"),
                       F.sort_array(F.collect_list(F.struct("first_ord", "table_name"))).alias("_t"),

@@ -405,6 +405,9 @@ def oracle_sql() -> dict[str, str]:
                   FROM corr GROUP BY ALL)
       SELECT project_id, resource, string_agg(table_name, ',' ORDER BY first_ord, table_name) AS tables,
              count(*) AS n_tables, min(first_ord) AS first_seen FROM pairs GROUP BY ALL"""
+    q["resource_table_pairs"] = LOGS + """
+      SELECT project_id, carried AS resource, table_name, min(line_no * 2 + seq) AS first_ord, count(*) AS n_events
+      FROM corr GROUP BY ALL"""
     q["endpoint_frequency"] = LOGS + "SELECT * FROM efreq"
     q["table_frequency"] = LOGS + "SELECT * FROM tfreq"
     q["log_totals"] = LOGS + ("SELECT project_id, count(*) FILTER (WHERE type = 'HTTP') AS total_http, "

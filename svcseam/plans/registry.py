@@ -70,6 +70,11 @@ def resource_table_map(spark, sf):
     return _x(spark, sf).resource_tables.select("project_id", "resource", _joined("tables"), "n_tables", "first_seen")
 
 
+@query
+def resource_table_pairs(spark, sf):
+    return L.resource_table_pairs(_x(spark, sf).correlation)
+
+
 @query
 def endpoint_frequency(spark, sf):
     return _x(spark, sf).endpoint_freq
