@@ -55,54 +55,70 @@ def _owner(decls, line_no):
     return F.coalesce(F.try_element_at(hit, F.lit(-1))["name"], F.lit("Unknown"))
 
 
+def _edge(to_class, method_name, call_type, line_number, call_idx):
+    return F.struct(to_class.alias("to_class"), method_name.alias("method_name"), F.lit(call_type).alias("call_type"),
+                    line_number.cast("int").alias("line_number"), call_idx.cast("int").alias("call_idx"))
+
+
+def _no_edges():
+    """An empty array of the edge type (no regex evaluated)."""
+    return F.slice(F.array(_edge(F.lit(""), F.lit(""), "method_call", F.lit(0), F.lit(0))), 1, 0)
+
+
+def _line_edges(text, line_number, min_scope_len):
+    """Call-site and chain-link edges of one (blanked) line, as an array."""
+    code = F.when(text.contains("new"), F.regexp_replace(text, JL.NEW_QUALIFIED, "new _")).otherwise(text)
+    sites = F.filter(
+        F.transform(F.regexp_extract_all(code, F.lit(JL.CALL_SITE), 0), lambda m, j: _edge(
+            F.regexp_extract(m, JL.CALL_SITE, 1), F.regexp_extract(m, JL.CALL_SITE, 2), "method_call",
+            line_number, j + CALL_KIND_OFFSET)),
+        lambda e: (e["to_class"] != "this") & (F.length(e["to_class"]) >= min_scope_len))
+
+    def links(ch):
+        return F.regexp_extract_all(ch, F.lit(JL.LINK), 0)
+
+    def chain_edges(ch, cj):
+        # the scope of link li is the chain with its last (n - li) links stripped
+        n = F.size(links(ch))
+        return F.transform(links(ch), lambda lk, li: _edge(
+            F.regexp_replace(F.trim(F.regexp_replace(
+                ch, F.concat(F.lit("(?:" + JL.LINK + "){"), (n - li).cast("string"), F.lit("}$")), F.lit(""))),
+                r"\s+", " "),
+            F.regexp_extract(lk, JL.LINK_NAME, 1), "method_call", line_number, cj * 64 + li + CHAIN_KIND_OFFSET))
+
+    chains = F.filter(F.flatten(F.transform(F.regexp_extract_all(code, F.lit(JL.CHAIN), 0), chain_edges)),
+                      lambda e: e["to_class"].endswith(")"))
+    return F.when(text.contains("("),
+                  F.concat(sites, F.when(text.rlike(r"\)\s*\."), chains).otherwise(_no_edges()))) \
+            .otherwise(_no_edges())
+
+
 def call_edges(parsed: DataFrame, min_scope_len: int = 2) -> DataFrame:
     """Method-call edges (``method_call``) and injected-field edges
-    (``autowired``) with owner class, package, line and position."""
-    per_line = (parsed.filter("parsed")
-                .select(*KEY, "path", "from_package", "decls", F.posexplode("lines").alias("pos", "text"))
-                .withColumn("line_number", (F.col("pos") + 1).cast("int")))
-    code = F.when(F.col("text").contains("new"), F.regexp_replace("text", JL.NEW_QUALIFIED, "new _")) \
-            .otherwise(F.col("text"))
-    calls = (per_line.filter(F.col("text").contains("("))
-             .select("*", F.posexplode(F.regexp_extract_all(code, F.lit(JL.CALL_SITE), 0)).alias("idx", "m"))
-             .select(*KEY, "path", "from_package", "decls", "line_number",
-                     F.regexp_extract("m", JL.CALL_SITE, 1).alias("to_class"),
-                     F.regexp_extract("m", JL.CALL_SITE, 2).alias("method_name"),
-                     F.lit("method_call").alias("call_type"),
-                     (F.col("idx") + F.lit(CALL_KIND_OFFSET)).cast("int").alias("call_idx"))
-             .filter((F.col("to_class") != "this") & (F.length("to_class") >= min_scope_len)))
-    # chain links whose scope is itself a call: strip the trailing links
-    links = F.regexp_extract_all(F.col("chain"), F.lit(JL.LINK), 0)
-    chained = (per_line.filter(F.col("text").rlike(r"\)\s*\."))
-               .select("*", F.posexplode(F.regexp_extract_all(code, F.lit(JL.CHAIN), 0)).alias("cidx", "chain"))
-               .select("*", F.posexplode(links).alias("li", "link"), F.size(links).alias("nl"))
-               .withColumn("scope", F.regexp_replace(
-                   F.col("chain"), F.concat(F.lit("(?:" + JL.LINK + "){"), (F.col("nl") - F.col("li")).cast("string"),
-                                            F.lit("}$")), F.lit("")))
-               .filter(F.col("scope").endswith(")"))
-               .select(*KEY, "path", "from_package", "decls", "line_number",
-                       F.regexp_replace(F.trim(F.col("scope")), r"\s+", " ").alias("to_class"),
-                       F.regexp_extract("link", JL.LINK_NAME, 1).alias("method_name"),
-                       F.lit("method_call").alias("call_type"),
-                       (F.col("cidx") * 64 + F.col("li") + F.lit(CHAIN_KIND_OFFSET)).cast("int").alias("call_idx")))
+    (``autowired``) with owner class, package, line and position.
+
+    Every edge of a file is built as an array inside its row (call sites and
+    chain links per line, injected fields per annotation window) and exploded
+    once, so the parsed text is read in one pass."""
     ann_re = r"@(?:" + "|".join(rules.INJECTION_ANNOTATIONS) + r")\b"
+    lines = F.col("lines")
+    per_line = F.flatten(F.transform(lines, lambda l, i: _line_edges(l, i + 1, min_scope_len)))
     # An annotation line is read together with the next two lines (the field
     # usually follows on its own line); only matches starting on the
-    # annotation line count. Built inside the row from the file's line array.
-    windows = F.filter(F.transform(F.col("lines"), lambda l, i: F.when(l.rlike(ann_re), F.struct(
-        (i + 1).cast("int").alias("line_number"),
-        F.concat_ws(" ", l, F.coalesce(F.try_element_at(F.col("lines"), i + 2), F.lit("")),
-                    F.coalesce(F.try_element_at(F.col("lines"), i + 3), F.lit(""))).alias("text"),
-        F.size(F.regexp_extract_all(l, F.lit(ann_re), 0)).alias("k")))), lambda w: w.isNotNull())
-    fields = (parsed.filter("parsed")
-              .select(*KEY, "path", "from_package", "decls", F.inline(windows))
-              .select("*", F.posexplode(F.slice(F.regexp_extract_all("text", F.lit(JL.INJECTED_FIELD), 0),
-                                                F.lit(1), F.col("k"))).alias("idx", "m"))
-              .select(*KEY, "path", "from_package", "decls", "line_number",
-                      F.regexp_extract("m", JL.INJECTED_FIELD, 1).alias("to_class"),
-                      F.regexp_extract("m", JL.INJECTED_FIELD, 2).alias("method_name"),
-                      F.lit("autowired").alias("call_type"), F.col("idx").cast("int").alias("call_idx")))
-    edges = calls.unionByName(chained).unionByName(fields)
+    # annotation line count.
+    def field_edges(l, i):
+        window = F.concat_ws(" ", l, F.coalesce(F.try_element_at(lines, i + 2), F.lit("")),
+                             F.coalesce(F.try_element_at(lines, i + 3), F.lit("")))
+        k = F.size(F.regexp_extract_all(l, F.lit(ann_re), 0))
+        ms = F.slice(F.regexp_extract_all(window, F.lit(JL.INJECTED_FIELD), 0), F.lit(1), F.greatest(k, F.lit(1)))
+        found = F.transform(ms, lambda m, j: _edge(F.regexp_extract(m, JL.INJECTED_FIELD, 1),
+                                                   F.regexp_extract(m, JL.INJECTED_FIELD, 2), "autowired", i + 1, j))
+        return F.when(l.rlike(ann_re), found).otherwise(_no_edges())
+
+    fields = F.flatten(F.transform(lines, field_edges))
+    edges = (parsed.filter("parsed")
+             .select(*KEY, "path", "from_package", "decls", F.explode(F.concat(per_line, fields)).alias("e"))
+             .select(*KEY, "path", "from_package", "decls", "e.*"))
     return edges.select(*KEY, "path", _owner(F.col("decls"), F.col("line_number")).alias("from_class"),
                         "from_package", "to_class", "method_name", "call_type", "line_number", "call_idx")
 
