@@ -33,3 +33,13 @@ def test_scans_are_pruned(spark):
 def test_correlation_never_single_partition(spark):
     p = _final_plan(E.queries()["log_correlation"](spark, SF))
     assert "SinglePartition" not in p
+
+
+def test_call_edges_parse_once(spark):
+    """The Java text is blanked by one Python pass; all edge kinds come from it."""
+    from svcseam.operators import calls as C
+    src = spark.createDataFrame([("p", "A.java", "class A { void f() { a.b().c(); } @Autowired B bb; }")],
+                                "project_id string, path string, content string")
+    p = _final_plan(C.call_edges(C.parse_sources(src)))
+    assert p.count("ArrowEvalPython") == 1
+    assert "Exchange" not in p  # row-local: no shuffle of the text
