@@ -40,10 +40,15 @@ def blank_text(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def blank_code(texts: pd.Series) -> pd.Series:
+def _blank_code(texts: pd.Series) -> pd.Series:
     return texts.map(blank_text)
 
 
+# Deterministic in fact; declared otherwise so Catalyst never copies the call
+# into a pushed-down filter (which would run the Python pass twice).
+blank_code = _blank_code.asNondeterministic()
+
+
 # Accepted grammar of the lexical extractor (see operators.calls):
 # a dotted scope followed by ``.name(`` is a call site — not inside a longer
 # name and not an annotation (``@a.B(``). Qualified constructor names
