@@ -14,6 +14,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Python workers receive this module's functions by value, so executors need
+# no installed copy of the package (also when the job is started elsewhere).
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 _LEXEME = re.compile(
     r'"""[\s\S]*?"""'            # text block
     r'|"(?:[^"\\\n]|\\.)*"'       # string literal

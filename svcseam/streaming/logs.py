@@ -25,6 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Python workers receive this module's functions by value, so executors need
+# no installed copy of the package (also when the job is started elsewhere).
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 from ..operators import logs as L
 
 PAIR_SCHEMA = ("project_id string, session_id string, line_no long, seq int, resource string, "
