@@ -11,11 +11,12 @@
    P(similarity >= threshold) falls below the chosen miss probability.
 4. Survivors are verified on their full shingle sets.
 
-Within a band's bucket no pairs are enumerated: every member is compared with the
-bucket's pivot, linked members merge into one component, and only buckets that
-still hold several components go on with the next pivot (one at a time first,
-then ``PIVOTS`` at a time). Each bucket's pairs across components are all
-compared in the end; a group of g near copies costs about g comparisons a band.
+Within a band's bucket the pairs of a group are not enumerated. Members are compared
+with the bucket's pivots, first the one, then the eight that agree with most others,
+and linked members merge into components. Buckets that still hold several components
+go on with their smallest components' members as pivots, at most ``PIVOTS`` a round,
+until one component or no uncompared pair is left: every pair across components is
+compared in the end, while a group of g near copies costs about g comparisons.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ from .words import SHINGLE, bounds, constants, mix64, shingles, slices, tokens
 
 HASHES, ROWS, BATCH = 128, 4, 16
 THRESHOLD, MISS = 75, 1e-6
-PIVOTS = 64
+FIRST_PIVOTS, PIVOTS = (1, 8), 64
+#: Ids of candidates are broadcast to the scan up to this many (8 bytes each), and shuffled beyond.
+BROADCAST_IDS = 1_000_000
 
 
 def _signature(h: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
@@ -128,15 +131,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
-def verified_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def verified_links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full 5-word shingle sets reach the threshold."""
-    size = reps.select("doc_id", "n_shingles", "sig")
-    both = (pairs.join(size.toDF("a", "na", "sa"), "a").join(size.toDF("b", "nb", "sb"), "b")
+    both = (pairs.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b")
             .where(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)"))
     likely = kept(both.select("a", "b", "sa", "sb").mapInArrow(_verify_signatures, "a long, b long"))
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = kept(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<bigint>")
-                .dropDuplicates(["doc_id"]))
     inter = F.size(F.array_intersect("xa", "xb"))
     return (likely.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
             .select("a", "b", inter.alias("both"), (F.size("xa") + F.size("xb") - inter).alias("union"))
@@ -157,41 +156,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prof = kept(profiles(docs))
     full = prof.where("n_shingles > 0 and doc_id is not null")
-    groups = full.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    groups = kept(groups)
-    reps = (full.join(groups.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi")
-            .dropDuplicates(["doc_id"]))
-    reps = kept(reps)
-    rep_docs = docs.join(reps.select("doc_id"), "doc_id", "left_semi")
+    groups = kept(full.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = full.join(groups.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi")
     rows = reps.select("doc_id", "sig").mapInArrow(_bands, "bucket long, doc_id long")
-    shared = rows.groupBy("bucket").count().where("count > 1").select("bucket")
+    rows = kept(rows)
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = kept(rows.join(shared, "bucket"))
+    # A member that agrees with many others in many bands is a good pivot.
+    degree = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    members = kept(members.select("bucket", "doc_id").join(degree, "doc_id"))
+    ids = members.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sigs = kept(prof.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig"))
+    sets = kept(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<bigint>"))
     labels, step = None, 0
     while True:
-        pivots_at_once = 1 if step < 2 else PIVOTS
-        live = members.withColumn("comp", F.col("doc_id"))
+        comp = F.col("doc_id").alias("comp")
+        live = members.select("*", comp)
         if labels is not None:
             live = (members.join(labels, members.doc_id == labels.node, "left")
-                    .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp")))
+                    .select("bucket", "doc_id", "degree", F.coalesce("component", "doc_id").alias("comp")))
         live = kept(live)
         # Only buckets with several components have pairs left to compare.
         several = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         live = live.join(several.select("bucket"), "bucket", "left_semi")
-        order = Window.partitionBy("bucket").orderBy("doc_id")
-        pivots = (live.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots_at_once)
-                  .select("bucket", F.col("doc_id").alias("a"), F.col("comp").alias("ca")))
-        pivots = kept(pivots)
+        if step < len(FIRST_PIVOTS):
+            at_once, ranked, best = FIRST_PIVOTS[step], live, F.desc("degree")
+        else:
+            own = live.groupBy("bucket", "comp").agg(F.count("*").alias("own"))
+            at_once, ranked, best = PIVOTS, live.join(own, ["bucket", "comp"]), F.asc("own")
+        order = Window.partitionBy("bucket").orderBy(best, "comp", "doc_id")
+        pivots = kept(ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= at_once)
+                      .select("bucket", F.col("doc_id").alias("a"), F.col("comp").alias("ca")))
         if pivots.isEmpty():
             break
         pairs = (live.select("bucket", F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
-                 .join(pivots, "bucket").where("b > a and ca <> cb").select("a", "b").distinct())
-        new = kept(verified_links(pairs, reps, rep_docs))
+                 .join(pivots, "bucket").where("ca <> cb")
+                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        new = verified_links(pairs, sigs, sets)
         if labels is not None:
             new = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
         labels = components(new.toDF("u", "v"))
-        # The pivots' pairs are done: later rounds take the members after them.
-        done = pivots.groupBy("bucket").agg(F.max("a").alias("done"))
-        members = kept(live.select("bucket", "doc_id").join(done, "bucket").where("doc_id > done").select("bucket", "doc_id"))
+        # The pivots' pairs are done; later rounds go without them.
+        members = kept(live.drop("comp").join(pivots.select("bucket", F.col("a").alias("doc_id")), ["bucket", "doc_id"], "left_anti"))
         step += 1
     if labels is None:
         of = groups.select("fp", "rep", F.col("rep").alias("component_id"))
@@ -204,5 +211,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-for _m in (sys.modules[__name__],):
-    cloudpickle.register_pickle_by_value(_m)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
