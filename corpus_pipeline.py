@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage calls one operator of ``svcseam.llm`` on all that its predecessor kept.
+All stages but the last return the columns of ``documents``; the last returns the
+pieces of the packed sequences."""
 
 from __future__ import annotations
 
@@ -7,21 +11,52 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from svcseam.llm import near_dup
-from svcseam.llm.tables import read
+from svcseam.llm import containment, exact_dup, near_dup, packing, toxicity
+from svcseam.llm.tables import fold, read
 from svcseam.session import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches 0.5 go; scored in the scan, nothing is shuffled."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) == 0)
+    return docs.select(*COLUMNS).where(toxicity.toxicity_score(model, F.col("text")) < 0.5)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays (one row of it, if it is repeated)."""
+    found = exact_dup.exact_duplicates(docs)
+    drop = found.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
+    again = left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    return (left.join(again, "doc_id", "left_anti")
+            .union(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the smallest doc_id."""
     drop = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    leaks = containment.contained_items(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of at most 1024 ids."""
+    return packing.with_digest(packing.pack(docs))
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", exact_dedup),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("packing", pack),
 ]
 
 #: Classifiers, MinHash components and tokenisers cannot be said in SQL; the tests hold

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup
+from . import containment, exact_dup, near_dup, packing, toxicity
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,50 @@ def query(fn):
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_digest(packing.pack(read(spark, sf_dir, "documents")))
+
+
+@query
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+#: A-Z folded to a-z.
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op5_exact_duplicates"] = f"""
+with t as (select doc_id, {_FOLDED} as low from documents),
+     g as (select low, max(doc_id) as keep_id, count(*) as group_size from t group by low)
+select t.doc_id, g.keep_id, g.group_size, coalesce(t.doc_id = g.keep_id, g.keep_id is null) as kept, sha256(t.low) as text_sha256
+from t join g on t.low = g.low
+"""
+
+_SHINGLES = r"""select {key}, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)))) as s
+      from (select {key}, string_split_regex(trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') as w
+            from {table} where text is not null and {key} is not null) where len(w) >= 5"""
+
+ORACLE["op9_benchmark_leaks"] = f"""
+with d as (select distinct * from ({_SHINGLES.format(key="doc_id", table="documents")})),
+     b as (select distinct * from ({_SHINGLES.format(key="item_id", table="benchmark")})),
+     n as (select item_id, count(*) as n from b group by item_id)
+select doc_id, b.item_id, n.n as item_shingles, count(*) as shared, count(*) / n.n as containment
+from d join b on d.s = b.s join n on n.item_id = b.item_id
+group by doc_id, b.item_id, n.n having 100 * count(*) >= 75 * n.n
+"""

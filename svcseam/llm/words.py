@@ -50,7 +50,9 @@ def _tables(n: int):
         space[[32, 9, 10, 11, 12, 13]] = True
         value = constants(256, 1)
         value[65:91] = value[97:123]
-        _TABLES.update(lower=lower, space=space, value=value, n=0)
+        other = np.ones(256, bool)  # everything but ASCII letters and bytes of other characters
+        other[65:91] = other[97:123] = other[128:] = False
+        _TABLES.update(lower=lower, space=space, other=other, value=value, n=0)
     if _TABLES["n"] < n:
         base = int(constants(1, 2)[0]) | 1
         inverse = pow(base, -1, 1 << 64)
@@ -70,12 +72,14 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data[off[0]:off[-1]]
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array, between: str = "space", prefixes: tuple[int, ...] = ()) -> tuple:
     """(row, start, end, hash, bytes) of all words, in order; start and end are
-    places in ``bytes`` (the joined texts)."""
+    places in ``bytes`` (the joined texts). ``between="other"`` takes runs of letters
+    (ASCII letters and bytes of other characters) as words. ``prefixes`` adds, per
+    length, the hashes of the words' first bytes (0 for words not longer)."""
     off, data = string_buffers(texts)
     t = _tables(BLOCK)
-    word = ~t["space"][data]
+    word = ~t[between][data]
     before = np.empty_like(word)
     before[:1] = False
     before[1:] = word[:-1]
@@ -90,6 +94,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     end = np.flatnonzero(word & ~after) + 1
     row = np.searchsorted(off, start, "right") - 1
     hashes = np.empty(len(start), _U)
+    heads = [np.zeros(len(start), _U) for _ in prefixes]
     i = 0
     while i < len(start):
         at = start[i]
@@ -100,8 +105,12 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         np.cumsum(t["value"][part] * t["pow"][:len(part)], out=sums[1:])
         s, e = start[i:j] - at, end[i:j] - at
         hashes[i:j] = mix64((sums[e] - sums[s]) * t["inv"][s] + (e - s).astype(_U) * _U(0x9E3779B97F4A7C15))
+        for k, head in zip(prefixes, heads):
+            long = np.flatnonzero(e - s > k)
+            at = s[long]
+            head[i + long] = mix64((sums[at + k] - sums[at]) * t["inv"][at] + _U(0xA5A5 + k))
         i = j
-    return row, start, end, hashes, data
+    return (row, start, end, hashes, data, *heads)
 
 
 def shingles(row: np.ndarray, word: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
