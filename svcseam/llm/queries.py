@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, exact_dup, near_dup, packing, toxicity
+from . import containment, exact_dup, line_dedup, near_dup, packing, toxicity
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 #: A-Z folded to a-z.
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -67,3 +72,20 @@ select doc_id, b.item_id, n.n as item_shingles, count(*) as shared, count(*) / n
 from d join b on d.s = b.s join n on n.item_id = b.item_id
 group by doc_id, b.item_id, n.n having 100 * count(*) >= 75 * n.n
 """
+
+ORACLE["op10_line_runs"] = r"""
+with a as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+     x as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as ln from a),
+     l as (select doc_id, line, ln, row_number() over (partition by doc_id order by ln) as k,
+                  len(string_split_regex(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+')) as words
+           from x where regexp_matches(line, '[^\x20\x09-\x0D]')),
+     p as (select l.doc_id, l.ln, l.k, l.words, e.doc_id as other, l.k - e.k as shift
+           from l join l e on l.line = e.line and (e.doc_id < l.doc_id or (e.doc_id = l.doc_id and e.k < l.k))),
+     r as (select *, k - row_number() over (partition by doc_id, other, shift order by k) as run from p),
+     q as (select *, sum(words) over (partition by doc_id, other, shift, run) as total from r),
+     d as (select doc_id, list(distinct ln) as gone from q where total >= 50 group by doc_id)
+select a.doc_id, cast(len(ls) as integer) as n_lines, cast(coalesce(len(gone), 0) as integer) as n_deleted,
+       case when gone is null then text
+            else coalesce(list_aggregate([ls[i + 1] for i in range(len(ls)) if not list_contains(gone, i)], 'string_agg', chr(10)), '') end as text
+from a left join d on a.doc_id = d.doc_id
+"""
