@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, exact_dup, line_dedup, near_dup, packing, toxicity
+from . import containment, exact_dup, line_dedup, near_dup, packing, secrets, token_counts, toxicity
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.with_digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
+
+
 @query
 def op5_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dup.exact_duplicates(read(spark, sf_dir, "documents"))
@@ -40,6 +45,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_digest(packing.pack(read(spark, sf_dir, "documents")))
 
 
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
 @query
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
