@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import containment, exact_dup, language_id, line_dedup, near_dup, packing, secrets, token_counts, toxicity
+from . import containment, exact_dup, language_id, line_dedup, maxent_lm, near_dup, packing, secrets, token_counts, toxicity
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op5_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.lm_scores(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_digest(packing.pack(read(spark, sf_dir, "documents")))
