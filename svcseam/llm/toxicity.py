@@ -226,14 +226,18 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, fit_
         base = base.where(~held_out)
     given = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    chosen_of = []
-    ids = base.select("doc_id").distinct().join(given, "doc_id", "left")
-    for part in (ids.where("toxic is not null"), ids.where("toxic is null")):
-        chosen_of.append(part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
-    chosen = kept(chosen_of[0].union(chosen_of[1]))  # at most 2 * fit_rows ids
-    sample = kept(base.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
-    labelled = sample.where("toxic is not null").dropDuplicates(["text"])
-    n_pos, n_neg = (labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*") - F.coalesce(F.sum("toxic"), F.lit(0))).first())
+    # One document of each distinct text; the chosen ids (at most 2 * fit_rows) are broadcast
+    # to the scans, so no text is shuffled or stored.
+    ids = base.select("doc_id", F.xxhash64("text").alias("th")).join(given, "doc_id", "left")
+    first = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))
+    texts = ids.groupBy("th").agg(first.alias("first"), F.max("toxic").alias("toxic")).select("first.*", "toxic")
+    chosen_of = [part.orderBy("h", "doc_id").limit(fit_rows).select("doc_id", "toxic")
+                 for part in (texts.where("toxic is not null"), texts.where("toxic is null"))]
+    chosen = kept(chosen_of[0].union(chosen_of[1]))
+    sample = base.join(F.broadcast(chosen), "doc_id")
+    labelled = sample.where("toxic is not null")
+    n_pos, n_neg = (chosen.where("toxic is not null")
+                    .agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*") - F.coalesce(F.sum("toxic"), F.lit(0))).first())
     stems, voters = np.zeros(0, np.uint64), np.zeros(0, bool)
     if n_pos and n_neg:
         rate1, rate0 = (F.col("pos") + 0.5) / (n_pos + 1.0), (F.col("neg") + 0.5) / (n_neg + 1.0)
