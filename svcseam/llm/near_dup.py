@@ -11,12 +11,13 @@
    P(similarity >= threshold) falls below the chosen miss probability.
 4. Survivors are verified on their full shingle sets.
 
-Within a band's bucket the pairs of a group are not enumerated. Members are compared
-with the bucket's pivots, first the one, then the eight that agree with most others,
-and linked members merge into components. Buckets that still hold several components
-go on with their smallest components' members as pivots, at most ``PIVOTS`` a round,
-until one component or no uncompared pair is left: every pair across components is
-compared in the end, while a group of g near copies costs about g comparisons.
+The pairs of a bucket of more than ``SMALL`` members are not enumerated. Every member is
+compared with the bucket's pivot (the member that agrees with most others), and linked
+members merge into components; a group of g near copies costs about g comparisons. Where
+the documents that large buckets connect (a family) still hold several components, the
+members outside the largest one are a query set, compared with the whole family in
+blocks inside the tasks, by the same test; only links leave a task. So no pair across
+components is left out, and no rows of pairs are made.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -37,7 +39,10 @@ from .words import SHINGLE, bounds, constants, mix64, shingles, slices, tokens
 
 HASHES, ROWS, BATCH = 128, 4, 16
 THRESHOLD, MISS = 75, 1e-6
-FIRST_PIVOTS, PIVOTS = (1, 8), 64
+#: Buckets of at most this many members are compared pair by pair.
+SMALL = 8
+#: Blocks of a family hold about this many shingles (8 bytes each).
+BLOCK_SHINGLES = 1_000_000
 #: Ids of candidates are broadcast to the scan up to this many (8 bytes each), and shuffled beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -142,6 +147,90 @@ def verified_links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFr
             .where(f"100 * both >= {THRESHOLD} * union").select("a", "b"))
 
 
+def _to_compare(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) for the pairs of small buckets, and for every member b of a large one and its
+    pivot a, the member that agrees with most others in all its buckets."""
+    sized = kept(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket"))
+    few = sized.where(F.col("size") <= SMALL)
+    small = (few.select("bucket", F.col("doc_id").alias("a")).join(few.select("bucket", F.col("doc_id").alias("b")), "bucket")
+             .where("a < b").select("a", "b").distinct())
+    many = sized.where(F.col("size") > SMALL)
+    degree = many.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    large = kept(many.select("bucket", "doc_id").join(degree, "doc_id"))
+    pivots = large.groupBy("bucket").agg(F.max(F.struct("degree", F.col("doc_id").alias("a"))).alias("p")).select("bucket", "p.a")
+    star = kept(large.join(pivots, "bucket").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    return small, star
+
+
+def _families(star: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(doc_id, comp, family, query, qb, tb) for families, documents that large buckets
+    connect, that hold several components. Every member outside the family's largest
+    component is a query; qb and tb are the numbers of query and target blocks."""
+    family = components(star.toDF("u", "v")).toDF("doc_id", "family")
+    docs = kept(family.join(labels.toDF("doc_id", "component"), "doc_id", "left").join(sigs.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
+                .select("doc_id", "family", "n", F.coalesce("component", "doc_id").alias("comp")))
+    comps = docs.groupBy("family", "comp").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    largest = (comps.groupBy("family").agg(F.max(F.struct("docs", F.col("comp").alias("main"), F.col("n").alias("main_n"))).alias("m"),
+                                           F.sum("n").alias("all_n"), F.count("*").alias("comps")).where("comps > 1")
+               .select("family", "m.main", F.ceil(F.col("all_n") / BLOCK_SHINGLES).cast("int").alias("tb"),
+                       F.ceil((F.col("all_n") - F.col("m.main_n")) / BLOCK_SHINGLES).cast("int").alias("qb")))
+    return docs.join(largest, "family").select("doc_id", "comp", "family", (F.col("comp") != F.col("main")).alias("query"), "qb", "tb")
+
+
+def _compare_blocks(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between a block of queries and a block of targets of other components:
+    signatures in batches of hashes, survivors exactly on their sets."""
+    table = pa.Table.from_batches(list(batches))
+    is_query = table.column("is_query").to_numpy()
+    q, t = (table.filter(pa.array(m)) for m in (is_query, ~is_query))
+    names = ["a", "b"]
+    if not q.num_rows or not t.num_rows:
+        return
+    sig = [np.frombuffer(b"".join(x.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES) for x in (q, t)]
+    ids = [x.column("doc_id").to_numpy() for x in (q, t)]
+    comp = [x.column("comp").to_numpy() for x in (q, t)]
+    lists = [x.column("shingles").combine_chunks() for x in (q, t)]
+    sets = [x.flatten().to_numpy() for x in lists]
+    cut = [np.r_[0, np.cumsum(pc.list_value_length(x).to_numpy())] for x in lists]
+    size = [np.diff(c) for c in cut]
+    vocabulary, number = np.unique(sets[1], return_inverse=True)
+    need = least_matches(THRESHOLD / 100, MISS)
+    out = []
+    for i in range(q.num_rows):
+        small, large = np.minimum(size[0][i], size[1]), np.maximum(size[0][i], size[1])
+        live = np.flatnonzero((comp[1] != comp[0][i]) & (100 * small >= THRESHOLD * large))
+        same = np.zeros(len(live), np.int64)
+        for k, least in enumerate(need):
+            h = slice(k * BATCH, (k + 1) * BATCH)
+            same += (sig[1][live, h] == sig[0][i, h]).sum(axis=1)
+            live, same = live[same >= least], same[same >= least]
+        if len(live):
+            mine = sets[0][cut[0][i]:cut[0][i + 1]]
+            at = np.minimum(np.searchsorted(vocabulary, mine), len(vocabulary) - 1)
+            has = np.zeros(len(vocabulary), np.int64)
+            has[at[vocabulary[at] == mine]] = 1
+            for j in live:
+                both = int(has[number[cut[1][j]:cut[1][j + 1]]].sum())
+                if 100 * both >= THRESHOLD * (size[0][i] + size[1][j] - both):
+                    out.append((ids[0][i], ids[1][j]))
+    if out:
+        a, b = zip(*out)
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+
+
+def _family_links(families: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components of a family: blocks of queries against blocks of targets, of
+    about ``BLOCK_SHINGLES`` shingles each, so that no task holds a family."""
+    full = kept(families.join(sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id"))
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["family", "q", "t", "is_query", "doc_id", "comp", "sig", "shingles"]
+    queries = full.where("query").withColumn("q", block("qb")).withColumn("t", every("tb")).withColumn("is_query", F.lit(True))
+    targets = full.withColumn("t", block("tb")).withColumn("q", every("qb")).withColumn("is_query", F.lit(False))
+    return (queries.select(*columns).union(targets.select(*columns)).groupBy("family", "q", "t")
+            .applyInArrow(_compare_blocks, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text,
     any further columns are ignored).
@@ -161,50 +250,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = reps.select("doc_id", "sig").mapInArrow(_bands, "bucket long, doc_id long")
     rows = kept(rows)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = kept(rows.join(shared, "bucket"))
-    # A member that agrees with many others in many bands is a good pivot.
-    degree = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
-    members = kept(members.select("bucket", "doc_id").join(degree, "doc_id"))
+    members = kept(rows.join(shared.select("bucket"), "bucket"))
     ids = members.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sigs = kept(prof.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig"))
     sets = kept(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<bigint>"))
-    labels, step = None, 0
-    while True:
-        comp = F.col("doc_id").alias("comp")
-        live = members.select("*", comp)
-        if labels is not None:
-            live = (members.join(labels, members.doc_id == labels.node, "left")
-                    .select("bucket", "doc_id", "degree", F.coalesce("component", "doc_id").alias("comp")))
-        live = kept(live)
-        # Only buckets with several components have pairs left to compare.
-        several = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        live = live.join(several.select("bucket"), "bucket", "left_semi")
-        if step < len(FIRST_PIVOTS):
-            at_once, ranked, best = FIRST_PIVOTS[step], live, F.desc("degree")
-        else:
-            own = live.groupBy("bucket", "comp").agg(F.count("*").alias("own"))
-            at_once, ranked, best = PIVOTS, live.join(own, ["bucket", "comp"]), F.asc("own")
-        order = Window.partitionBy("bucket").orderBy(best, "comp", "doc_id")
-        pivots = kept(ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= at_once)
-                      .select("bucket", F.col("doc_id").alias("a"), F.col("comp").alias("ca")))
-        if pivots.isEmpty():
-            break
-        pairs = (live.select("bucket", F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
-                 .join(pivots, "bucket").where("ca <> cb")
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        new = verified_links(pairs, sigs, sets)
-        if labels is not None:
-            new = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
-        labels = components(new.toDF("u", "v"))
-        # The pivots' pairs are done; later rounds go without them.
-        members = kept(live.drop("comp").join(pivots.select("bucket", F.col("a").alias("doc_id")), ["bucket", "doc_id"], "left_anti"))
-        step += 1
-    if labels is None:
-        of = groups.select("fp", "rep", F.col("rep").alias("component_id"))
-    else:
-        of = (groups.join(labels, groups.rep == labels.node, "left")
-              .select("fp", "rep", F.coalesce("component", "rep").alias("component_id")))
+    small, star = _to_compare(members)
+    labels = components(verified_links(small.union(star).distinct(), sigs, sets).toDF("u", "v"))
+    rest = _family_links(_families(star, labels, sigs), sigs, sets)
+    labels = components(labels.toDF("u", "v").union(rest.toDF("u", "v")))
+    of = (groups.join(labels, groups.rep == labels.node, "left")
+          .select("fp", "rep", F.coalesce("component", "rep").alias("component_id")))
     out = (prof.withColumn("key", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("fp")))
            .join(of.select(F.col("fp").alias("key"), "component_id"), "key", "left")
            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
