@@ -2,7 +2,8 @@
 
 Each stage calls one operator of ``svcseam.llm`` on all that its predecessor kept.
 All stages but the last return the columns of ``documents``; the last returns the
-pieces of the packed sequences."""
+pieces of the packed sequences. Toxicity is scored in the scan; the other filters'
+decisions name documents by doc_id, so a row without one stays."""
 
 from __future__ import annotations
 
