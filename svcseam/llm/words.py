@@ -4,7 +4,7 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, with A-Z
 lower-cased; in UTF-8 those bytes never occur inside another character, so
 bytes and characters give the same words. Words carry a 64-bit hash (a
 polynomial over random byte values, then mixed). Work runs in blocks of about
-one megabyte, cut at white space, so a very long text needs no more memory
+a quarter megabyte, cut at white space, so a very long text needs no more memory
 than its list of words.
 """
 
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SHINGLE = 5
 _U = np.uint64
 
