@@ -1,18 +1,17 @@
 """Lexical helpers for Java text.
 
-``blank_code`` is the only Python in the call-edge job: a vectorised (Arrow
-batch) pandas UDF that overwrites comments and string/char literals with
-spaces, keeping every newline, so line numbers and positions are unchanged.
-Everything else is Spark SQL.
+``scan_column`` is the only Python in the call-edge job: one linear pass over a
+file's tokens with a stack of open brackets. Comments and literals are blanked
+first, keeping every newline, so line numbers and positions are unchanged.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Python workers receive this module's functions by value, so executors need
 # no installed copy of the package (also when the job is started elsewhere).
@@ -47,30 +46,171 @@ def blank_text(text: str | None) -> str | None:
     return _LEXEME.sub(_blank, text)
 
 
-@F.pandas_udf(T.StringType())
-def _blank_code(texts: pd.Series) -> pd.Series:
-    return texts.map(blank_text)
-
-
-# Deterministic in fact; declared otherwise so Catalyst never copies the call
-# into a pushed-down filter (which would run the Python pass twice).
-blank_code = _blank_code.asNondeterministic()
-
-
-# Accepted grammar of the lexical extractor (see operators.calls):
-# a dotted scope followed by ``.name(`` is a call site — not inside a longer
-# name and not an annotation (``@a.B(``). Qualified constructor names
-# (``new a.B(``) are neutralised first with NEW_QUALIFIED.
-CALL_SITE = r"(?<![\w$.@])([A-Za-z_$][\w$.]*)\s*\.\s*([A-Za-z_$][\w$]*)\s*\("
-NEW_QUALIFIED = r"\bnew\s+[A-Za-z_$][\w$.]*"
-# Call chains ``root(args).m1(args).m2(args)`` (arguments may nest one level):
-# each link after a call has the chain so far as its scope text.
-_ARGS = r"\((?:[^()]|\([^()]*\))*\)"
-LINK = r"\s*\.\s*[A-Za-z_$][\w$]*\s*" + _ARGS
-CHAIN = r"(?<![\w$.@])[A-Za-z_$][\w$.]*\s*" + _ARGS + r"(?:" + LINK + r")+"
-LINK_NAME = r"^\s*\.\s*([A-Za-z_$][\w$]*)"
-CLASS_DECL = r"\b(?:class|interface)\s+([A-Za-z_$][\w$]*)"
-PACKAGE_DECL = r"(?m)^\s*package\s+([\w.]+)\s*;"
-INJECTED_FIELD = (r"@(?:Autowired|Inject)\b(?:\s*@\w+(?:\([^)]*\))?)*\s+"
-                  r"(?:(?:private|protected|public|static|final|transient|volatile)\s+)*"
-                  r"([A-Za-z_$][\w$.]*(?:<[^;=()]*>)?(?:\[\])*)\s+([A-Za-z_$][\w$]*)\s*[;=,]")
+_TOKEN = re.compile(r"[A-Za-z_$\u0080-\uffff][\w$]*|\S")
+_SPACE = re.compile(r"\s+")
+_TIGHT = re.compile(r" ?([.()]) ?")
+_PACKAGE = re.compile(r"(?m)^\s*package\s+([\w.]+)\s*;")
+_CLOSES = {")": "(", "]": "[", "}": "{"}
+_TYPE_WORDS = frozenset(["class", "interface"])
+# Words that may stand before ``(`` or ``.`` without being a call or a value.
+_NOT_VALUES = frozenset("if while for switch catch synchronized try return throw assert case do else yield instanceof "
+                        "import package extends implements throws".split())
+_MODIFIERS = frozenset("private protected public static final transient volatile".split())
+
+
+def _tidy(text: str) -> str:
+    return _TIGHT.sub(r"\1", _SPACE.sub(" ", text.strip()))
+
+
+def _skip_angles(tokens: list, i: int) -> int:
+    """The index after a balanced ``<...>`` that begins at i."""
+    depth = 0
+    while i < len(tokens):
+        t = tokens[i][0]
+        depth += (t == "<") - (t == ">")
+        i += 1
+        if depth == 0:
+            break
+        if t in "({;":
+            return i - 1
+    return i
+
+
+def _qualified(tokens: list, i: int) -> int:
+    """The index after a dotted name that begins at i."""
+    while i + 2 < len(tokens) and tokens[i + 1][0] == "." and (tokens[i + 2][0].isidentifier() or "$" in tokens[i + 2][0]):
+        i += 2
+    return i + 1
+
+
+def _injected_field(tokens: list, i: int, names: frozenset, text: str):
+    """A field declaration that begins with annotations at i: (index after it, type,
+    name, injected?); None if what follows the annotations is no field."""
+    injected = False
+    while i + 1 < len(tokens) and (tokens[i][0] == "@" or tokens[i][0] in _MODIFIERS):
+        if tokens[i][0] in _MODIFIERS:
+            i += 1
+            continue
+        j = _qualified(tokens, i + 1)
+        injected |= tokens[j - 1][0] in names
+        if j < len(tokens) and tokens[j][0] == "(":
+            depth = 0
+            while j < len(tokens):
+                depth += (tokens[j][0] == "(") - (tokens[j][0] == ")")
+                j += 1
+                if depth == 0:
+                    break
+        i = j
+    if not injected or i >= len(tokens) or not tokens[i][0][0].isalpha() and tokens[i][0][0] not in "_$":
+        return None
+    j = _qualified(tokens, i)
+    if j < len(tokens) and tokens[j][0] == "<":
+        j = _skip_angles(tokens, j)
+    while j + 1 < len(tokens) and tokens[j][0] == "[" and tokens[j + 1][0] == "]":
+        j += 2
+    if j + 1 >= len(tokens) or not re.match(r"[A-Za-z_$]", tokens[j][0]) or tokens[j + 1][0] not in ("=", ";", ","):
+        return None
+    return j + 1, _tidy(text[tokens[i][1]:tokens[j - 1][2]]), tokens[j][0]
+
+
+def scan_java(text: str, annotations: tuple[str, ...], min_scope_len: int = 2) -> tuple[str, bool, list[tuple]]:
+    """(package, balanced?, edges) of one file; an edge is (owner, to_class, method,
+    call_type, line). One pass over the tokens with a stack of open brackets: ``value`` is
+    where the expression just read begins and ends, so that any ``.name(`` after it is a
+    call with that expression as scope, over lines and at any nesting."""
+    code = blank_text(text)
+    newlines = [m.start() for m in re.finditer("\n", code)]
+    tokens = [(m.group(0), m.start(), m.end()) for m in _TOKEN.finditer(code)]
+    names = frozenset(annotations)
+    found = _PACKAGE.search(code)
+    edges: list[tuple] = []
+    stack: list[tuple] = []  # (bracket, begin of the value it ends, or -1)
+    owner, value, dotted, balanced = "Unknown", None, False, True
+    i = 0
+    while i < len(tokens):
+        t, begin, end = tokens[i]
+        after = tokens[i + 1][0] if i + 1 < len(tokens) else ""
+        if t[0].isalpha() or t[0] in "_$" or t[0] > "\x7f":
+            if dotted and value is not None:
+                if after == "(":
+                    scope = _tidy(text[value[0]:value[1]])
+                    if scope != "this" and len(scope) >= min_scope_len:
+                        edges.append((owner, scope, t, "method_call", bisect.bisect_left(newlines, value[0]) + 1))
+                    stack.append(("(", value[0]))
+                    i += 1
+                    value = None
+                else:
+                    value = (value[0], end)
+            elif t in _TYPE_WORDS and not (i and tokens[i - 1][0] in ("@", ".")) and after and (after[0].isalpha() or after[0] in "_$"):
+                owner, value = after, None
+                i += 1
+            elif t == "new":
+                j = i + 1
+                while j < len(tokens) and tokens[j][0] == "@":
+                    j = _qualified(tokens, j + 1)
+                j = _qualified(tokens, j) if j < len(tokens) else j
+                if j < len(tokens) and tokens[j][0] == "<":
+                    j = _skip_angles(tokens, j)
+                value = None
+                if j < len(tokens) and tokens[j][0] in "([":
+                    stack.append((tokens[j][0], begin))
+                    j += 1
+                i = j - 1
+            elif after == "(":
+                stack.append(("(", -1 if t in _NOT_VALUES else begin))
+                i += 1
+                value = None
+            else:
+                value = None if t in _NOT_VALUES else (begin, end)
+            dotted = False
+        elif t == ".":
+            dotted = True
+            if after == "<":  # explicit type arguments before a method's name
+                i = _skip_angles(tokens, i + 1) - 1
+        elif t == "@" and after != "interface":
+            field = _injected_field(tokens, i, names, text)
+            if field:
+                edges.append((owner, field[1], field[2], "autowired", bisect.bisect_left(newlines, begin) + 1))
+                i, value, dotted = field[0] - 1, None, False
+            else:
+                j = _qualified(tokens, i + 1) if i + 1 < len(tokens) else i + 1
+                if j < len(tokens) and tokens[j][0] == "(":
+                    stack.append(("(", -1))
+                    j += 1
+                i, value, dotted = j - 1, None, False
+        elif t in "([{":
+            stack.append((t, (value[0] if value else -1) if t == "[" else begin if t == "(" else -1))
+            value, dotted = None, False
+        elif t in _CLOSES:
+            if not stack or stack[-1][0] != _CLOSES[t]:
+                balanced = False
+                break
+            start = stack.pop()[1]
+            value, dotted = (start, end) if start >= 0 else None, False
+        else:
+            value, dotted = None, False
+        i += 1
+    return (found.group(1) if found else "default"), balanced and not stack, edges
+
+
+_SCAN_TYPE = ("struct<package:string,parsed:boolean,edges:array<struct<from_class:string,to_class:string,method_name:string,"
+              "call_type:string,line_number:int,call_idx:int>>>")
+
+
+def scan_column(content, annotations: tuple[str, ...], min_scope_len: int):
+    """``scan_java`` of a text column; null texts and unbalanced files are not parsed and have no edges."""
+    edge = pa.struct([("from_class", pa.string()), ("to_class", pa.string()), ("method_name", pa.string()),
+                      ("call_type", pa.string()), ("line_number", pa.int32()), ("call_idx", pa.int32())])
+
+    @F.arrow_udf(_SCAN_TYPE)
+    def scan(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            package, ok, edges = scan_java(text, annotations, min_scope_len) if text is not None else ("default", False, [])
+            out.append({"package": package, "parsed": ok,
+                        "edges": [dict(zip(edge.names, (*e, k))) for k, e in enumerate(edges)] if ok else []})
+        return pa.array(out, pa.struct([("package", pa.string()), ("parsed", pa.bool_()), ("edges", pa.list_(edge))]))
+
+    # Deterministic in fact; declared otherwise so Catalyst never copies the call
+    # into a pushed-down filter (which would run the Python pass twice).
+    return scan.asNondeterministic()(content)

@@ -2,23 +2,23 @@
 
 Accepted grammar (documented limit of a lexical scan, quirk K8):
 
-* comments, string, char and text-block literals are blanked first;
-* a call site is ``scope.name(`` where ``scope`` is a dotted name
-  (``a``, ``this.repo``, ``System.out``, ``super``); in a call chain
-  ``r.a(x).b(y)`` every further link's scope is the chain before it
-  (``r.a(x)``, with literals blanked), as long as arguments nest at most one
-  level; unscoped calls are ``this`` calls and are dropped (C2: scope
-  ``this`` or shorter than 2 characters is dropped);
-* an injected field is ``@Autowired``/``@Inject`` then other annotations,
-  modifiers, a type and a name, on the annotation's line or the next two;
-  its edge goes to the type, method = field name, line = annotation's line;
-* the owner class of a line is the last ``class``/``interface`` declared on
-  or before it in the same file, ``Unknown`` before any (K9 reset per file);
-* a file without any class or interface declaration is an error file (C6).
-
-Per-file work is row-local: lines are split, matched and given their owner
-class inside one row (the declaration list of a file is small), so the text
-is never shuffled. Aggregates afterwards are keyed by ``project_id``.
+* comments, string, char and text-block literals are blanked for matching;
+* a call is ``scope.name(`` where ``scope`` is any expression: a dotted name, a call
+  chain at any nesting and over any lines, ``new X(...)``, an index, a bracketed
+  expression; the scope is its source text with spacing normalised; the line is the
+  one the whole expression begins on; unscoped calls are ``this`` calls and are dropped
+  (C2: scope ``this`` or shorter than 2 characters is dropped);
+* an injected field is ``@Autowired``/``@Inject`` among annotations and modifiers, at
+  any distance before a type and a name; its edge goes to the type, method = field
+  name, line = where the declaration begins;
+* the owner class is the last ``class``/``interface`` declared before the call in the
+  same file, ``Unknown`` before any, so also in enum, record and annotation files
+  (K9 reset per file);
+* a file is an error file (C6) if it can't be read or its brackets don't balance; it
+  gives no edges, as the parser this replaces rejects it.
+
+Per-file work is row-local and linear in the file, the text is never shuffled.
+Aggregates afterwards are keyed by ``project_id``.
 """
 
 from __future__ import annotations
@@ -30,97 +30,21 @@ from .. import rules
 from ..functions import javalex as JL
 
 KEY = ["project_id"]
-CALL_KIND_OFFSET = 1 << 20  # injected-field edges precede call edges on a line
-CHAIN_KIND_OFFSET = 2 << 20  # chain links follow the plain call sites of a line
-
-
-def parse_sources(source_files: DataFrame) -> DataFrame:
-    """Per file: package, blanked lines and the (line, class) declaration list."""
-    lines = F.split(JL.blank_code(F.col("content")), "\n")
-    decls = F.filter(
-        F.transform(F.col("lines"), lambda l, i: F.struct(
-            (i + 1).alias("line_no"),
-            F.try_element_at(F.regexp_extract_all(l, F.lit(JL.CLASS_DECL), 1), F.lit(-1)).alias("name"))),
-        lambda d: d["name"].isNotNull())
-    pkg = F.regexp_extract(F.col("content"), JL.PACKAGE_DECL, 1)
-    return (source_files
-            .select(*KEY, "path", F.when(pkg == "", F.lit("default")).otherwise(pkg).alias("from_package"),
-                    F.col("content").isNull().alias("unreadable"), lines.alias("lines"))
-            .withColumn("decls", decls)
-            .withColumn("parsed", ~F.col("unreadable") & (F.size("decls") > 0)))
-
-
-def _owner(decls, line_no):
-    hit = F.filter(decls, lambda d: d["line_no"] <= line_no)
-    return F.coalesce(F.try_element_at(hit, F.lit(-1))["name"], F.lit("Unknown"))
-
-
-def _edge(to_class, method_name, call_type, line_number, call_idx):
-    return F.struct(to_class.alias("to_class"), method_name.alias("method_name"), F.lit(call_type).alias("call_type"),
-                    line_number.cast("int").alias("line_number"), call_idx.cast("int").alias("call_idx"))
-
-
-def _no_edges():
-    """An empty array of the edge type (no regex evaluated)."""
-    return F.slice(F.array(_edge(F.lit(""), F.lit(""), "method_call", F.lit(0), F.lit(0))), 1, 0)
-
-
-def _line_edges(text, line_number, min_scope_len):
-    """Call-site and chain-link edges of one (blanked) line, as an array."""
-    code = F.when(text.contains("new"), F.regexp_replace(text, JL.NEW_QUALIFIED, "new _")).otherwise(text)
-    sites = F.filter(
-        F.transform(F.regexp_extract_all(code, F.lit(JL.CALL_SITE), 0), lambda m, j: _edge(
-            F.regexp_extract(m, JL.CALL_SITE, 1), F.regexp_extract(m, JL.CALL_SITE, 2), "method_call",
-            line_number, j + CALL_KIND_OFFSET)),
-        lambda e: (e["to_class"] != "this") & (F.length(e["to_class"]) >= min_scope_len))
-
-    def links(ch):
-        return F.regexp_extract_all(ch, F.lit(JL.LINK), 0)
-
-    def chain_edges(ch, cj):
-        # the scope of link li is the chain with its last (n - li) links stripped
-        n = F.size(links(ch))
-        return F.transform(links(ch), lambda lk, li: _edge(
-            F.regexp_replace(F.trim(F.regexp_replace(
-                ch, F.concat(F.lit("(?:" + JL.LINK + "){"), (n - li).cast("string"), F.lit("}$")), F.lit(""))),
-                r"\s+", " "),
-            F.regexp_extract(lk, JL.LINK_NAME, 1), "method_call", line_number, cj * 64 + li + CHAIN_KIND_OFFSET))
-
-    chains = F.filter(F.flatten(F.transform(F.regexp_extract_all(code, F.lit(JL.CHAIN), 0), chain_edges)),
-                      lambda e: e["to_class"].endswith(")"))
-    return F.when(text.contains("("),
-                  F.concat(sites, F.when(text.rlike(r"\)\s*\."), chains).otherwise(_no_edges()))) \
-            .otherwise(_no_edges())
-
-
-def call_edges(parsed: DataFrame, min_scope_len: int = 2) -> DataFrame:
+
+
+def parse_sources(source_files: DataFrame, min_scope_len: int = 2) -> DataFrame:
+    """Per file: package, parsed? and its edges (C1–C5), in one pass over the text."""
+    scan = JL.scan_column(F.col("content"), tuple(rules.INJECTION_ANNOTATIONS), min_scope_len)
+    return (source_files.select(*KEY, "path", scan.alias("scan"))
+            .select(*KEY, "path", F.col("scan.package").alias("from_package"), "scan.parsed", "scan.edges"))
+
+
+def call_edges(parsed: DataFrame) -> DataFrame:
     """Method-call edges (``method_call``) and injected-field edges
-    (``autowired``) with owner class, package, line and position.
-
-    Every edge of a file is built as an array inside its row (call sites and
-    chain links per line, injected fields per annotation window) and exploded
-    once, so the parsed text is read in one pass."""
-    ann_re = r"@(?:" + "|".join(rules.INJECTION_ANNOTATIONS) + r")\b"
-    lines = F.col("lines")
-    per_line = F.flatten(F.transform(lines, lambda l, i: _line_edges(l, i + 1, min_scope_len)))
-    # An annotation line is read together with the next two lines (the field
-    # usually follows on its own line); only matches starting on the
-    # annotation line count.
-    def field_edges(l, i):
-        window = F.concat_ws(" ", l, F.coalesce(F.try_element_at(lines, i + 2), F.lit("")),
-                             F.coalesce(F.try_element_at(lines, i + 3), F.lit("")))
-        k = F.size(F.regexp_extract_all(l, F.lit(ann_re), 0))
-        ms = F.slice(F.regexp_extract_all(window, F.lit(JL.INJECTED_FIELD), 0), F.lit(1), F.greatest(k, F.lit(1)))
-        found = F.transform(ms, lambda m, j: _edge(F.regexp_extract(m, JL.INJECTED_FIELD, 1),
-                                                   F.regexp_extract(m, JL.INJECTED_FIELD, 2), "autowired", i + 1, j))
-        return F.when(l.rlike(ann_re), found).otherwise(_no_edges())
-
-    fields = F.flatten(F.transform(lines, field_edges))
-    edges = (parsed.filter("parsed")
-             .select(*KEY, "path", "from_package", "decls", F.explode(F.concat(per_line, fields)).alias("e"))
-             .select(*KEY, "path", "from_package", "decls", "e.*"))
-    return edges.select(*KEY, "path", _owner(F.col("decls"), F.col("line_number")).alias("from_class"),
-                        "from_package", "to_class", "method_name", "call_type", "line_number", "call_idx")
+    (``autowired``) with owner class, package, line and position."""
+    return (parsed.filter("parsed").select(*KEY, "path", "from_package", F.explode("edges").alias("e"))
+            .select(*KEY, "path", "e.from_class", "from_package", "e.to_class", "e.method_name", "e.call_type",
+                    "e.line_number", "e.call_idx"))
 
 
 def injected_edges(edges: DataFrame) -> DataFrame:

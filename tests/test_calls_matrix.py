@@ -55,7 +55,65 @@ def test_lexical_call_edges(spark):
     ]
     assert {r.from_package for r in e} == {"org.demo.web"}
     st = C.file_status(parsed).collect()[0]
-    assert (st.total_files, st.parsed_files, st.error_files) == (2, 1, 1)
+    assert (st.total_files, st.parsed_files, st.error_files) == (2, 2, 0)  # an enum file is parsed
+
+
+def _found(spark, text):
+    e = C.call_edges(C.parse_sources(_src(spark, [("A.java", text)]))).orderBy("line_number", "call_idx").collect()
+    return [(r.from_class, r.to_class, r.method_name, r.line_number) for r in e]
+
+
+def test_calls_over_lines_nesting_and_constructors(spark):
+    text = """class A {
+  void f() {
+    one.two(three(four(5))).six();
+    builder.start()
+        .next("x(")
+        .build();
+    new Foo().bar();
+    repo.a(new Foo(1)).b();
+    java.util.List<String> l = new java.util.ArrayList<>(svc.all().size());
+    xs[0].go(); ((Foo) yy).run(); List.<String>of(1).size();
+  }
+}
+"""
+    assert _found(spark, text) == [
+        ("A", "one", "two", 3), ("A", "one.two(three(four(5)))", "six", 3),
+        ("A", "builder", "start", 4), ("A", "builder.start()", "next", 4), ("A", 'builder.start().next("x(")', "build", 4),
+        ("A", "new Foo()", "bar", 7),
+        ("A", "repo", "a", 8), ("A", "repo.a(new Foo(1))", "b", 8),
+        ("A", "svc", "all", 9), ("A", "svc.all()", "size", 9),
+        ("A", "xs[0]", "go", 10), ("A", "((Foo)yy)", "run", 10), ("A", "List", "of", 10), ("A", "List.<String>of(1)", "size", 10),
+    ]
+
+
+def test_spread_annotations_enum_and_annotation_files(spark):
+    text = """/* package no; */
+package yes;
+@interface Marker { String v() default "a.b()"; }
+enum Kind {
+  ONE;
+  @Autowired
+  @Qualifier("main")
+  @Lazy
+
+  // far from the annotation
+  private Map<String, Repo> repos;
+  void f() { repos.get("x"); }
+}
+"""
+    assert _found(spark, text) == [("Unknown", "Map<String, Repo>", "repos", 6), ("Unknown", "repos", "get", 12)]
+    e = C.call_edges(C.parse_sources(_src(spark, [("A.java", text)]))).collect()
+    assert {r.from_package for r in e} == {"yes"} and {r.call_type for r in e} == {"autowired", "method_call"}
+
+
+def test_long_line_and_broken_file(spark):
+    deep = "class A { void f() { " + "aa.b(" * 8000 + "1" + ")" * 8000 + "; cc.d(" + "x + " * 12000 + "1).ee(); } }"
+    assert len(_found(spark, deep)) == 8002
+    parsed = C.parse_sources(_src(spark, [("A.java", "class A { void f() { a.b( } }"), ("B.java", None)]))
+    assert C.call_edges(parsed).count() == 0
+    st = C.file_status(parsed).collect()[0]
+    assert (st.total_files, st.parsed_files, st.error_files) == (2, 0, 2)
 
 
 def _edges(spark, rows):
