@@ -19,11 +19,13 @@ KEY = ["project_id"]
 
 
 def pick_ddl(candidates: DataFrame, priorities: Sequence[str] = rules.DDL_CANDIDATES) -> DataFrame:
-    """S3: per project keep the script whose path ends with the highest-priority
-    candidate; paths matching no candidate are ignored."""
+    """S3: per project keep the script whose path below the project's folder (the first
+    part of ``path``) is the highest-priority candidate; other paths, those of nested
+    modules too, are ignored."""
+    below = F.regexp_replace("path", "^[^/]+/", "")
     prio = None
-    for i, suffix in enumerate(priorities):
-        cond = F.col("path").endswith(suffix)
+    for i, candidate in enumerate(priorities):
+        cond = below == candidate
         prio = F.when(cond, F.lit(i)) if prio is None else prio.when(cond, F.lit(i))
     w = Window.partitionBy(*KEY).orderBy(F.col("_prio"), F.col("path"))
     return (candidates.withColumn("_prio", prio).filter(F.col("_prio").isNotNull())

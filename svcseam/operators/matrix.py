@@ -79,9 +79,8 @@ def feature_matrix(classes: DataFrame, call_metrics: DataFrame, tbls: DataFrame,
     m = (rel.join(call_metrics, [*KEY, "class_name"], "left")
             .join(tm, [*KEY, "related_table"], "left"))
     z = F.lit(0)
-    num = {c: F.coalesce(F.col(c), z).cast("int") for c in
-           ["calls_out", "calls_in", "deps_unique", "has_autowired", "db_columns", "db_fk_out", "db_fk_in",
-            "db_relations", "log_frequency"]}
+    num = {c: F.coalesce(F.col(c), z).cast("long") for c in rules.COUNT_COLUMNS}
+    num["has_autowired"] = F.coalesce(F.col("has_autowired"), z).cast("int")
     c = F.col("class_name")
     num["is_controller"] = TX.suffix_flag(c, "Controller")
     num["is_service"] = TX.suffix_flag(c, "Service")

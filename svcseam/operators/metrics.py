@@ -18,15 +18,15 @@ def call_metrics(edges: DataFrame, fixed: bool = False) -> DataFrame:
     ``deps_unique`` = distinct callees.
     """
     out = edges.groupBy(*KEY, F.col("from_class").alias("class_name")).agg(
-        F.count("*").cast("int").alias("calls_out"),
-        (F.count_distinct("to_class") if fixed else F.lit(0)).cast("int").alias("deps_unique"),
+        F.count("*").cast("long").alias("calls_out"),
+        (F.count_distinct("to_class") if fixed else F.lit(0)).cast("long").alias("deps_unique"),
         F.max(F.col("call_type").isin(*rules.INJECTION_CALL_TYPES).cast("int")).alias("has_autowired"))
     tgt = F.lower(F.col("to_class")) if fixed else F.col("to_class")
-    inc = edges.groupBy(*KEY, tgt.alias("_k")).agg(F.count("*").cast("int").alias("calls_in"))
+    inc = edges.groupBy(*KEY, tgt.alias("_k")).agg(F.count("*").cast("long").alias("calls_in"))
     key = F.lower(F.col("class_name")) if fixed else F.col("class_name")
     o = out.withColumn("_k", key)
     return (o.join(inc, [*KEY, "_k"], "left")
-            .select(*KEY, "class_name", "calls_out", F.coalesce("calls_in", F.lit(0)).alias("calls_in"),
+            .select(*KEY, "class_name", "calls_out", F.coalesce("calls_in", F.lit(0).cast("long")).alias("calls_in"),
                     "deps_unique", "has_autowired"))
 
 
@@ -34,20 +34,20 @@ def table_metrics(tbls: DataFrame, cols: DataFrame, fks: DataFrame, table_freq:
     """A5–A8 per (project, table): db_columns, db_fk_out, db_fk_in,
     db_relations (= graph list length, i.e. fk_out) and log_frequency.
     Every declared table is a row, also one whose columns were all dropped."""
-    cnt = cols.groupBy(*KEY, "table_name").agg(F.count("*").cast("int").alias("db_columns"))
+    cnt = cols.groupBy(*KEY, "table_name").agg(F.count("*").cast("long").alias("db_columns"))
     ncols = (tbls.select(*KEY, "table_name").join(cnt, [*KEY, "table_name"], "left")
-             .select(*KEY, "table_name", F.coalesce("db_columns", F.lit(0)).alias("db_columns")))
+             .select(*KEY, "table_name", F.coalesce("db_columns", F.lit(0).cast("long")).alias("db_columns")))
     fout = (fks.filter(F.col("from_table").isNotNull())
-            .groupBy(*KEY, F.col("from_table").alias("table_name")).agg(F.count("*").cast("int").alias("db_fk_out")))
+            .groupBy(*KEY, F.col("from_table").alias("table_name")).agg(F.count("*").cast("long").alias("db_fk_out")))
     fin = (fks.filter(F.col("references_table").isNotNull())
-           .groupBy(*KEY, F.col("references_table").alias("table_name")).agg(F.count("*").cast("int").alias("db_fk_in")))
+           .groupBy(*KEY, F.col("references_table").alias("table_name")).agg(F.count("*").cast("long").alias("db_fk_in")))
     t = ncols.join(fout, [*KEY, "table_name"], "left").join(fin, [*KEY, "table_name"], "left")
     if table_freq is not None:
-        lf = table_freq.select(*KEY, "table_name", F.col("n").cast("int").alias("log_frequency"))
+        lf = table_freq.select(*KEY, "table_name", F.col("n").cast("long").alias("log_frequency"))
         t = t.join(lf, [*KEY, "table_name"], "left")
     else:
-        t = t.withColumn("log_frequency", F.lit(None).cast("int"))
-    z = F.lit(0)
+        t = t.withColumn("log_frequency", F.lit(None).cast("long"))
+    z = F.lit(0).cast("long")
     return t.select(*KEY, "table_name", "db_columns",
                     F.coalesce("db_fk_out", z).alias("db_fk_out"), F.coalesce("db_fk_in", z).alias("db_fk_in"),
                     F.coalesce("db_fk_out", z).alias("db_relations"),

@@ -13,8 +13,8 @@ all-pairs similarity-search literature):
    expansion is at most k² pairs per group pair (and the pairs inside a group,
    at similarity 1, come from its first k + 1 members).
 
-1. **Seed.** In the posting lists of each document's rarest tokens (salted,
-   so a hot token is split), pair each document with its neighbour by
+1. **Seed.** In the posting lists of each document's rarest shared tokens (at
+   least two documents have them; long lists are salted), pair each document with its neighbour by
    weight. That is linear in the number of documents and gives real pairs
    whose exact similarities bound the k-th best from below: threshold ``t``.
    (Copies share their rarest tokens with equal weights, so they meet.)
@@ -45,6 +45,7 @@ from ..session import cut_lineage
 
 KEY = ["project_id"]
 SIM_DECIMALS = 9
+SALT_FROM = 4096  # posting lists longer than this are split for seeding
 
 
 def _score(pairs: DataFrame, v: DataFrame, doc: str) -> DataFrame:
@@ -81,10 +82,13 @@ def _candidate_pairs(v0: DataFrame, doc: str, k: int, salt_buckets: int, seed_to
     v = ranked.select(*KEY, doc, "token", "value")
 
     # 1. seeds: neighbours by weight in the posting lists of each document's
-    #    rarest tokens, split into salt buckets by weight (copies stay together)
-    salt = F.pmod(F.xxhash64(F.floor(F.col("value") * F.lit(4096))), F.lit(salt_buckets))
+    #    rarest tokens that another document has too; long lists are split into
+    #    salt buckets by weight (copies stay together), short ones stay whole
+    salt = F.when(F.col("_df") > SALT_FROM, F.pmod(F.xxhash64(F.floor(F.col("value") * F.lit(4096))), F.lit(salt_buckets))).otherwise(F.lit(0))
     ws = Window.partitionBy(*KEY, "token", "_salt").orderBy(F.col("value").desc(), F.col(doc))
-    seeds = cut_lineage(ranked.filter(F.col("_pos") <= seed_tokens)
+    w_shared = Window.partitionBy(*KEY, doc).orderBy("_df", "token")
+    seeds = cut_lineage(ranked.filter(F.col("_df") >= 2).withColumn("_nth", F.row_number().over(w_shared))
+                        .filter(F.col("_nth") <= seed_tokens)
                         .withColumn("_salt", salt).withColumn("_next", F.lead(doc).over(ws))
                         .filter(F.col("_next").isNotNull())
                         .select(*KEY, *_ordered_pair(F.col(doc), F.col("_next"))).distinct())
@@ -102,21 +106,26 @@ def _candidate_pairs(v0: DataFrame, doc: str, k: int, salt_buckets: int, seed_to
     # (joined with itself below: materialise once)
     pref = cut_lineage(ranked.join(thr, KEY, "left")
                        .withColumn("t", F.coalesce("t", F.lit(0.0)))
-                       .filter(F.sqrt(F.col("_suffix2")) >= F.col("t") - F.lit(1e-9))
-                       .select(*KEY, doc, "token", "value", "t"))
-    p1 = pref.select(*KEY, "token", F.col(doc).alias("x"), F.col("value").alias("vx"), "t")
-    p2 = pref.select(*KEY, "token", F.col(doc).alias("y"), F.col("value").alias("vy"))
+                       .filter((F.sqrt(F.col("_suffix2")) >= F.col("t") - F.lit(1e-9)) & (F.col("_df") >= 2))
+                       .select(*KEY, doc, "token", "value", "t", F.sqrt("_suffix2").alias("_suffix")))
+    p1 = pref.select(*KEY, "token", F.col(doc).alias("x"), F.col("value").alias("vx"), "t", F.col("_suffix").alias("sx"))
+    p2 = pref.select(*KEY, "token", F.col(doc).alias("y"), F.col("value").alias("vy"), F.col("_suffix").alias("sy"))
     # Cauchy–Schwarz on a shared token j: cos ≤ x_j·y_j + √(1−x_j²)·√(1−y_j²).
     # A pair reaching t passes this bound on every shared token, so rows
-    # below it are dropped before any pair is materialised.
+    # below it are dropped before any pair is materialised. On the pair's first
+    # shared token also cos ≤ ‖x_{≥j}‖·‖y_{≥j}‖, so dropping rows below that keeps
+    # the first row of every pair that reaches t: a hot token costs only the
+    # documents in which it weighs enough.
     bound = (F.col("vx") * F.col("vy")
              + F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("vx") * F.col("vx")))
              * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("vy") * F.col("vy"))))
     cands = (p1.join(p2, [*KEY, "token"])
-             .filter((F.col("x") < F.col("y")) & (bound >= F.col("t") - F.lit(1e-9)))
+             .filter((F.col("x") < F.col("y")) & (bound >= F.col("t") - F.lit(1e-9))
+                     & (F.col("sx") * F.col("sy") >= F.col("t") - F.lit(1e-9)))
              .select(*KEY, F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    # Pairs below t can't be among the k best: they go before copies are expanded.
     scored = _score(cands.unionByName(seeds).distinct(), v, doc).filter(F.col("similarity") > 0)
-    return scored
+    return (scored.join(thr, KEY, "left").filter(F.col("similarity") >= F.coalesce("t", F.lit(0.0)) - F.lit(1e-9)).drop("t"))
 
 
 def _fingerprints(v0: DataFrame, doc: str) -> DataFrame:

@@ -165,9 +165,9 @@ ifk AS (
 fks AS (SELECT * FROM efk UNION ALL SELECT * FROM ifk),
 tmetrics AS (
   SELECT t.project_id, t.table_name,
-         CAST(coalesce(nc.n, 0) AS INTEGER) AS db_columns, CAST(coalesce(fo.n, 0) AS INTEGER) AS db_fk_out,
-         CAST(coalesce(fi.n, 0) AS INTEGER) AS db_fk_in, CAST(coalesce(fo.n, 0) AS INTEGER) AS db_relations,
-         CAST(coalesce(lf.n, 0) AS INTEGER) AS log_frequency
+         CAST(coalesce(nc.n, 0) AS BIGINT) AS db_columns, CAST(coalesce(fo.n, 0) AS BIGINT) AS db_fk_out,
+         CAST(coalesce(fi.n, 0) AS BIGINT) AS db_fk_in, CAST(coalesce(fo.n, 0) AS BIGINT) AS db_relations,
+         CAST(coalesce(lf.n, 0) AS BIGINT) AS log_frequency
   FROM tbls t
   LEFT JOIN (SELECT project_id, table_name, count(*) AS n FROM cols GROUP BY ALL) nc USING (project_id, table_name)
   LEFT JOIN (SELECT project_id, from_table AS table_name, count(*) AS n FROM fks GROUP BY ALL) fo USING (project_id, table_name)
@@ -202,9 +202,9 @@ _TDOMAIN = _when_chain("table_name", rules.TABLE_DOMAIN_RULES, rules.TABLE_DOMAI
 
 MATRIX = f"""
 cmetrics AS (
-  SELECT o.project_id, o.class_name, o.calls_out, CAST(coalesce(i.n, 0) AS INTEGER) AS calls_in, 0 AS deps_unique,
+  SELECT o.project_id, o.class_name, o.calls_out, CAST(coalesce(i.n, 0) AS BIGINT) AS calls_in, CAST(0 AS BIGINT) AS deps_unique,
          o.has_autowired
-  FROM (SELECT project_id, from_class AS class_name, CAST(count(*) AS INTEGER) AS calls_out,
+  FROM (SELECT project_id, from_class AS class_name, CAST(count(*) AS BIGINT) AS calls_out,
                max(CASE WHEN call_type IN ({", ".join(_s(t) for t in rules.INJECTION_CALL_TYPES)}) THEN 1 ELSE 0 END)
                  AS has_autowired
         FROM calls GROUP BY ALL) o
@@ -219,12 +219,12 @@ rel AS (
   FROM classes c),
 matrix AS (
   SELECT r.project_id, r.class_name, r.related_table,
-         CAST(coalesce(cm.calls_out, 0) AS INTEGER) AS calls_out, CAST(coalesce(cm.calls_in, 0) AS INTEGER) AS calls_in,
-         CAST(coalesce(cm.deps_unique, 0) AS INTEGER) AS deps_unique,
+         CAST(coalesce(cm.calls_out, 0) AS BIGINT) AS calls_out, CAST(coalesce(cm.calls_in, 0) AS BIGINT) AS calls_in,
+         CAST(coalesce(cm.deps_unique, 0) AS BIGINT) AS deps_unique,
          CAST(coalesce(cm.has_autowired, 0) AS INTEGER) AS has_autowired,
-         CAST(coalesce(tm.db_columns, 0) AS INTEGER) AS db_columns, CAST(coalesce(tm.db_fk_out, 0) AS INTEGER) AS db_fk_out,
-         CAST(coalesce(tm.db_fk_in, 0) AS INTEGER) AS db_fk_in, CAST(coalesce(tm.db_relations, 0) AS INTEGER) AS db_relations,
-         CAST(coalesce(tm.log_frequency, 0) AS INTEGER) AS log_frequency,
+         CAST(coalesce(tm.db_columns, 0) AS BIGINT) AS db_columns, CAST(coalesce(tm.db_fk_out, 0) AS BIGINT) AS db_fk_out,
+         CAST(coalesce(tm.db_fk_in, 0) AS BIGINT) AS db_fk_in, CAST(coalesce(tm.db_relations, 0) AS BIGINT) AS db_relations,
+         CAST(coalesce(tm.log_frequency, 0) AS BIGINT) AS log_frequency,
          {_flag('r.class_name', 'Controller')} AS is_controller, {_flag('r.class_name', 'Service')} AS is_service,
          {_flag('r.class_name', 'Repository', 'Repo')} AS is_repository
   FROM rel r LEFT JOIN cmetrics cm USING (project_id, class_name)
@@ -473,10 +473,10 @@ def oracle_sql() -> dict[str, str]:
                                             "path, line_number, to_class, method_name")
     q["page_links"] = PAGES + "SELECT * FROM links"
     q["page_link_metrics"] = PAGES + """
-      SELECT o.project_id, o.class_name, o.calls_out, CAST(coalesce(i.n, 0) AS INTEGER) AS calls_in, o.deps_unique,
+      SELECT o.project_id, o.class_name, o.calls_out, CAST(coalesce(i.n, 0) AS BIGINT) AS calls_in, o.deps_unique,
              o.has_autowired
-      FROM (SELECT project_id, from_class AS class_name, CAST(count(*) AS INTEGER) AS calls_out,
-                   CAST(count(DISTINCT to_class) AS INTEGER) AS deps_unique, 0 AS has_autowired
+      FROM (SELECT project_id, from_class AS class_name, CAST(count(*) AS BIGINT) AS calls_out,
+                   CAST(count(DISTINCT to_class) AS BIGINT) AS deps_unique, 0 AS has_autowired
             FROM links GROUP BY ALL) o
       LEFT JOIN (SELECT project_id, lower(to_class) AS k, count(*) AS n FROM links GROUP BY ALL) i
         ON i.project_id = o.project_id AND i.k = lower(o.class_name)"""
@@ -493,10 +493,10 @@ def oracle_sql() -> dict[str, str]:
     q["calls_out_in"] = MAT + "SELECT project_id, class_name, calls_out, calls_in, deps_unique, has_autowired FROM cmetrics"
     inj = ", ".join(_s(t) for t in rules.INJECTION_CALL_TYPES)
     q["deps_unique_fixed"] = CALLS + f"""
-      SELECT o.project_id, o.class_name, o.calls_out, CAST(coalesce(i.n, 0) AS INTEGER) AS calls_in, o.deps_unique,
+      SELECT o.project_id, o.class_name, o.calls_out, CAST(coalesce(i.n, 0) AS BIGINT) AS calls_in, o.deps_unique,
              o.has_autowired
-      FROM (SELECT project_id, from_class AS class_name, CAST(count(*) AS INTEGER) AS calls_out,
-                   CAST(count(DISTINCT to_class) AS INTEGER) AS deps_unique,
+      FROM (SELECT project_id, from_class AS class_name, CAST(count(*) AS BIGINT) AS calls_out,
+                   CAST(count(DISTINCT to_class) AS BIGINT) AS deps_unique,
                    max(CASE WHEN call_type IN ({inj}) THEN 1 ELSE 0 END) AS has_autowired
             FROM calls GROUP BY ALL) o
       LEFT JOIN (SELECT project_id, lower(to_class) AS k, count(*) AS n FROM calls GROUP BY ALL) i

@@ -81,6 +81,8 @@ MATRIX_COLUMNS = [
     "is_controller", "is_service", "is_repository",
 ]
 NUMERIC_COLUMNS = MATRIX_COLUMNS[2:]
+# Counts (bigint); the other numeric columns are 0/1 flags.
+COUNT_COLUMNS = [c for c in NUMERIC_COLUMNS if not c.startswith(("has_", "is_"))]
 
 # Composite fusion weights.
 W_NUMERIC = 0.70

@@ -6,6 +6,8 @@ keyed by it, so a corpus of many projects spreads over the cluster.
 
 from pyspark.sql import types as T
 
+from . import rules
+
 S, L, I, B, D = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.DoubleType()
 
 
@@ -41,10 +43,8 @@ FOREIGN_KEYS = _struct(
 )
 
 FEATURE_MATRIX = _struct(
-    ("project_id", S), ("class_name", S), ("related_table", S),
-    ("calls_out", I), ("calls_in", I), ("deps_unique", I), ("has_autowired", I),
-    ("db_columns", I), ("db_fk_out", I), ("db_fk_in", I), ("db_relations", I),
-    ("log_frequency", I), ("is_controller", I), ("is_service", I), ("is_repository", I),
+    ("project_id", S), *((c, S) for c in rules.MATRIX_COLUMNS[:2]),
+    *((c, L if c in rules.COUNT_COLUMNS else I) for c in rules.NUMERIC_COLUMNS),
 )
 
 # Long feature form: one row per (class, feature); pivot only at the sink.

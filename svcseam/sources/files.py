@@ -1,6 +1,6 @@
 """File sources S1–S5 and the S13 fallbacks.
 
-* S1 ``source_files``: recursive ``*.java`` scan, one row per file.
+* S1 ``source_files``: recursive ``*.java`` scan of the projects' source roots, one row per file.
 * S2 ``log_lines``: text lines numbered from 1 *per file*, exact even when a
   file is split across many tasks: lines are ordered by (file, split start,
   position in split); per-split line counts become offsets through a small
@@ -11,42 +11,90 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from .. import rules
+
+
+SOURCE_ROOT = "src/main/java"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _fs_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as the file system names it: absolute, with scheme, not encoded."""
+    p, fs = _fs_path(spark, root.rstrip("/") or "/")
+    return p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
-def project_of_path(path: Column, root: str) -> Column:
-    """First directory under ``root``: the project of a file in a corpus laid
-    out as ``root/<project>/...``."""
-    r = root.rstrip("/")
-    rel = F.regexp_replace(path, r"^.*?" + _re_escape(r) + "/", "")
-    return F.split_part(rel, F.lit("/"), F.lit(1))
 
+def existing(spark: SparkSession, globs: list[str]) -> list[str]:
+    """Those of the path globs that match something."""
+    out = []
+    for g in globs:
+        p, fs = _fs_path(spark, g)
+        if fs.globStatus(p):
+            out.append(g)
+    return out
 
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
+
+def below_root(path: Column, root: str) -> Column:
+    """The decoded path below the qualified ``root``; a path outside it is an error."""
+    base = re.sub(_SCHEME, "", root).rstrip("/") + "/"
+    plain = F.url_decode(F.replace(F.regexp_replace(path, _SCHEME, ""), F.lit("+"), F.lit("%2B")))
+    return F.when(plain.startswith(base), F.substring(plain, F.lit(len(base) + 1), F.length(plain))) \
+            .otherwise(F.raise_error(F.concat(F.lit(f"not below {base}: "), plain)))
+
+
+def project_of_path(path: Column, root: str) -> Column:
+    """First directory below the qualified ``root``: the project of a file in a corpus
+    laid out as ``root/<project>/...``."""
+    return F.split_part(below_root(path, root), F.lit("/"), F.lit(1))
 
 
 def source_files(spark: SparkSession, root: str, project_id: str | None = None,
-                 glob: str = "*.java") -> DataFrame:
-    """Every file matching ``glob`` below ``root`` as (project_id, path, content)."""
+                 glob: str = "*.java", source_root: str = SOURCE_ROOT) -> DataFrame:
+    """Every file matching ``glob`` below the projects' ``source_root`` as
+    (project_id, path, content); with ``project_id``, ``root`` is that project's folder.
+    Test sources and other trees are not read; no match gives no rows."""
+    root = qualified(spark, root)
+    places = existing(spark, [f"{root}/{'' if project_id is not None else '*/'}{source_root}"])
+    if not places:
+        return spark.createDataFrame([], "project_id string, path string, content string")
     df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-          .text(root, wholetext=True)
+          .text(places, wholetext=True)
           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
     proj = F.lit(project_id) if project_id is not None else project_of_path(F.col("path"), root)
     return df.select(proj.alias("project_id"), "path", "content")
 
 
+def corpus_logs(spark: SparkSession, root: str, glob: str = "*.log") -> DataFrame:
+    """S2 over a corpus: every log at any depth below ``root/<project>``; none gives no rows."""
+    root = qualified(spark, root)
+    if not existing(spark, [f"{root}/*"]):
+        return spark.createDataFrame([], "project_id string, session_id string, line_no long, line string")
+    return log_lines(spark, root, root=root, glob=glob)
+
+
 def log_lines(spark: SparkSession, paths: str | list[str], project_id: str | Column | None = None,
-              root: str | None = None, session_per_file: bool = True) -> DataFrame:
+              root: str | None = None, session_per_file: bool = True, glob: str | None = None) -> DataFrame:
     """(project_id, session_id, line_no, line), ``line_no`` from 1 per file.
 
     ``session_per_file`` makes each file its own correlation session; False
     gives one session per project (the reference's single-log behaviour)."""
-    raw = (spark.read.text(paths)
+    reader = spark.read
+    if glob is not None:  # files matching it at any depth
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    root = qualified(spark, root) if root is not None else None
+    raw = (reader.text(paths)
            .select(F.col("_metadata.file_path").alias("path"),
                    F.col("_metadata.file_block_start").alias("block"),
                    F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line")))
@@ -68,14 +116,20 @@ def log_lines(spark: SparkSession, paths: str | list[str], project_id: str | Col
     return numbered.select(proj.alias("project_id"), session.alias("session_id"), "line_no", "line")
 
 
-def ddl_candidates(spark: SparkSession, root: str, project_id: str | None = None) -> DataFrame:
-    """All ``*.sql`` files below ``root`` as (project_id, path, ddl); feed to
+def ddl_candidates(spark: SparkSession, root: str, project_id: str | None = None,
+                   candidates=rules.DDL_CANDIDATES) -> DataFrame:
+    """The projects' candidate scripts as (project_id, path, ddl), ``path`` from the
+    project's folder on; other ``*.sql`` files (data dumps) are not read. Feed to
     ``operators.ddl.pick_ddl`` to keep the highest-priority one per project."""
-    df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql")
-          .text(root, wholetext=True)
-          .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("ddl")))
-    proj = F.lit(project_id) if project_id is not None else project_of_path(F.col("path"), root)
-    return df.select(proj.alias("project_id"), "path", "ddl")
+    root = qualified(spark, root)
+    places = existing(spark, [f"{root}/{'' if project_id is not None else '*/'}{c}" for c in candidates])
+    if not places:
+        return spark.createDataFrame([], "project_id string, path string, ddl string")
+    df = (spark.read.text(places, wholetext=True)
+          .select(below_root(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("ddl")))
+    if project_id is not None:
+        return df.select(F.lit(project_id).alias("project_id"), F.concat(F.lit(f"{project_id}/"), "path").alias("path"), "ddl")
+    return df.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("project_id"), "path", "ddl")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame | None:
@@ -88,10 +142,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: b
 
 
 MATRIX_CSV_SCHEMA = T.StructType(
-    [T.StructField("class_name", T.StringType()), T.StructField("related_table", T.StringType())]
-    + [T.StructField(c, T.IntegerType()) for c in
-       ["calls_out", "calls_in", "deps_unique", "has_autowired", "db_columns", "db_fk_out", "db_fk_in",
-        "db_relations", "log_frequency", "is_controller", "is_service", "is_repository"]])
+    [T.StructField(c, T.StringType()) for c in rules.MATRIX_COLUMNS[:2]]
+    + [T.StructField(c, T.LongType() if c in rules.COUNT_COLUMNS else T.IntegerType()) for c in rules.NUMERIC_COLUMNS])
 
 
 def read_matrix_csv(spark: SparkSession, path: str, project_id: str = "default") -> DataFrame | None:

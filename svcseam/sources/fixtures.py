@@ -44,7 +44,7 @@ def _arr(values):
 
 
 def _cap(c):
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 20))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
 
 
 def class_of(p_name, p_partkey):
@@ -56,7 +56,7 @@ def class_of(p_name, p_partkey):
 
 
 def _lower_first(c):
-    return F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 20))
+    return F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

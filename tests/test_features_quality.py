@@ -131,3 +131,21 @@ def test_nearest_pairs_copy_groups(spark):
         sims = sorted((-round(sum(w * docs[b].get(t, 0.0) for t, w in docs[a].items()), 9), a, b)
                       for i, a in enumerate(names) for b in names[i + 1:])
         assert got == [(a, b, -s + 0.0) for s, a, b in sims[:k]]
+
+
+def test_hot_token_does_not_score_all_pairs(spark):
+    """Documents that share one hot token only, next to two tokens of their own each."""
+    import math
+
+    n, rows = 300, []
+    for i in range(n):
+        w = 0.05 + 0.9 * i / n
+        rest = math.sqrt((1 - w * w) / 2)
+        rows += [("p", f"d{i:03d}", "hot", w), ("p", f"d{i:03d}", f"u{i}", rest), ("p", f"d{i:03d}", f"v{i}", rest)]
+    v = spark.createDataFrame(rows, "project_id string, class_name string, token string, value double")
+    scored = S._candidate_pairs(v, "class_name", 5, 16, 2)
+    assert 5 <= scored.count() < n  # of n (n - 1) / 2 pairs
+    got = [(r.class_a, r.class_b) for r in S.nearest_pairs(v, k=5).orderBy("rank").collect()]
+    hot = {r[1]: r[3] for r in rows if r[2] == "hot"}
+    want = sorted(((-round(hot[a] * hot[b], 9), a, b) for a in hot for b in hot if a < b))[:5]
+    assert got == [(a, b) for _, a, b in want]

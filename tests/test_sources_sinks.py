@@ -37,13 +37,15 @@ LOG = "\n".join([
 def _corpus(root):
     os.makedirs(f"{root}/demo/src/main/java", exist_ok=True)
     os.makedirs(f"{root}/demo/src/main/resources/db/mysql", exist_ok=True)
-    os.makedirs(f"{root}/other/src", exist_ok=True)
+    os.makedirs(f"{root}/other/src/main/java", exist_ok=True)
+    os.makedirs(f"{root}/demo/src/test/java", exist_ok=True)
     open(f"{root}/demo/src/main/java/OwnerController.java", "w").write(JAVA_OWNER)
     open(f"{root}/demo/src/main/java/VetController.java", "w").write(JAVA_VET)
     open(f"{root}/demo/src/main/resources/schema.sql", "w").write(SCHEMA)
     open(f"{root}/demo/src/main/resources/db/mysql/schema.sql", "w").write("CREATE TABLE zzz (\n  id INT\n);")
     open(f"{root}/demo/app.log", "w").write(LOG)
-    open(f"{root}/other/src/A.java", "w").write("class AService { void f() { repo.go(); } }\n")
+    open(f"{root}/demo/src/test/java/ATest.java", "w").write("class ATest { void f() { owners.go(); } }\n")
+    open(f"{root}/other/src/main/java/A.java", "w").write("class AService { void f() { repo.go(); } }\n")
 
 
 def test_sources(spark, tmp_path):
@@ -52,12 +54,34 @@ def test_sources(spark, tmp_path):
     src = S.source_files(spark, root)
     assert sorted(r.project_id for r in src.collect()) == ["demo", "demo", "other"]
     ddl = D.pick_ddl(S.ddl_candidates(spark, root)).collect()
-    assert len(ddl) == 1 and ddl[0].path.endswith("resources/schema.sql")
+    assert [(r.project_id, r.path) for r in ddl] == [("demo", "demo/src/main/resources/schema.sql")]
     ll = S.log_lines(spark, root + "/*/*.log", root=root).orderBy("line_no").collect()
     assert [r.line_no for r in ll] == [1, 2, 3, 4, 5, 6] and ll[4].line == "GET /vets"
     assert {r.project_id for r in ll} == {"demo"}
 
 
+def test_roots_relative_encoded_and_without_evidence(spark, tmp_path, monkeypatch):
+    root = tmp_path / "my corpus+1"
+    _corpus(str(root))
+    os.makedirs(root / "demo/logs/2024/may", exist_ok=True)
+    (root / "demo/logs/2024/may/deep.log").write_text("GET /deep\n")
+    os.makedirs(root / "demo/module/src/main/resources", exist_ok=True)
+    (root / "demo/module/src/main/resources/schema.sql").write_text("CREATE TABLE nested (\n  id INT\n);")
+    (root / "demo/dump.sql").write_text("INSERT INTO x VALUES (1);")
+    for at in (str(root), "file:" + str(root) + "/", os.path.relpath(root)):
+        x = R.load_corpus(spark, at)
+        assert {r.project_id for r in x.source_files.collect()} == {"demo", "other"}
+        assert not [r for r in x.source_files.collect() if "ATest" in r.path]
+        assert sorted(r.line for r in x.log_lines.collect() if "deep" in r.session_id) == ["GET /deep"]
+        assert [(r.project_id, "owners" in r.ddl) for r in x.ddl_scripts.collect()] == [("demo", True)]
+    bare = tmp_path / "bare"
+    os.makedirs(bare / "p/src/main/java")
+    (bare / "p/src/main/java/A.java").write_text("class AService { void f() { repo.go(); } }\n")
+    x = R.extract_corpus(spark, str(bare), str(tmp_path / "out"))
+    m = x.matrix.collect()
+    assert [(r.class_name, r.calls_out, r.related_table, r.db_columns, r.log_frequency) for r in m] == [("AService", 1, None, 0, 0)]
+
+
 def test_line_numbers_across_splits(spark, tmp_path):
     """Exact numbering when one file is read by many tasks."""
     p = tmp_path / "big.log"
