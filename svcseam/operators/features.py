@@ -82,22 +82,22 @@ def class_tfidf(classes: DataFrame) -> DataFrame:
 
 
 def composite_long(z_long: DataFrame, tfidf_long: DataFrame, w_numeric: float = rules.W_NUMERIC,
-                   w_tfidf: float = rules.W_TFIDF) -> DataFrame:
+                   w_tfidf: float = rules.W_TFIDF, ids: DataFrame | None = None) -> DataFrame:
     """M4: weighted z-scores and TF-IDF weights as one long feature table
-    (zero TF-IDF cells are implicit)."""
+    (zero TF-IDF cells are implicit). ``ids`` (project_id, class_name, related_table)
+    adds the id column related_table."""
     a = z_long.select(*KEY, "class_name", "feature", (F.col("value") * w_numeric).alias("value"))
     b = tfidf_long.select(*KEY, "class_name", F.concat(F.lit("tfidf_"), "token").alias("feature"),
                           (F.col("value") * w_tfidf).alias("value"))
-    return a.unionByName(b)
+    out = a.unionByName(b)
+    return out if ids is None else out.join(ids.select(*KEY, "class_name", "related_table"), [*KEY, "class_name"], "left")
 
 
 def pivot_wide(long: DataFrame, row_cols: Sequence[str], max_columns: int = 10_000) -> DataFrame:
-    """Long → wide for a sink, with explicit, bounded column values (sorted).
-    Raises when the vocabulary exceeds ``max_columns``: a wide sink of an
-    unbounded vocabulary is a mistake, keep the long form instead."""
-    vocab = long.select("feature").distinct()
-    n = vocab.count()
-    if n > max_columns:
-        raise ValueError(f"{n} distinct features exceed max_columns={max_columns}; keep the long form")
-    names = sorted(r.feature for r in vocab.collect())
+    """Long → wide for a sink, with explicit column values (sorted). The names of at
+    most ``max_columns`` features are read; with more the rows come as they are,
+    in long form (every value is in it, and a wider sheet can't be used)."""
+    names = sorted(r.feature for r in long.select("feature").distinct().limit(max_columns + 1).collect())
+    if len(names) > max_columns:
+        return long
     return long.groupBy(*row_cols).pivot("feature", names).agg(F.first("value")).fillna(0.0, subset=names)

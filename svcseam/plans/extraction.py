@@ -144,7 +144,7 @@ class Extraction:
 
     @cached_property
     def composite(self) -> DataFrame:
-        return M.composite_long(M.zscores_long(self.zscores), self.tfidf)
+        return M.composite_long(M.zscores_long(self.zscores), self.tfidf, ids=self.matrix)
 
     @cached_property
     def nearest(self) -> DataFrame:

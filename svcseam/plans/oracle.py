@@ -335,6 +335,8 @@ def _issues_sql() -> str:
         f"(CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) > 0 THEN stddev_pop(CAST({c} AS DOUBLE)) ELSE 1.0 END) "
         f"< {rules.CONSTANT_SCALE}" for c in rules.NUMERIC_COLUMNS)
     return f"""
+  , named AS (SELECT project_id FROM classes UNION SELECT project_id FROM ddl_scripts
+              UNION SELECT 'N' || CAST(n_nationkey AS VARCHAR) FROM nation)
   , issues AS (
       SELECT project_id, 2 AS step FROM (SELECT project_id, class_name, row_number() OVER (
           PARTITION BY project_id, class_name ORDER BY class_name) AS o FROM matrix) WHERE o > 1
@@ -344,8 +346,10 @@ def _issues_sql() -> str:
           SELECT 1 FROM tfidf t WHERE t.project_id = c.project_id AND t.class_name = c.class_name AND t.value <> 0)
       UNION ALL {const}
       UNION ALL SELECT project_id, 1 FROM ddl_scripts d WHERE NOT EXISTS (
-          SELECT 1 FROM classes c WHERE c.project_id = d.project_id))
-  , projects AS (SELECT project_id FROM classes UNION SELECT project_id FROM ddl_scripts)
+          SELECT 1 FROM classes c WHERE c.project_id = d.project_id)
+      UNION ALL SELECT project_id, 1 FROM named d WHERE NOT EXISTS (
+          SELECT 1 FROM log_lines l WHERE l.project_id = d.project_id))
+  , projects AS (SELECT project_id FROM named)
   , per AS (
       SELECT p.project_id, s.step, CAST(count(i.step) AS BIGINT) AS n_issues
       FROM projects p CROSS JOIN (SELECT unnest([1, 2, 3]) AS step) s
@@ -532,9 +536,10 @@ def oracle_sql() -> dict[str, str]:
     zl = " UNION ALL ".join(f"SELECT project_id, class_name, 'num_{c}' AS feature, num_{c} * {rules.W_NUMERIC} AS v FROM zs"
                             for c in rules.NUMERIC_COLUMNS)
     q["composite_features"] = FEAT + f"""
-      SELECT project_id, class_name, feature, {_r('v', 'value')} FROM (
+      SELECT f.project_id, f.class_name, m.related_table, feature, {_r('v', 'value')} FROM (
         {zl}
-        UNION ALL SELECT project_id, class_name, 'tfidf_' || token, value * {rules.W_TFIDF} FROM tfidf)"""
+        UNION ALL SELECT project_id, class_name, 'tfidf_' || token, value * {rules.W_TFIDF} FROM tfidf) f
+      LEFT JOIN matrix m ON m.project_id = f.project_id AND m.class_name = f.class_name"""
     q["nearest_pairs"] = FEAT + _pairs("tfidf", "class_name", "class_a", "class_b")
     q["tfidf_documents"] = DOCS + f"SELECT project_id, doc_id, token, tf, df, {_r('value', 'value')} FROM dv"
     q["nearest_documents"] = DOCS + _pairs("dv", "doc_id", "doc_a", "doc_b").replace("  , docs_", ", docs_", 1)
@@ -553,13 +558,22 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT project_id, '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min_value, min({c}) < 0 AS negative "
         f"FROM matrix GROUP BY ALL" for c in rules.NUMERIC_COLUMNS)
     q["dq_negatives"] = MAT + negs
-    q["dq_missing_inputs"] = MAT + """
-      SELECT DISTINCT project_id, 'ddl_scripts' AS input, true AS required, 'stop' AS effect FROM classes c
+    idle = ("SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS project_id, 'Idle' || CAST(n_nationkey AS VARCHAR) || 'Service' "
+            "AS class_name FROM nation")
+    q["dq_missing_inputs"] = MAT + f"""
+      , named AS (SELECT project_id FROM classes UNION SELECT project_id FROM ({idle}))
+      SELECT project_id, 'ddl_scripts' AS input, true AS required, 'stop' AS effect FROM named c
       WHERE NOT EXISTS (SELECT 1 FROM ddl_scripts d WHERE d.project_id = c.project_id)
       UNION ALL
-      SELECT DISTINCT project_id, 'log_lines', false, 'issue' FROM classes c
-      WHERE NOT EXISTS (SELECT 1 FROM log_lines l WHERE l.project_id = c.project_id)"""
-    q["dq_isolated"] = MAT + "SELECT project_id, class_name, 'warning' AS severity FROM matrix WHERE calls_out = 0 AND calls_in = 0"
+      SELECT project_id, 'log_lines', false, 'issue' FROM named c
+      WHERE NOT EXISTS (SELECT 1 FROM log_lines l WHERE l.project_id = c.project_id)""".lstrip()
+    q["dq_empty_projects"] = MAT + f"""
+      , named AS (SELECT project_id FROM ddl_scripts UNION SELECT project_id FROM ({idle}))
+      SELECT project_id, 'issue' AS severity FROM named n
+      WHERE NOT EXISTS (SELECT 1 FROM classes c WHERE c.project_id = n.project_id)""".lstrip()
+    q["dq_isolated"] = MAT + f"""
+      SELECT project_id, class_name, 'warning' AS severity FROM matrix WHERE calls_out = 0 AND calls_in = 0
+      UNION ALL SELECT project_id, class_name, 'warning' FROM ({idle})"""
     const = " UNION ALL ".join(
         f"SELECT project_id, '{c}' AS \"column\", round(stddev_pop(CAST({c} AS DOUBLE)), 6) + 0.0 AS std, "
         f"stddev_pop(CAST({c} AS DOUBLE)) = 0 AS constant FROM matrix GROUP BY ALL" for c in rules.NUMERIC_COLUMNS)
@@ -569,9 +583,10 @@ def oracle_sql() -> dict[str, str]:
         f"round(stddev_pop(num_{c}), 6) + 0.0 AS std, abs(avg(num_{c})) < {rules.MEAN_TOLERANCE} AS mean_ok "
         f"FROM zs GROUP BY ALL" for c in rules.NUMERIC_COLUMNS)
     q["dq_zscore"] = FEAT + zchk
-    q["dq_zero_tfidf"] = FEAT + """
-      SELECT project_id, class_name, 'issue' AS severity FROM classes c WHERE NOT EXISTS (
+    q["dq_zero_tfidf"] = FEAT + f"""
+      SELECT project_id, class_name, 'issue' AS severity FROM (SELECT project_id, class_name FROM classes UNION ALL {idle}) c
+      WHERE NOT EXISTS (
         SELECT 1 FROM tfidf t WHERE t.project_id = c.project_id AND t.class_name = c.class_name AND t.value <> 0)"""
-    q["step_status"] = FEAT + _issues_sql().replace("  , issues", ", issues", 1)
+    q["step_status"] = FEAT + _issues_sql().replace("  , named", ", named", 1)
     q["report_metrics"] = FEAT + _report_sql()
     return q

@@ -335,7 +335,7 @@ def tfidf(spark, sf):
 
 @query
 def composite_features(spark, sf):
-    return _x(spark, sf).composite.select("project_id", "class_name", "feature", _r("value"))
+    return _x(spark, sf).composite.select("project_id", "class_name", "related_table", "feature", _r("value"))
 
 
 @query
@@ -384,7 +384,10 @@ def dq_negatives(spark, sf):
 
 @query
 def dq_isolated(spark, sf):
-    return Q.isolated(_x(spark, sf).matrix)
+    """Q4 on a matrix that also holds classes without any call (one per nation)."""
+    x = _x(spark, sf)
+    classes = x.classes.unionByName(FX.idle_classes(spark, sf))
+    return Q.isolated(X.feature_matrix(classes, x.call_metrics, x.tables, x.table_metrics))
 
 
 @query
@@ -399,20 +402,30 @@ def dq_zscore(spark, sf):
 
 @query
 def dq_zero_tfidf(spark, sf):
+    """Q8 with TF-IDF over the classes that make calls: idle classes have no row in it."""
     x = _x(spark, sf)
-    return Q.zero_tfidf(x.classes, x.tfidf)
+    return Q.zero_tfidf(x.classes.unionByName(FX.idle_classes(spark, sf)), x.tfidf)
 
 
 @query
 def dq_missing_inputs(spark, sf):
     """Q10: projects with classes but no schema script (required here) or no log (optional)."""
     x = _x(spark, sf)
-    return Q.missing_inputs(x.classes, {"ddl_scripts": (x.ddl_scripts, True), "log_lines": (x.log_lines, False)})
+    projects = x.classes.unionByName(FX.idle_classes(spark, sf))
+    return Q.missing_inputs(projects, {"ddl_scripts": (x.ddl_scripts, True), "log_lines": (x.log_lines, False)})
+
+
+@query
+def dq_empty_projects(spark, sf):
+    """Q9: projects with a schema script or a nation's name that have no class in the call graph."""
+    x = _x(spark, sf)
+    projects = x.ddl_scripts.select("project_id").unionByName(FX.idle_classes(spark, sf).select("project_id"))
+    return Q.empty_projects(projects, x.classes)
 
 
-def _issues(x: Extraction) -> DataFrame:
+def _issues(x: Extraction, projects: DataFrame) -> DataFrame:
     """Issue rows per (project, step): step 2 — duplicate names and negative
-    minima; step 3 — z-score means off zero, all-zero TF-IDF rows, constant
+    minima; step 1 — no class at all (Q9), a project without a log (Q10); step 3 — z-score means off zero, all-zero TF-IDF rows, constant
     columns in the compat rule (K13: never fires)."""
     m = x.matrix
     # any unique row id orders the rows; the count of 2nd+ rows does not depend on it
@@ -423,14 +436,18 @@ def _issues(x: Extraction) -> DataFrame:
     zt = Q.zero_tfidf(x.classes, x.tfidf).select("project_id", F.lit(3).alias("step"))
     ct = Q.constant_features(m, fixed=False).filter("constant").select("project_id", F.lit(3).alias("step"))
     emp = Q.empty_projects(x.ddl_scripts, x.classes).select("project_id", F.lit(1).alias("step"))
-    return dup.unionByName(neg).unionByName(zs).unionByName(zt).unionByName(ct).unionByName(emp)
+    # A missing schema stops a project (it is no issue of the report); a missing log is one.
+    log = (Q.missing_inputs(projects, {"log_lines": (x.log_lines, False)})
+           .select("project_id", F.lit(1).alias("step")))
+    return dup.unionByName(neg).unionByName(zs).unionByName(zt).unionByName(ct).unionByName(emp).unionByName(log)
 
 
 @query
 def step_status(spark, sf):
     x = _x(spark, sf)
-    projects = x.classes.select("project_id").unionByName(x.ddl_scripts.select("project_id"))
-    return Q.step_status(_issues(x), projects)
+    projects = (x.classes.select("project_id").unionByName(x.ddl_scripts.select("project_id"))
+                .unionByName(FX.idle_classes(spark, sf).select("project_id")))
+    return Q.step_status(_issues(x, projects), projects)
 
 
 @query

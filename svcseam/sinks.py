@@ -6,7 +6,7 @@ partitioned by project so a corpus lands as one folder per project.
   sheet is sorted (O1) and split per domain (the reference's blank spacer
   row becomes the folder boundary).
 * S10 normalised / TF-IDF / composite: long parquet always; a wide CSV only
-  when the vocabulary is below a bound.
+  when the vocabulary is below a bound (beyond it the long rows as CSV).
 * S11 report metrics; S12 artifact manifest from a ``binaryFile`` listing.
 """
 
@@ -64,7 +64,8 @@ def write_features(long: DataFrame, path: str, wide_csv: bool = True, max_column
     """Long parquet (scalable form) and, below the vocabulary bound, a wide CSV."""
     long.write.mode("overwrite").partitionBy("project_id").parquet(path + "/long")
     if wide_csv:
-        _csv(M.pivot_wide(long, ["project_id", "class_name"], max_columns), path + "/wide")
+        ids = [c for c in ("project_id", "class_name", "related_table") if c in long.columns]
+        _csv(M.pivot_wide(long, ids, max_columns), path + "/wide")
 
 
 def write_report(metrics: DataFrame, path: str) -> None:

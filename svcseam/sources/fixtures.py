@@ -198,3 +198,10 @@ def ddl_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.concat(F.lit("p"), F.col("l_suppkey").cast("string"),
                                    F.lit("/src/main/resources/schema.sql")).alias("path"),
                           "ddl")
+
+
+def idle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project per nation with one class that makes no call and has neither schema nor log."""
+    n = read(spark, sf_dir, "nation")
+    return n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("project_id"),
+                    F.concat(F.lit("Idle"), F.col("n_nationkey").cast("string"), F.lit("Service")).alias("class_name"))
