@@ -81,6 +81,12 @@ def class_tfidf(classes: DataFrame) -> DataFrame:
     return tfidf(camel_tokens(classes), "class_name", "tokens")
 
 
+def class_vocabulary(classes: DataFrame) -> DataFrame:
+    """The number of distinct TF-IDF tokens per project, without weights."""
+    token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("tokens"), F.lit(TX.WORD_TOKEN), 0))).alias("token")
+    return camel_tokens(classes).select(*KEY, token).groupBy(*KEY).agg(F.count_distinct("token").alias("n_tokens"))
+
+
 def composite_long(z_long: DataFrame, tfidf_long: DataFrame, w_numeric: float = rules.W_NUMERIC,
                    w_tfidf: float = rules.W_TFIDF, ids: DataFrame | None = None) -> DataFrame:
     """M4: weighted z-scores and TF-IDF weights as one long feature table

@@ -144,3 +144,15 @@ def report_metrics(metrics: dict[str, tuple[int, DataFrame]]) -> DataFrame:
                          F.col("value").cast("double").alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def stacked_metrics(sources: Sequence[tuple[DataFrame, dict]]) -> DataFrame:
+    """Like ``report_metrics`` from one-row-per-project tables that each hold several
+    metrics: ``[(df, {metric: (step, column)})]``."""
+    out = None
+    for df, metrics in sources:
+        rows = F.array(*[F.struct(F.lit(step).alias("step"), F.lit(name).alias("metric"), value.cast("double").alias("value"))
+                         for name, (step, value) in metrics.items()])
+        part = df.select(*KEY, F.inline(rows))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -5,11 +5,10 @@ scripts, log lines) and exposes every intermediate table as a property. Each
 property is a lazy DataFrame; Catalyst prunes whatever a consumer does not
 read. Nothing is collected.
 
-The log events, the DDL scripts, the call edges and the matrix each feed
-several consumers (correlation and frequencies; tables, columns and keys;
-class list and call metrics; z-scores and quality checks), so they are
-written once to the shared checkpoint folder (``materialize=True``) instead of being recomputed
-per consumer.
+The log events, the DDL scripts, the tables, the call edges, the class list and the
+matrix each feed several consumers, so with ``materialize=True`` they are written once to
+the shared checkpoint folder instead of being recomputed per consumer; queries that read
+them once say ``materialize=False``.
 """
 
 from __future__ import annotations
@@ -45,10 +44,10 @@ class Extraction:
 
     # -- fixtures -------------------------------------------------------------
     @classmethod
-    def from_fixtures(cls, spark: SparkSession, sf_dir: str, from_text: bool = False) -> "Extraction":
+    def from_fixtures(cls, spark: SparkSession, sf_dir: str, from_text: bool = False, materialize: bool = True) -> "Extraction":
         src = FX.source_files(spark, sf_dir) if from_text else None
         edges = None if from_text else FX.calls(spark, sf_dir)
-        return cls(FX.log_lines(spark, sf_dir), FX.ddl_scripts(spark, sf_dir), edges, src)
+        return cls(FX.log_lines(spark, sf_dir), FX.ddl_scripts(spark, sf_dir), edges, src, materialize=materialize)
 
     # -- step 2C: logs --------------------------------------------------------
     @cached_property
@@ -87,7 +86,7 @@ class Extraction:
 
     @cached_property
     def tables(self) -> DataFrame:
-        return D.tables(self.statements)
+        return self._keep(D.tables(self.statements))
 
     @cached_property
     def columns(self) -> DataFrame:
@@ -118,7 +117,7 @@ class Extraction:
 
     @cached_property
     def classes(self) -> DataFrame:
-        return C.class_list(self.edges)
+        return self._keep(C.class_list(self.edges))
 
     # -- step 2D: matrix ------------------------------------------------------
     @cached_property

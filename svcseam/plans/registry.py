@@ -36,6 +36,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _once(spark, sf, from_text: bool = False) -> Extraction:
+    """For queries that read every intermediate table once: nothing is written in between."""
+    return Extraction.from_fixtures(spark, sf, from_text=from_text, materialize=False)
+
+
 def _x(spark, sf) -> Extraction:
     return Extraction.from_fixtures(spark, sf)
 
@@ -51,7 +56,7 @@ def _r(c, d: int = ROUND, alias: str | None = None):
 # ---------------------------------------------------------------- logs (L*)
 @query
 def log_events(spark, sf):
-    return _x(spark, sf).events
+    return _once(spark, sf).events
 
 
 @query
@@ -62,52 +67,52 @@ def log_events_fixed_update(spark, sf):
 
 @query
 def log_correlation(spark, sf):
-    return _x(spark, sf).correlation
+    return _once(spark, sf).correlation
 
 
 @query
 def resource_table_map(spark, sf):
-    return _x(spark, sf).resource_tables.select("project_id", "resource", _joined("tables"), "n_tables", "first_seen")
+    return _once(spark, sf).resource_tables.select("project_id", "resource", _joined("tables"), "n_tables", "first_seen")
 
 
 @query
 def resource_table_pairs(spark, sf):
-    return L.resource_table_pairs(_x(spark, sf).correlation)
+    return L.resource_table_pairs(_once(spark, sf).correlation)
 
 
 @query
 def endpoint_frequency(spark, sf):
-    return _x(spark, sf).endpoint_freq
+    return _once(spark, sf).endpoint_freq
 
 
 @query
 def table_frequency(spark, sf):
-    return _x(spark, sf).table_freq
+    return _once(spark, sf).table_freq
 
 
 @query
 def log_totals(spark, sf):
-    return L.log_totals(_x(spark, sf).events)
+    return L.log_totals(_once(spark, sf).events)
 
 
 @query
 def top_endpoints(spark, sf):
-    return L.top_k(_x(spark, sf).endpoint_freq, "endpoint")
+    return L.top_k(_once(spark, sf).endpoint_freq, "endpoint")
 
 
 @query
 def first_endpoints(spark, sf):
-    return L.first_seen(_x(spark, sf).endpoint_freq, "endpoint")
+    return L.first_seen(_once(spark, sf).endpoint_freq, "endpoint")
 
 
 @query
 def top_tables(spark, sf):
-    return L.top_k(_x(spark, sf).table_freq, "table_name")
+    return L.top_k(_once(spark, sf).table_freq, "table_name")
 
 
 @query
 def first_tables(spark, sf):
-    return L.first_seen(_x(spark, sf).table_freq, "table_name")
+    return L.first_seen(_once(spark, sf).table_freq, "table_name")
 
 
 # ---------------------------------------------------------------- schema (D*)
@@ -122,12 +127,12 @@ def ddl_pick(spark, sf):
 
 @query
 def ddl_tables(spark, sf):
-    return _x(spark, sf).tables
+    return _once(spark, sf).tables
 
 
 @query
 def ddl_columns(spark, sf):
-    return _x(spark, sf).columns.drop("table_pos")
+    return _once(spark, sf).columns.drop("table_pos")
 
 
 def _fk(df):
@@ -136,7 +141,7 @@ def _fk(df):
 
 @query
 def ddl_foreign_keys(spark, sf):
-    return _fk(_x(spark, sf).explicit_fks)
+    return _fk(_once(spark, sf).explicit_fks)
 
 
 @query
@@ -158,12 +163,12 @@ def all_foreign_keys(spark, sf):
 
 @query
 def table_domains(spark, sf):
-    return D.table_domains(_x(spark, sf).tables).drop("table_pos")
+    return D.table_domains(_once(spark, sf).tables).drop("table_pos")
 
 
 @query
 def domain_groups(spark, sf):
-    return D.domain_groups(D.table_domains(_x(spark, sf).tables)).select(
+    return D.domain_groups(D.table_domains(_once(spark, sf).tables)).select(
         "project_id", "domain", _joined("tables"), "n_tables")
 
 
@@ -180,57 +185,53 @@ def schema_summary(spark, sf):
 
 
 # ---------------------------------------------------------------- calls (C*)
-def _text(spark, sf) -> Extraction:
-    return Extraction.from_fixtures(spark, sf, from_text=True)
-
-
 _EDGE_COLS = ["project_id", "path", "from_class", "from_package", "to_class", "method_name", "call_type", "line_number"]
 
 
 @query
 def call_edges(spark, sf):
     """The lexical job over generated Java text."""
-    return _text(spark, sf).edges.select(*_EDGE_COLS)
+    return _once(spark, sf, from_text=True).edges.select(*_EDGE_COLS)
 
 
 @query
 def injected_edges(spark, sf):
-    return C.injected_edges(_text(spark, sf).edges).select(*_EDGE_COLS)
+    return C.injected_edges(_once(spark, sf, from_text=True).edges).select(*_EDGE_COLS)
 
 
 @query
 def adjacency(spark, sf):
-    return C.adjacency(_x(spark, sf).edges).select("project_id", "from_class", _joined("targets"), "n_targets")
+    return C.adjacency(_once(spark, sf).edges).select("project_id", "from_class", _joined("targets"), "n_targets")
 
 
 @query
 def adjacency_edges(spark, sf):
-    return C.adjacency_edges(_x(spark, sf).edges).select(
+    return C.adjacency_edges(_once(spark, sf).edges).select(
         "project_id", "from_class", "to_class", F.col("first.path").alias("first_path"),
         F.col("first.line_number").alias("first_line"), "n_calls")
 
 
 @query
 def class_list(spark, sf):
-    return _x(spark, sf).classes
+    return _once(spark, sf).classes
 
 
 @query
 def call_summary(spark, sf):
-    x = _text(spark, sf)
-    # edges and file counts both read the parsed files: blank the text once
+    x = _once(spark, sf, from_text=True)
+    # edges and file counts both read the parsed files: scan the text once
     x.__dict__["parsed_sources"] = cut_lineage(C.parse_sources(x.source_files))
     return C.call_summary(x.edges, C.file_status(x.parsed_sources))
 
 
 @query
 def call_type_histogram(spark, sf):
-    return C.call_type_histogram(_x(spark, sf).edges)
+    return C.call_type_histogram(_once(spark, sf).edges)
 
 
 @query
 def first_calls(spark, sf):
-    return C.first_calls(_x(spark, sf).edges).select("project_id", "path", "line_number", "from_class",
+    return C.first_calls(_once(spark, sf).edges).select("project_id", "path", "line_number", "from_class",
                                                      "to_class", "method_name", "rank")
 
 
@@ -286,13 +287,13 @@ def related_table(spark, sf):
 
 @query
 def class_domain(spark, sf):
-    return X.classify(_x(spark, sf).classes).select("project_id", "class_name", "domain", "stereotype",
+    return X.classify(_once(spark, sf).classes).select("project_id", "class_name", "domain", "stereotype",
                                                     "stereotype_rank")
 
 
 @query
 def stereotype_flags(spark, sf):
-    return X.classify(_x(spark, sf).classes).select("project_id", "class_name", "is_controller", "is_service",
+    return X.classify(_once(spark, sf).classes).select("project_id", "class_name", "is_controller", "is_service",
                                                     "is_repository")
 
 
@@ -325,7 +326,7 @@ def zscore_features(spark, sf):
 
 @query
 def camel_tokens(spark, sf):
-    return M.camel_tokens(_x(spark, sf).classes)
+    return M.camel_tokens(_once(spark, sf).classes)
 
 
 @query
@@ -452,22 +453,21 @@ def step_status(spark, sf):
 
 @query
 def report_metrics(spark, sf):
+    """One aggregate per source, turned into long rows by ``inline``."""
     x = _x(spark, sf)
-    e = x.edges
-    per = {
-        "classes": (1, x.classes.groupBy("project_id").agg(F.count("*").alias("value"))),
-        "calls": (1, e.groupBy("project_id").agg(F.count("*").alias("value"))),
-        "tables": (1, x.tables.groupBy("project_id").agg(F.count("*").alias("value"))),
-        "foreign_keys": (1, x.foreign_keys.groupBy("project_id").agg(F.count("*").alias("value"))),
-        "http_events": (1, x.events.groupBy("project_id").agg(F.count_if(F.col("type") == "HTTP").alias("value"))),
-        "sql_events": (1, x.events.groupBy("project_id").agg(F.count_if(F.col("type") == "SQL").alias("value"))),
-        "correlated_resources": (1, x.resource_tables.groupBy("project_id").agg(F.count("*").alias("value"))),
-        "matrix_rows": (2, x.matrix.groupBy("project_id").agg(F.count("*").alias("value"))),
-        "numeric_features": (3, x.matrix.groupBy("project_id").agg(F.lit(len(rules.NUMERIC_COLUMNS)).alias("value"))),
-        "tfidf_tokens": (3, x.tfidf.groupBy("project_id").agg(F.count_distinct("token").alias("value"))),
-    }
-    out = Q.report_metrics(per)
-    vocab = x.tfidf.groupBy("project_id").agg(F.count_distinct("token").alias("v"))
-    comp = vocab.select("project_id", F.lit(3).alias("step"), F.lit("composite_features").alias("metric"),
-                        (F.col("v") + len(rules.NUMERIC_COLUMNS)).cast("double").alias("value"))
-    return out.unionByName(comp)
+
+    def per_project(df, n="value"):
+        return df.groupBy("project_id").agg(F.count("*").alias(n))
+
+    vocab = M.class_vocabulary(x.classes)
+    width = F.lit(len(rules.NUMERIC_COLUMNS))
+    return Q.stacked_metrics([
+        (per_project(x.classes), {"classes": (1, F.col("value"))}),
+        (per_project(x.edges), {"calls": (1, F.col("value"))}),
+        (per_project(x.tables), {"tables": (1, F.col("value"))}),
+        (per_project(x.foreign_keys), {"foreign_keys": (1, F.col("value"))}),
+        (L.log_totals(x.events), {"http_events": (1, F.col("total_http")), "sql_events": (1, F.col("total_sql"))}),
+        (per_project(x.resource_tables), {"correlated_resources": (1, F.col("value"))}),
+        (per_project(x.matrix), {"matrix_rows": (2, F.col("value")), "numeric_features": (3, width)}),
+        (vocab, {"tfidf_tokens": (3, F.col("n_tokens")), "composite_features": (3, F.col("n_tokens") + width)}),
+    ])
