@@ -458,6 +458,19 @@ def oracle_sql() -> dict[str, str]:
                  FROM fks GROUP BY ALL) f USING (project_id)"""
     # -- calls (the oracle for the text job is the structured derivation)
     q["call_edges"] = CALLS + f"SELECT {_EDGE_COLS} FROM calls"
+    q["call_edges_fluent"] = CALLS + """, t AS (
+      SELECT *, regexp_replace(path, '[.]java$', '_') || CAST(line_number AS VARCHAR) || '.java' AS file,
+             'com.shop.p' || CAST(l_suppkey AS VARCHAR) AS pkg, to_var || '.' || verb || '(new ' || to_type || '(1))' AS first_link
+      FROM cr)
+      SELECT project_id, file AS path, 'Unknown' AS from_class, pkg AS from_package, 'Map<String, ' || to_type || '>' AS to_class,
+             to_var AS method_name, 'autowired' AS call_type, CAST(3 AS INTEGER) AS line_number
+      FROM t WHERE call_type = 'autowired'
+      UNION ALL SELECT project_id, file, from_class, pkg, to_var, verb, 'method_call', 4 FROM t WHERE call_type <> 'autowired'
+      UNION ALL SELECT project_id, file, from_class, pkg, first_link, 'next', 'method_call', 4 FROM t WHERE call_type <> 'autowired'
+      UNION ALL SELECT project_id, file, from_class, pkg, first_link || '.next(three(four(5)))', 'done', 'method_call', 4
+      FROM t WHERE call_type <> 'autowired'
+      UNION ALL SELECT project_id, file, from_class, pkg, 'new ' || to_type || '()', 'go', 'method_call', 7
+      FROM t WHERE call_type <> 'autowired'"""
     q["injected_edges"] = CALLS + f"SELECT {_EDGE_COLS} FROM calls WHERE call_type = 'autowired'"
     q["adjacency"] = CALLS + """
       , firsts AS (SELECT project_id, from_class, to_class, min((path, line_number)) AS f FROM calls GROUP BY ALL)

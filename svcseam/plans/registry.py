@@ -194,6 +194,12 @@ def call_edges(spark, sf):
     return _once(spark, sf, from_text=True).edges.select(*_EDGE_COLS)
 
 
+@query
+def call_edges_fluent(spark, sf):
+    """C1, C3, C4, C6 on chains over lines, nested arguments, constructors, spread annotations, enum files, long lines."""
+    return C.call_edges(C.parse_sources(FX.fluent_files(spark, sf))).select(*_EDGE_COLS)
+
+
 @query
 def injected_edges(spark, sf):
     return C.injected_edges(_once(spark, sf, from_text=True).edges).select(*_EDGE_COLS)

@@ -137,6 +137,23 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("project_id", "path", content.alias("content"))
 
 
+def fluent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Java text per call row in the styles that need nesting and many lines: a chain over
+    lines with a constructor and nested calls as arguments, a call on a new object (on
+    some lines a hundred kilobytes long), or an enum whose field is far below its annotation."""
+    r = _call_rows(spark, sf_dir)
+    pad = F.repeat(F.lit("x + "), F.when((F.col("l_orderkey") % 500 == 0) & (F.col("l_linenumber") == 1), F.lit(25_000)).otherwise(F.lit(1)))
+    chain = F.concat(F.lit("class "), F.col("from_class"), F.lit(" {\n  void f() {\n    "), F.col("to_var"), F.lit("."), F.col("verb"),
+                     F.lit("(new "), F.col("to_type"), F.lit("(1))\n        .next(three(four(5)))\n        .done();\n    new "), F.col("to_type"),
+                     F.lit("().go("), pad, F.lit("1);\n  }\n}\n"))
+    field = F.concat(F.lit("enum Kind { ONE;\n  @Autowired\n  @Qualifier(\"a.b(\")\n  // far from the annotation\n  private Map<String, "),
+                     F.col("to_type"), F.lit("> "), F.col("to_var"), F.lit(";\n}\n"))
+    path = F.concat(F.regexp_replace("path", "\\.java$", "_"), F.col("line_number").cast("string"), F.lit(".java"))
+    content = F.concat(F.lit("package com.shop.p"), F.col("l_suppkey").cast("string"), F.lit(";\n"),
+                       F.when(F.col("call_type") == "autowired", field).otherwise(chain))
+    return r.select("project_id", path.alias("path"), content.alias("content"))
+
+
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
 URL_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)"
 HREF = r'href="([^"]*)"'
