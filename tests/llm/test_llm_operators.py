@@ -294,8 +294,26 @@ def test_lm_is_a_distribution():
     rows, place, word, tail = maxent_lm._sequence(pa.array(["a b c d", None, "x"]))
     cls = maxent_lm.Classes(word[:2]).of(word, tail)
     assert list(rows) == [0] * 5 + [1] + [2] * 2 and list(place) == [0, 1, 2, 3, 4, 0, 0, 1] and cls[4] == cls[5] == cls[7] == 0
-    z = maxent_lm._log_softmax(w, maxent_lm._features(word, cls, place))
-    assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-4)
+    at = maxent_lm._features(word, cls, place)
+    for scale in (1, 40):  # also where exp would leave its range
+        p = np.stack([np.exp(maxent_lm._log_prob(w * scale, at, np.full(len(at), c))) for c in range(maxent_lm.CLASSES)])
+        assert np.allclose(p.sum(axis=0), 1, atol=1e-4)
+
+
+def test_lm_gradient_steps_raise_the_likelihood():
+    rng = np.random.default_rng(3)
+    cls = rng.integers(0, 5, 6000)
+    at = np.stack([1 + np.roll(cls, 1) + 10 * j for j in range(maxent_lm.FEATURES)], axis=1).astype(np.int32)
+    cls = np.where(rng.random(6000) < 0.9, (np.roll(cls, 1) * 3 + 1) % 5, cls)
+    w, sq, seen = np.zeros((maxent_lm.ROWS, maxent_lm.CLASSES), np.float32), np.full(maxent_lm.ROWS, 0.1, np.float32), np.zeros(maxent_lm.ROWS, np.int64)
+    before = maxent_lm._log_prob(w, at, cls).mean()
+    for _ in range(5):
+        maxent_lm._gradient_steps(w, sq, seen, at, cls)
+    assert maxent_lm._log_prob(w, at, cls).mean() > before + 2 and seen[0] == 30_000
+    g = rng.normal(size=(200, 7)).astype(np.float32)
+    first = np.array([0, 1, 4, 12, 21, 150])
+    n = np.diff(np.r_[first, 200])
+    assert np.allclose(maxent_lm._sum_rows(g, first, n), np.add.reduceat(g, first, axis=0), atol=1e-4)
 
 
 # ---------------------------------------------------------------- 7 packing
