@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import fold, kept
-from .words import _tables, constants, slices, tokens
+from .words import _tables, constants, process_cache, slices, tokens
 
 VOCABULARY = "byte_bpe_50k"
 FIT_ROWS = 20_000
@@ -85,6 +85,13 @@ class Lattice:
                     yield end, length, rows, ids[at[rows]]
 
 
+def _lattice(vocabulary: str) -> Lattice:
+    cache = process_cache("lattice")
+    if vocabulary not in cache:
+        cache[vocabulary] = Lattice(vocabulary)
+    return cache[vocabulary]
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, number of the distinct word) of all words, and the distinct words longest
     first: (bytes, sizes, hashes). Letter runs longer than WORD_BYTES count as several words."""
@@ -154,7 +161,7 @@ def _expected(lattice: Lattice, p: np.ndarray, words: np.ndarray, size: np.ndarr
 
 def _counting(languages: list[str], p: np.ndarray, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = Lattice(vocabulary), np.zeros(p.shape)
+        lattice, total = _lattice(vocabulary), np.zeros(p.shape)
         number = {lang: i for i, lang in enumerate(languages)}
         for batch in batches:
             for part in slices(batch, "text", 1 << 21):
@@ -203,7 +210,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, iterations: int = ITERATIONS,
 
 def _scoring(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, languages = Lattice(model.vocabulary), len(model.languages)
+        lattice, languages = _lattice(model.vocabulary), len(model.languages)
         seen, values = np.zeros(0, np.uint64), np.zeros((0, languages))
         for batch in batches:
             for part in slices(batch, "text"):

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 
 BLOCK = 1 << 18
+KEPT_POWERS = 1 << 22
 SHINGLE = 5
 _U = np.uint64
 
@@ -38,12 +39,16 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=_U) + _U(seed << 20)) * _U(0x9E3779B97F4A7C15))
 
 
-_TABLES: dict = {}
+def process_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker. Functions that are shipped by value
+    get fresh module globals with every task, so what is costly to load is kept here."""
+    return sys.__dict__.setdefault("_svcseam_llm_cache", {}).setdefault(name, {})
 
 
 def _tables(n: int):
     """Byte tables and the powers of the hash base (and of its inverse) up to n."""
-    if "lower" not in _TABLES:
+    tables = process_cache("words")
+    if "lower" not in tables:
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
         space = np.zeros(256, bool)
@@ -52,16 +57,18 @@ def _tables(n: int):
         value[65:91] = value[97:123]
         other = np.ones(256, bool)  # everything but ASCII letters and bytes of other characters
         other[65:91] = other[97:123] = other[128:] = False
-        _TABLES.update(lower=lower, space=space, other=other, value=value, n=0)
-    if _TABLES["n"] < n:
+        tables.update(lower=lower, space=space, other=other, value=value, n=0)
+    if tables["n"] < n:
+        if n > KEPT_POWERS:  # one huge word: its powers are not kept
+            tables = dict(tables)
         base = int(constants(1, 2)[0]) | 1
         inverse = pow(base, -1, 1 << 64)
         for name, b in (("pow", base), ("inv", inverse)):
             p = np.full(n + 1, b, _U)
             p[0] = 1
-            _TABLES[name] = np.multiply.accumulate(p)
-        _TABLES["n"] = n
-    return _TABLES
+            tables[name] = np.multiply.accumulate(p)
+        tables["n"] = n
+    return tables
 
 
 def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
