@@ -107,13 +107,13 @@ class Extraction:
     # -- step 2A: calls -------------------------------------------------------
     @cached_property
     def parsed_sources(self) -> DataFrame:
-        return C.parse_sources(self.source_files)
+        return self._keep(C.parse_sources(self.source_files))
 
     @cached_property
     def edges(self) -> DataFrame:
         if self._edges is not None:
             return self._keep(self._edges)
-        return self._keep(C.call_edges(self.parsed_sources))
+        return C.call_edges(self.parsed_sources)  # an explode of the kept files
 
     @cached_property
     def classes(self) -> DataFrame:

@@ -22,8 +22,8 @@ from ..operators import matrix as X
 from ..operators import metrics as A
 from ..operators import quality as Q
 from ..operators import similarity as S
-from ..session import cut_lineage
 from ..sources import fixtures as FX
+from . import run
 from .extraction import Extraction
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,9 +224,7 @@ def class_list(spark, sf):
 
 @query
 def call_summary(spark, sf):
-    x = _once(spark, sf, from_text=True)
-    # edges and file counts both read the parsed files: scan the text once
-    x.__dict__["parsed_sources"] = cut_lineage(C.parse_sources(x.source_files))
+    x = Extraction.from_fixtures(spark, sf, from_text=True)  # edges and file counts both read the parsed files
     return C.call_summary(x.edges, C.file_status(x.parsed_sources))
 
 
@@ -430,31 +428,12 @@ def dq_empty_projects(spark, sf):
     return Q.empty_projects(projects, x.classes)
 
 
-def _issues(x: Extraction, projects: DataFrame) -> DataFrame:
-    """Issue rows per (project, step): step 2 — duplicate names and negative
-    minima; step 1 — no class at all (Q9), a project without a log (Q10); step 3 — z-score means off zero, all-zero TF-IDF rows, constant
-    columns in the compat rule (K13: never fires)."""
-    m = x.matrix
-    # any unique row id orders the rows; the count of 2nd+ rows does not depend on it
-    dup = Q.duplicates(m.withColumn("row_order", F.monotonically_increasing_id())).select(
-        "project_id", F.lit(2).alias("step"))
-    neg = Q.negatives(m).filter("negative").select("project_id", F.lit(2).alias("step"))
-    zs = Q.zscore_check(x.zscores).filter(~F.col("mean_ok")).select("project_id", F.lit(3).alias("step"))
-    zt = Q.zero_tfidf(x.classes, x.tfidf).select("project_id", F.lit(3).alias("step"))
-    ct = Q.constant_features(m, fixed=False).filter("constant").select("project_id", F.lit(3).alias("step"))
-    emp = Q.empty_projects(x.ddl_scripts, x.classes).select("project_id", F.lit(1).alias("step"))
-    # A missing schema stops a project (it is no issue of the report); a missing log is one.
-    log = (Q.missing_inputs(projects, {"log_lines": (x.log_lines, False)})
-           .select("project_id", F.lit(1).alias("step")))
-    return dup.unionByName(neg).unionByName(zs).unionByName(zt).unionByName(ct).unionByName(emp).unionByName(log)
-
-
 @query
 def step_status(spark, sf):
     x = _x(spark, sf)
     projects = (x.classes.select("project_id").unionByName(x.ddl_scripts.select("project_id"))
                 .unionByName(FX.idle_classes(spark, sf).select("project_id")))
-    return Q.step_status(_issues(x, projects), projects)
+    return Q.step_status(run.issues(x, projects), projects)
 
 
 @query

@@ -34,6 +34,9 @@ DB_COLUMNS = _struct(
     ("type", S), ("nullable", B), ("primary_key", B),
 )
 
+DB_TABLES = _struct(("project_id", S), ("table_name", S), ("table_pos", I))
+TABLE_FREQUENCY = _struct(("project_id", S), ("table_name", S), ("n", L), ("first_seen", L))
+
 # fk_order sorts explicit keys (k=0: statement, match) before inferred ones
 # (k=1: table position, column ordinal).
 FK_ORDER = T.StructType([T.StructField("k", I, True), T.StructField("a", I, True), T.StructField("b", I, True)])

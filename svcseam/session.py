@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or conf_dir
     # Unset: only acceptable in local mode (tests). On a cluster a machine-local
     # folder would not survive executor loss, so refuse instead of guessing.
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
     # The core setting cannot be changed at runtime; point the context at a private folder.
     local_dir = tempfile.mkdtemp(prefix="svcseam-ckpt-")

@@ -20,18 +20,20 @@ from .operators import features as M
 from .operators import matrix as X
 
 
-def write_json(df: DataFrame, path: str, partition_by: str | None = "project_id") -> None:
-    w = df.write.mode("overwrite")
+def _by_project(df: DataFrame, partition_by: str | None):
+    """A writer with one folder per project: rows are brought together by project first, so
+    that a project has few files (AQE splits a large project and joins small ones)."""
     if partition_by and partition_by in df.columns:
-        w = w.partitionBy(partition_by)
-    w.json(path)
+        return df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by)
+    return df.write.mode("overwrite")
+
+
+def write_json(df: DataFrame, path: str, partition_by: str | None = "project_id") -> None:
+    _by_project(df, partition_by).json(path)
 
 
 def _csv(df: DataFrame, path: str, partition_by: str | None = "project_id") -> None:
-    w = df.write.mode("overwrite").option("header", True)
-    if partition_by and partition_by in df.columns:
-        w = w.partitionBy(partition_by)
-    w.csv(path)
+    _by_project(df, partition_by).option("header", True).csv(path)
 
 
 def write_matrix_raw(matrix: DataFrame, path: str) -> None:
@@ -62,7 +64,7 @@ def write_matrix_by_domain(matrix: DataFrame, path: str) -> None:
 
 def write_features(long: DataFrame, path: str, wide_csv: bool = True, max_columns: int = 10_000) -> None:
     """Long parquet (scalable form) and, below the vocabulary bound, a wide CSV."""
-    long.write.mode("overwrite").partitionBy("project_id").parquet(path + "/long")
+    _by_project(long, "project_id").parquet(path + "/long")
     if wide_csv:
         ids = [c for c in ("project_id", "class_name", "related_table") if c in long.columns]
         _csv(M.pivot_wide(long, ids, max_columns), path + "/wide")

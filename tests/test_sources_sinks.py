@@ -120,6 +120,20 @@ def test_extract_corpus_and_manifest(spark, tmp_path):
     back = S.read_matrix_csv(spark, out + "/feature_matrix.csv/project_id=demo")
     assert back.count() == 2
     assert S.read_json(spark, str(tmp_path / "missing.json"), back.schema) is None
+    key = ["project_id", "class_name"]
+    again = R.matrix_from_artifacts(spark, out)
+    assert again.orderBy(*key).collect() == x.matrix.orderBy(*key).collect()
+    wrong, profile, comp = R.checks_from_matrix_csv(spark, out + "/feature_matrix.csv/project_id=demo", "demo")
+    assert wrong == [] and profile.count() == 12
+    direct = x.composite.filter("project_id = 'demo'").select(*comp.columns)
+    rounded = [F.round(F.col(c), 9).alias(c) if c == "value" else F.col(c) for c in comp.columns]
+    assert sorted(map(tuple, comp.select(*rounded).collect()), key=str) == sorted(map(tuple, direct.select(*rounded).collect()), key=str)
+    rep = {(r.project_id, r.metric): float(r.value) for r in spark.read.option("header", True).csv(out + "/validation_report").collect() if r.metric != "issues"}
+    assert rep[("demo", "tables")] == 2 and rep[("demo", "call_type:autowired")] == 1 and rep[("demo", "weight_tfidf")] == 0.3
+    listed = {r.artifact: r.exists for r in spark.read.option("header", True).csv(out + "/manifest").collect()}
+    assert listed["feature_matrix.csv"] == "true"
+    for member in ("call_summary", "adjacency", "db_tables", "db_domain_groups", "log_resource_tables", "log_totals"):
+        assert spark.read.json(f"{out}/{member}.json").count() > 0
     cols, fks, ev = R.with_fallbacks(x)
     assert cols.filter("project_id = 'other' AND simulated").select("table_name").distinct().count() == 6
     assert ev.filter("project_id = 'other'").count() == 18
