@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import kept
-from .words import SHINGLE, bounds, constants, mix64, shingles, slices, tokens
+from .words import bounds, constants, mix64, shingles, slices, tokens
 
 HASHES, ROWS, BATCH = 128, 4, 16
 THRESHOLD, MISS = 75, 1e-6
