@@ -14,7 +14,7 @@ from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from svcseam.plans.registry import REGISTRY  # noqa: E402
 from svcseam.session import local_session  # noqa: E402
 
 
@@ -40,7 +40,7 @@ def main() -> None:
     spark = local_session(8)
     print("| query | shuffles | shuffle keys | broadcasts | partial top-k | python nodes |")
     print("| --- | --- | --- | --- | --- | --- |")
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(REGISTRY.items()):
         df = fn(spark, sf)
         df.write.format("noop").mode("overwrite").save()
         s = summarise(df._jdf.queryExecution().executedPlan().toString())
