@@ -316,6 +316,15 @@ def test_lm_gradient_steps_raise_the_likelihood():
     assert np.allclose(maxent_lm._sum_rows(g, first, n), np.add.reduceat(g, first, axis=0), atol=1e-4)
 
 
+def test_lm_learns_from_every_training_document(spark):
+    texts = [f"a{i} b{i} c{i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    w = maxent_lm.train(docs, np.zeros(0, np.uint64), np.ones(maxent_lm.CLASSES))
+    _, place, word, tail = maxent_lm._sequence(pa.array(texts))
+    at = maxent_lm._features(word, maxent_lm.Classes(np.zeros(0, np.uint64)).of(word, tail), place)
+    assert w[at].any(axis=2).all()
+
+
 # ---------------------------------------------------------------- 7 packing
 def test_packing_round_trip(spark, odd):
     from public_tokenizers import path
