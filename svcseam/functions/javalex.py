@@ -46,7 +46,9 @@ def blank_text(text: str | None) -> str | None:
     return _LEXEME.sub(_blank, text)
 
 
-_TOKEN = re.compile(r"[A-Za-z_$\u0080-\uffff][\w$]*|\S")
+# A name, a blanked literal, or one other character.
+_TOKEN = re.compile(r"""[A-Za-z_$\u0080-\uffff][\w$]*|\"{3}[ \n]*\"{3}|" *"|' *'|\S""")
+_LITERAL = re.compile(r"""(\"{3}[\s\S]*?\"{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""")
 _SPACE = re.compile(r"\s+")
 _TIGHT = re.compile(r" ?([.()]) ?")
 _PACKAGE = re.compile(r"(?m)^\s*package\s+([\w.]+)\s*;")
@@ -59,7 +61,10 @@ _MODIFIERS = frozenset("private protected public static final transient volatile
 
 
 def _tidy(text: str) -> str:
-    return _TIGHT.sub(r"\1", _SPACE.sub(" ", text.strip()))
+    """Spacing normalised, except inside literals."""
+    parts = _LITERAL.split(text.strip())
+    parts[::2] = [_TIGHT.sub(r"\1", _SPACE.sub(" ", p)) for p in parts[::2]]
+    return "".join(parts)
 
 
 def _skip_angles(tokens: list, i: int) -> int:
@@ -124,19 +129,21 @@ def scan_java(text: str, annotations: tuple[str, ...], min_scope_len: int = 2) -
     names = frozenset(annotations)
     found = _PACKAGE.search(code)
     edges: list[tuple] = []
-    stack: list[tuple] = []  # (bracket, begin of the value it ends, or -1)
+    stack: list[tuple] = []  # (bracket, begin of the value it ends, or -1, of a ``new``?)
     owner, value, dotted, balanced = "Unknown", None, False, True
+    made = False  # the value just read is a ``new`` that a body may follow
     i = 0
     while i < len(tokens):
         t, begin, end = tokens[i]
         after = tokens[i + 1][0] if i + 1 < len(tokens) else ""
+        body, made = made, False
         if t[0].isalpha() or t[0] in "_$" or t[0] > "\x7f":
             if dotted and value is not None:
                 if after == "(":
                     scope = _tidy(text[value[0]:value[1]])
                     if scope != "this" and len(scope) >= min_scope_len:
                         edges.append((owner, scope, t, "method_call", bisect.bisect_left(newlines, value[0]) + 1))
-                    stack.append(("(", value[0]))
+                    stack.append(("(", value[0], False))
                     i += 1
                     value = None
                 else:
@@ -153,11 +160,11 @@ def scan_java(text: str, annotations: tuple[str, ...], min_scope_len: int = 2) -
                     j = _skip_angles(tokens, j)
                 value = None
                 if j < len(tokens) and tokens[j][0] in "([":
-                    stack.append((tokens[j][0], begin))
+                    stack.append((tokens[j][0], begin, True))
                     j += 1
                 i = j - 1
             elif after == "(":
-                stack.append(("(", -1 if t in _NOT_VALUES else begin))
+                stack.append(("(", -1 if t in _NOT_VALUES else begin, False))
                 i += 1
                 value = None
             else:
@@ -175,18 +182,20 @@ def scan_java(text: str, annotations: tuple[str, ...], min_scope_len: int = 2) -
             else:
                 j = _qualified(tokens, i + 1) if i + 1 < len(tokens) else i + 1
                 if j < len(tokens) and tokens[j][0] == "(":
-                    stack.append(("(", -1))
+                    stack.append(("(", -1, False))
                     j += 1
                 i, value, dotted = j - 1, None, False
         elif t in "([{":
-            stack.append((t, (value[0] if value else -1) if t == "[" else begin if t == "(" else -1))
+            stack.append((t, begin if t == "(" else value[0] if value and (t == "[" or body) else -1, body and t == "["))
             value, dotted = None, False
         elif t in _CLOSES:
             if not stack or stack[-1][0] != _CLOSES[t]:
                 balanced = False
                 break
-            start = stack.pop()[1]
+            _, start, made = stack.pop()
             value, dotted = (start, end) if start >= 0 else None, False
+        elif len(t) > 1:
+            value, dotted = (begin, end), False  # a literal
         else:
             value, dotted = None, False
         i += 1

@@ -4,8 +4,9 @@ Accepted grammar (documented limit of a lexical scan, quirk K8):
 
 * comments, string, char and text-block literals are blanked for matching;
 * a call is ``scope.name(`` where ``scope`` is any expression: a dotted name, a call
-  chain at any nesting and over any lines, ``new X(...)``, an index, a bracketed
-  expression; the scope is its source text with spacing normalised; the line is the
+  chain at any nesting and over any lines, ``new X(...)`` also with a class body, a new
+  array with its values, an index, a string or text block, a bracketed expression; the
+  scope is its source text with spacing normalised outside literals; the line is the
   one the whole expression begins on; unscoped calls are ``this`` calls and are dropped
   (C2: scope ``this`` or shorter than 2 characters is dropped);
 * an injected field is ``@Autowired``/``@Inject`` among annotations and modifiers, at

@@ -87,6 +87,29 @@ def test_calls_over_lines_nesting_and_constructors(spark):
     ]
 
 
+def test_calls_on_literals_and_after_bodies(spark):
+    text = '''class A {
+  void f(String m) {
+    "GET".equals(m); "a  . b".split(" ,  ").length; "a".concat(b).trim(); "".isEmpty();
+    """
+      x.y() (
+      """.formatted(m);
+    new X() { void g() { aa.bb(); } }.run();
+    new int[]{1}.clone(); new int[][] {{1}, {2}}.clone();
+    for (Y y : new Ys()) { y2.go(); } if (m == "q") { z2.go(); }
+  }
+}
+'''
+    assert _found(spark, text) == [
+        ("A", '"GET"', "equals", 3), ("A", '"a  . b"', "split", 3), ("A", '"a"', "concat", 3), ("A", '"a".concat(b)', "trim", 3),
+        ("A", '""', "isEmpty", 3),
+        ("A", '"""\n      x.y() (\n      """', "formatted", 4),
+        ("A", "aa", "bb", 7), ("A", "new X(){ void g(){ aa.bb(); } }", "run", 7),
+        ("A", "new int[]{1}", "clone", 8), ("A", "new int[][] {{1}, {2}}", "clone", 8),
+        ("A", "y2", "go", 9), ("A", "z2", "go", 9),
+    ]
+
+
 def test_spread_annotations_enum_and_annotation_files(spark):
     text = """/* package no; */
 package yes;
