@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -28,3 +30,8 @@ def fold(doc_id: Column, parts: int) -> Column:
 def kept(df: DataFrame) -> DataFrame:
     """A table with several readers, written once to the shared checkpoint folder."""
     return cut_lineage(df)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
