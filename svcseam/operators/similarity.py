@@ -1,43 +1,43 @@
 """M5 / O2 — the k most similar document pairs per project (cosine), exact.
 
-A token self-join would emit every pair inside a token's posting list, which
-for a common token is quadratic. Instead (prefix filtering, as in the
-all-pairs similarity-search literature):
-
-0. **Copies.** Documents with bit-identical vectors form one copy group
-   (fingerprint = hash of the sorted (token, weight) list). Only one
-   representative per group enters steps 1–3, so a group of copies holding a
-   third of all rows costs one document there. A pair of groups (G, H) stands
-   for |G|·|H| member pairs of equal similarity, which order by name; only
-   the first k members of each group by name can reach the top k, so the
-   expansion is at most k² pairs per group pair (and the pairs inside a group,
-   at similarity 1, come from its first k + 1 members).
-
-1. **Seed.** In the posting lists of each document's rarest shared tokens (at
-   least two documents have them; long lists are salted), pair each document with its neighbour by
-   weight. That is linear in the number of documents and gives real pairs
-   whose exact similarities bound the k-th best from below: threshold ``t``.
-   (Copies share their rarest tokens with equal weights, so they meet.)
-2. **Prefix.** Order each unit vector's tokens globally (rarest first). If
-   cos(x, y) ≥ t, their first shared token j satisfies ‖x_{≥j}‖ ≥ t and
-   ‖y_{≥j}‖ ≥ t, so it lies in both *prefixes* — the tokens whose suffix
-   norm is still ≥ t. Joining prefixes on the token therefore finds every
-   pair with similarity ≥ t; prefixes are short when t is high.
-   Each joined row also carries the Cauchy–Schwarz bound of its token,
-   which drops hopeless pairs before they are materialised.
-3. **Score** candidates exactly (dot product of the two sparse vectors by
-   a join on the shared tokens), union the seeds, keep the top k by (similarity desc, a, b).
-4. **Expand** representative pairs to member pairs (step 0). **Pad**: if a
-   project has fewer than k pairs with positive similarity, the
-   remaining slots are zero-similarity pairs in name order, which only involve
-   the first 2k documents by name.
-
-No pair count is capped: every pair at or above the threshold is scored.
+A token self-join would emit every pair inside a token's posting list, which for a common
+token is quadratic. Instead an impact-ordered inverted index is read with a rising threshold:
+
+0. **Copies.** Documents with bit-identical vectors form one copy group (fingerprint = hash
+   of the sorted (token, weight) list). Only one representative per group enters steps 1–4,
+   so a group of copies holding a third of all rows costs one document there. A pair of
+   groups (G, H) stands for |G|·|H| member pairs of equal similarity, which order by name;
+   only the first k members of each group by name can reach the top k, so the expansion is at
+   most k² pairs per group pair (and the pairs inside a group, at similarity 1, come from its
+   first k + 1 members).
+1. **First blocks.** The head of the posting lists of each document's rarest and heaviest
+   shared tokens: neighbours by weight, and the pairs of the first k + 1 entries. The
+   most promising pairs per project (a bounded number, by the cosine over the tokens read and
+   by the one token's product) are scored exactly; the k-th best pair (t, a_k, b_k) in the
+   order of the result is the threshold.
+2. **Index.** Tokens are ordered globally (rarest first). With ``rest`` = norm of a vector
+   after a token, a pair whose first shared token is j has similarity at most
+   x_j·y_j + rest_x·rest_y. An entry whose bound against its list's maxima is below t is
+   dropped. The others fall into blocks by quantised impact (the norm from the token on),
+   then by a hash, of about ``BLOCK_ROWS`` entries, each with its maxima.
+3. **Blocks and candidates.** Entries that can lead a pair meet block maxima first, and
+   only the blocks that can still reach the threshold meet their rows. Ties count in the
+   order of the result: at exactly t a pair matters only before (a_k, b_k) by name, so the
+   first name must be at most a_k. A hot token whose n entries all tie therefore costs the
+   few leading names times its blocks, not n².
+4. **Score** candidates exactly (a join of their two vectors on the shared tokens), together
+   with the pairs of step 1, and keep the top k by (similarity desc, a, b).
+5. **Expand** representative pairs to member pairs (step 0). **Pad**: if a project has
+   fewer than k pairs with positive similarity, the remaining slots are zero-similarity pairs
+   in name order, which only involve the first 2k documents by name.
+
+No pair count is capped: the bounded choice of step 1 only decides how high the threshold
+starts, and every pair that can rank among the k best is scored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -45,12 +45,44 @@ from ..session import cut_lineage
 
 KEY = ["project_id"]
 SIM_DECIMALS = 9
-SALT_FROM = 4096  # posting lists longer than this are split for seeding
-
-
-def _score(pairs: DataFrame, v: DataFrame, doc: str) -> DataFrame:
-    """Exact dot products of candidate pairs: each pair meets the tokens of its
-    first document, then the second document's weight for the same token."""
+HALF = 0.5 * 10 ** -SIM_DECIMALS
+EPS = 1e-12  # above the rounding errors of the bounds
+SEED_TOKENS = 8  # of a document's rarest and of its heaviest tokens, read for the threshold
+SALTS, SALT_FROM = 16, 4096  # posting lists longer than this are split for the first blocks
+FIRST_PAIRS = 64  # pairs per project and estimate that are scored for the threshold
+BLOCK_ROWS = 256
+LEVELS = 64  # steps of the quantised impact
+
+
+def _doc_vectors(vecs: DataFrame, doc: str, seed_tokens: int = SEED_TOKENS) -> DataFrame:
+    """One row per document: ``vec`` = its (df, token, value, rest) entries, rarest token
+    first, ``rest`` being the norm of the entries after; ``read`` = those of its rarest and its
+    heaviest tokens that another document has; ``fp`` = hash of the vector; ``self_dot``.
+    ``vecs`` may bring ``df``; else it is counted."""
+    v = vecs.filter(F.col("value") > 0)
+    if "df" not in vecs.columns:
+        v = v.join(v.groupBy(*KEY, "token").agg(F.count("*").alias("df")), [*KEY, "token"])
+    after = (Window.partitionBy(*KEY, doc).orderBy(F.col("df").desc(), F.col("token").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    entries = v.select(*KEY, doc, "df", "token", "value",
+                       F.sqrt(F.coalesce(F.sum(F.col("value") * F.col("value")).over(after), F.lit(0.0))).alias("rest"))
+    # Grouped on the window's partitioning: no further shuffle.
+    d = entries.groupBy(*KEY, doc).agg(F.sort_array(F.collect_list(F.struct("df", "token", "value", "rest"))).alias("vec"),
+                                       F.sum(F.col("value") * F.col("value")).alias("self_dot"))
+    words = F.transform("vec", lambda e: F.concat_ws("\u0001", e["token"], e["value"].cast("string")))
+    shared = F.filter("vec", lambda e: e["df"] >= 2)
+    by_weight = F.sort_array(F.transform(shared, lambda e: F.struct((-e["value"]).alias("less"), e.alias("entry"))))
+    heavy = F.transform(F.slice(by_weight, 1, seed_tokens), lambda e: e["entry"])
+    return d.select(*KEY, doc, "vec", F.array_distinct(F.concat(F.slice(shared, 1, seed_tokens), heavy)).alias("read"),
+                    "self_dot", F.sha2(F.array_join(words, "\u0002"), 256).alias("fp"))
+
+
+def _score(pairs: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
+    """Exact dot products of candidate pairs: each pair meets the tokens of its first
+    document, then the second document's weight for the same token. Only the vectors of
+    documents in ``pairs`` are unfolded."""
+    used = pairs.select(*KEY, F.explode(F.array("a", "b")).alias(doc)).distinct()
+    v = docs.select(*KEY, doc, "vec").join(used, [*KEY, doc], "left_semi").select(*KEY, doc, F.inline("vec"))
     va = v.select(*KEY, F.col(doc).alias("a"), "token", F.col("value").alias("va"))
     vb = v.select(*KEY, F.col(doc).alias("b"), "token", F.col("value").alias("vb"))
     return (pairs.join(va, [*KEY, "a"]).join(vb, [*KEY, "b", "token"])
@@ -61,128 +93,138 @@ def _ordered_pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _candidate_pairs(v0: DataFrame, doc: str, k: int, salt_buckets: int, seed_tokens: int,
-                     known: DataFrame | None = None) -> DataFrame:
-    """Steps 1–3 on (representative) unit vectors: every pair with similarity
-    ≥ t, plus the seed pairs, scored exactly: ``(project_id, a, b, similarity)``.
-    ``known`` adds similarities of other real pairs (e.g. inside copy groups)
-    to the threshold: t is the k-th best of seeds ∪ known."""
-    # Global token order: document frequency, then token (rarest first). Per
-    # document: position in that order and the squared norm of the suffix
-    # starting at each token — one window, bounded by document length.
-    df = v0.groupBy(*KEY, "token").agg(F.count("*").alias("_df"))
-    w_desc = Window.partitionBy(*KEY, doc).orderBy(F.col("_df").desc(), F.col("token").desc())
-    w_doc = Window.partitionBy(*KEY, doc)
-    ranked = (v0.join(df, [*KEY, "token"])
-              .withColumn("_suffix2", F.sum(F.col("value") * F.col("value")).over(
-                  w_desc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-              .withColumn("_pos", F.count("*").over(w_doc) - F.row_number().over(w_desc) + 1))
-    # Several consumers: write once to the shared checkpoint folder.
-    ranked = cut_lineage(ranked)
-    v = ranked.select(*KEY, doc, "token", "value")
-
-    # 1. seeds: neighbours by weight in the posting lists of each document's
-    #    rarest tokens that another document has too; long lists are split into
-    #    salt buckets by weight (copies stay together), short ones stay whole
-    salt = F.when(F.col("_df") > SALT_FROM, F.pmod(F.xxhash64(F.floor(F.col("value") * F.lit(4096))), F.lit(salt_buckets))).otherwise(F.lit(0))
-    ws = Window.partitionBy(*KEY, "token", "_salt").orderBy(F.col("value").desc(), F.col(doc))
-    w_shared = Window.partitionBy(*KEY, doc).orderBy("_df", "token")
-    seeds = cut_lineage(ranked.filter(F.col("_df") >= 2).withColumn("_nth", F.row_number().over(w_shared))
-                        .filter(F.col("_nth") <= seed_tokens)
-                        .withColumn("_salt", salt).withColumn("_next", F.lead(doc).over(ws))
-                        .filter(F.col("_next").isNotNull())
-                        .select(*KEY, *_ordered_pair(F.col(doc), F.col("_next"))).distinct())
-    seed_scores = _score(seeds, v, doc)
-    wk = Window.partitionBy(*KEY).orderBy(F.col("similarity").desc(), "a", "b")
-    sims = seed_scores.select(*KEY, "a", "b", "similarity")
-    if known is not None:
-        sims = sims.unionByName(known.select(*KEY, "a", "b", "similarity"))
-    thr = (sims.filter(F.col("similarity") > 0).withColumn("_r", F.row_number().over(wk))
-           .filter(F.col("_r") <= k)
-           .groupBy(*KEY).agg(F.min("similarity").alias("_t"), F.count("*").alias("_n"))
-           .select(*KEY, F.when(F.col("_n") >= k, F.col("_t")).otherwise(F.lit(0.0)).alias("t")))
-
-    # 2. prefixes under the threshold: tokens whose suffix norm is still ≥ t
-    # (joined with itself below: materialise once)
-    pref = cut_lineage(ranked.join(thr, KEY, "left")
-                       .withColumn("t", F.coalesce("t", F.lit(0.0)))
-                       .filter((F.sqrt(F.col("_suffix2")) >= F.col("t") - F.lit(1e-9)) & (F.col("_df") >= 2))
-                       .select(*KEY, doc, "token", "value", "t", F.sqrt("_suffix2").alias("_suffix")))
-    p1 = pref.select(*KEY, "token", F.col(doc).alias("x"), F.col("value").alias("vx"), "t", F.col("_suffix").alias("sx"))
-    p2 = pref.select(*KEY, "token", F.col(doc).alias("y"), F.col("value").alias("vy"), F.col("_suffix").alias("sy"))
-    # Cauchy–Schwarz on a shared token j: cos ≤ x_j·y_j + √(1−x_j²)·√(1−y_j²).
-    # A pair reaching t passes this bound on every shared token, so rows
-    # below it are dropped before any pair is materialised. On the pair's first
-    # shared token also cos ≤ ‖x_{≥j}‖·‖y_{≥j}‖, so dropping rows below that keeps
-    # the first row of every pair that reaches t: a hot token costs only the
-    # documents in which it weighs enough.
-    bound = (F.col("vx") * F.col("vy")
-             + F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("vx") * F.col("vx")))
-             * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("vy") * F.col("vy"))))
-    cands = (p1.join(p2, [*KEY, "token"])
-             .filter((F.col("x") < F.col("y")) & (bound >= F.col("t") - F.lit(1e-9))
-                     & (F.col("sx") * F.col("sy") >= F.col("t") - F.lit(1e-9)))
-             .select(*KEY, F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    # Pairs below t can't be among the k best: they go before copies are expanded.
-    scored = _score(cands.unionByName(seeds).distinct(), v, doc).filter(F.col("similarity") > 0)
-    return (scored.join(thr, KEY, "left").filter(F.col("similarity") >= F.coalesce("t", F.lit(0.0)) - F.lit(1e-9)).drop("t"))
-
-
-def _fingerprints(v0: DataFrame, doc: str) -> DataFrame:
-    """One row per document: a hash of its sorted (token, weight) list."""
-    entry = F.concat_ws("\u0001", F.col("token"), F.col("value").cast("string"))
-    return (v0.groupBy(*KEY, doc)
-            .agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), "\u0002"), 256).alias("fp"),
-                 F.sum(F.col("value") * F.col("value")).alias("self_dot")))
+def _ranked(df: DataFrame, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows per project (partial limit per task)."""
+    w = Window.partitionBy(*KEY).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+
+
+def first_pairs(docs: DataFrame, doc: str, k: int, salt_buckets: int = SALTS) -> DataFrame:
+    """Step 1: a bounded number of promising pairs per project."""
+    read = (docs.withColumn("_norm", F.sqrt(F.aggregate("read", F.lit(0.0), lambda s, e: s + e["value"] * e["value"])))
+            .select(*KEY, doc, "_norm", F.inline("read")))
+    salt = F.when(F.col("df") > SALT_FROM, F.pmod(F.xxhash64(doc), F.lit(salt_buckets))).otherwise(F.lit(0))
+    w = Window.partitionBy(*KEY, "token", "_salt").orderBy(F.col("value").desc(), F.col(doc))
+    entry = F.struct(F.col(doc).alias("x"), F.col("value").alias("v"), F.col("_norm").alias("n"))
+    listed = (read.withColumn("_salt", salt).withColumn("_nth", F.row_number().over(w))
+              .withColumn("_next", F.lead(entry).over(w)))
+    # neighbours by weight: the cosine over the tokens read
+    near = (listed.filter(F.col("_next").isNotNull())
+            .select(*KEY, *_ordered_pair(F.col(doc), F.col("_next.x")), (F.col("value") * F.col("_next.v")).alias("part"),
+                    (F.col("_norm") * F.col("_next.n")).alias("norms"))
+            .groupBy(*KEY, "a", "b").agg((F.sum("part") / F.first("norms")).alias("estimate")))
+    # heads of the lists: at most k + 1 entries a list and salt, their pairs by the token's product
+    head = listed.filter(F.col("_nth") <= k + 1).groupBy(*KEY, "token", "_salt").agg(F.sort_array(F.collect_list(entry)).alias("es"))
+    pairs = F.flatten(F.transform("es", lambda e, i: F.transform(
+        F.slice("es", i + 2, k + 1), lambda f: F.struct(e["x"].alias("a"), f["x"].alias("b"), (e["v"] * f["v"]).alias("estimate")))))
+    heads = head.select(*KEY, F.inline(pairs)).groupBy(*KEY, "a", "b").agg(F.sum("estimate").alias("estimate"))
+    order = [F.col("estimate").desc(), F.col("a"), F.col("b")]
+    most = FIRST_PAIRS + k
+    return (_ranked(near, order, most).select(*KEY, "a", "b")
+            .unionByName(_ranked(heads, order, most).select(*KEY, "a", "b")).distinct())
+
+
+def _reaches(bound: Column, first: Column) -> Column:
+    """Whether a pair of at most ``bound`` that starts with name ``first`` can be among the
+    k best: above t, or at t with a name up to a_k."""
+    return (bound >= F.col("t") + F.lit(HALF - EPS)) | ((bound >= F.col("t") - F.lit(HALF + EPS)) & (first <= F.col("a_k")))
+
+
+def index_blocks(docs: DataFrame, thr: DataFrame, doc: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Step 2: (entries, blocks) of the index under the threshold ``thr`` (project_id, t,
+    a_k, b_k; t is 0 where a project has none). Entries carry their block; blocks have the maxima of value, rest and name."""
+    low = F.col("t") - F.lit(HALF + EPS)
+    entries = (docs.join(thr, KEY, "left").select(*KEY, doc, F.coalesce("t", F.lit(0.0)).alias("t"), "a_k", "b_k", F.inline("vec"))
+               .withColumn("impact", F.sqrt(F.col("value") * F.col("value") + F.col("rest") * F.col("rest")))
+               .filter((F.col("df") >= 2) & (F.col("impact") >= low)))
+    level = F.floor(F.col("impact") * F.lit(LEVELS)).cast("int")
+    entries = entries.withColumn("level", level)
+    lists = (entries.groupBy(*KEY, "token", "level").agg(F.count("*").alias("n"), F.max("value").alias("v"), F.max("rest").alias("r")))
+    whole = Window.partitionBy(*KEY, "token")  # at most LEVELS + 1 rows a list
+    lists = lists.select(*KEY, "token", "level", F.ceil(F.col("n") / F.lit(block_rows)).alias("parts"),
+                         F.max("v").over(whole).alias("list_v"), F.max("r").over(whole).alias("list_r"), F.sum("n").over(whole).alias("list_n"))
+    entries = cut_lineage(
+        entries.join(lists.filter("list_n >= 2"), [*KEY, "token", "level"])
+        .filter(F.col("value") * F.col("list_v") + F.col("rest") * F.col("list_r") >= low)
+        .withColumn("part", F.pmod(F.xxhash64(doc), F.col("parts")))
+        .select(*KEY, "token", "level", "part", doc, "value", "rest", "t", "a_k", "b_k", "list_v", "list_r"))
+    blocks = entries.groupBy(*KEY, "token", "level", "part").agg(F.max("value").alias("bv"), F.max("rest").alias("br"), F.max(doc).alias("last"))
+    return entries, blocks
+
+
+def candidate_pairs(docs: DataFrame, thr: DataFrame, doc: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Step 3: every pair (a, b) that shares a token and can rank before or at the threshold."""
+    entries, blocks = index_blocks(docs, thr, doc, block_rows)
+    lead = (entries.filter(_reaches(F.col("value") * F.col("list_v") + F.col("rest") * F.col("list_r"), F.col(doc)))
+            .select(*KEY, "token", F.col(doc).alias("a"), F.col("value").alias("av"), F.col("rest").alias("ar"), "t", "a_k", "b_k"))
+    live = (lead.join(blocks, [*KEY, "token"])
+            .filter((F.col("last") > F.col("a")) & _reaches(F.col("av") * F.col("bv") + F.col("ar") * F.col("br"), F.col("a"))))
+    rows = entries.select(*KEY, "token", "level", "part", F.col(doc).alias("b"), F.col("value").alias("yv"), F.col("rest").alias("yr"))
+    bound = F.col("av") * F.col("yv") + F.col("ar") * F.col("yr")
+    before = (F.col("a") < F.col("a_k")) | ((F.col("a") == F.col("a_k")) & (F.col("b") <= F.col("b_k")))
+    return (live.join(rows, [*KEY, "token", "level", "part"])
+            .filter((F.col("a") < F.col("b")) & ((bound >= F.col("t") + F.lit(HALF - EPS)) | ((bound >= F.col("t") - F.lit(HALF + EPS)) & before)))
+            .select(*KEY, "a", "b").distinct())
+
+
+def threshold(sims: DataFrame, k: int) -> DataFrame:
+    """(project_id, t, a_k, b_k): the k-th best pair; projects with fewer pairs have no row,
+    and every pair that shares a token counts there."""
+    order = [F.col("similarity").desc(), F.col("a"), F.col("b")]
+    return (_ranked(sims.filter(F.col("similarity") > 0), order, k).filter(F.col("_r") == k)
+            .select(*KEY, F.col("similarity").alias("t"), F.col("a").alias("a_k"), F.col("b").alias("b_k")))
 
 
 def nearest_pairs(vecs: DataFrame, doc: str = "class_name", k: int = rules.TOP_PAIRS,
-                  salt_buckets: int = 16, seed_tokens: int = 2) -> DataFrame:
-    """``vecs``: long unit vectors ``(project_id, <doc>, token, value)`` with
+                  salt_buckets: int = SALTS, seed_tokens: int = SEED_TOKENS) -> DataFrame:
+    """``vecs``: long unit vectors ``(project_id, <doc>, token, value[, df])`` with
     value > 0 (e.g. from ``features.tfidf``). Output:
     ``(project_id, class_a, class_b, similarity, rank)`` with class_a < class_b.
 
-    ``seed_tokens`` only steers how the threshold is found (each document's
-    rarest tokens supply the seed pairs); results do not depend on it."""
-    v0 = cut_lineage(vecs.select(*KEY, doc, "token", "value").filter(F.col("value") > 0))
+    ``seed_tokens`` only steers how the threshold is found (the rarest and the heaviest
+    tokens of each document supply the first pairs); results do not depend on it."""
+    all_docs = cut_lineage(_doc_vectors(vecs, doc, seed_tokens))
 
     # 0. copy groups: representative = first member by name; members ranked
     #    by name, only the first k + 1 are ever needed (partial limit per task)
-    fps = _fingerprints(v0, doc)
     wm = Window.partitionBy(*KEY, "fp").orderBy(doc)
-    members = cut_lineage(fps.withColumn("_m", F.row_number().over(wm)).filter(F.col("_m") <= k + 1)
-                          .select(*KEY, "fp", F.col(doc).alias("member"), "_m", "self_dot"))
+    members = (all_docs.select(*KEY, doc, "fp", "self_dot").withColumn("_m", F.row_number().over(wm)).filter(F.col("_m") <= k + 1)
+               .select(*KEY, "fp", F.col(doc).alias("member"), "_m", "self_dot"))
     reps = members.filter(F.col("_m") == 1).select(*KEY, "fp", F.col("member").alias(doc))
-    v_rep = v0.join(reps.select(*KEY, doc), [*KEY, doc], "left_semi")
+    docs = all_docs.join(reps.select(*KEY, doc), [*KEY, doc], "left_semi")
     # pairs inside a copy group (similarity = the vector's own dot product)
     m1 = members.select(*KEY, "fp", F.col("member").alias("x"), "self_dot")
     m2 = members.select(*KEY, "fp", F.col("member").alias("y"))
     intra = (m1.join(m2, [*KEY, "fp"]).filter(F.col("x") < F.col("y"))
              .select(*KEY, F.col("x").alias("a"), F.col("y").alias("b"),
                      F.round(F.col("self_dot"), SIM_DECIMALS).alias("similarity")))
-    # intra-group pairs are real pairs: they raise the threshold too
-    scored_reps = _candidate_pairs(v_rep, doc, k, salt_buckets, seed_tokens, known=intra)
 
-    # 4a. expand representative pairs to member pairs (first k members each)
+    # 1.–3. first pairs give the threshold (pairs inside copy groups are real pairs and raise
+    # it too), the index the pairs that can still pass it
+    first = cut_lineage(_score(first_pairs(docs, doc, k, salt_buckets), docs, doc))
+    thr = cut_lineage(threshold(first.unionByName(intra), k))
+    more = candidate_pairs(docs, thr, doc).join(first, [*KEY, "a", "b"], "left_anti")
+    found = first.unionByName(_score(more, docs, doc))
+    scored_reps = found.filter(F.col("similarity") > 0).join(thr, KEY, "left").filter(F.col("t").isNull() | (F.col("similarity") >= F.col("t")))
+
+    # 5. expand representative pairs to member pairs (first k members each)
     fp_a = reps.select(*KEY, F.col("fp").alias("fa"), F.col(doc).alias("a"))
     fp_b = reps.select(*KEY, F.col("fp").alias("fb"), F.col(doc).alias("b"))
     ma = members.filter(F.col("_m") <= k).select(*KEY, F.col("fp").alias("fa"), F.col("member").alias("ma"))
     mb = members.filter(F.col("_m") <= k).select(*KEY, F.col("fp").alias("fb"), F.col("member").alias("mb"))
-    inter = (scored_reps.join(fp_a, [*KEY, "a"]).join(fp_b, [*KEY, "b"])
+    inter = (scored_reps.select(*KEY, "a", "b", "similarity").join(fp_a, [*KEY, "a"]).join(fp_b, [*KEY, "b"])
              .join(ma, [*KEY, "fa"]).join(mb, [*KEY, "fb"])
              .select(*KEY, *_ordered_pair(F.col("ma"), F.col("mb")), "similarity"))
-    scored = cut_lineage(inter.unionByName(intra).filter(F.col("similarity") > 0))  # ranked and padded
-    wk = Window.partitionBy(*KEY).orderBy(F.col("similarity").desc(), "a", "b")
-    v = v0
-
-    # 4. zero-similarity padding among the first 2k documents by name
-    wn = Window.partitionBy(*KEY).orderBy(doc)
-    first = v.select(*KEY, doc).distinct().withColumn("_r", F.row_number().over(wn)).filter(F.col("_r") <= 2 * k)
-    f1 = first.select(*KEY, F.col(doc).alias("a"))
-    f2 = first.select(*KEY, F.col(doc).alias("b"))
-    pad = (f1.join(f2, KEY).filter(F.col("a") < F.col("b"))
+    best = [F.col("similarity").desc(), F.col("a"), F.col("b")]
+    scored = cut_lineage(_ranked(inter.unionByName(intra).filter(F.col("similarity") > 0), best, k).drop("_r"))
+
+    # zero-similarity padding among the first 2k documents by name
+    names = _ranked(all_docs.select(*KEY, doc), [F.col(doc)], 2 * k).drop("_r")
+    f1 = names.select(*KEY, F.col(doc).alias("a"))
+    f2 = names.select(*KEY, F.col(doc).alias("b"))
+    short = scored.groupBy(*KEY).agg(F.count("*").alias("_n"))
+    pad = (f1.join(f2, KEY).filter(F.col("a") < F.col("b")).join(short, KEY, "left").filter(F.coalesce("_n", F.lit(0)) < k).drop("_n")
            .join(scored.select(*KEY, "a", "b"), [*KEY, "a", "b"], "left_anti")
            .withColumn("similarity", F.lit(0.0)))
-
-    return (scored.unionByName(pad).withColumn("rank", F.row_number().over(wk)).filter(F.col("rank") <= k)
-            .select(*KEY, F.col("a").alias("class_a"), F.col("b").alias("class_b"), "similarity", "rank"))
+    return (_ranked(scored.unionByName(pad), best, k)
+            .select(*KEY, F.col("a").alias("class_a"), F.col("b").alias("class_b"), "similarity", F.col("_r").alias("rank")))
