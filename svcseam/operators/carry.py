@@ -4,12 +4,13 @@ Two plans with identical results:
 
 * ``carry_forward_window``: one window per key. Simple, but one key (a hot
   session, one huge keyless log) lands in a single task.
-* ``carry_forward`` (default): bucketed. Rows are cut into fixed-size buckets
-  of the order column; each bucket's last non-null value is found with a
-  partial aggregate, a window over the *bucket table* (one row per bucket,
+* ``carry_forward`` (default): bucketed, in two passes over the input. Rows are cut
+  into fixed-size buckets of the order column; each bucket's last non-null value is
+  found with a partial aggregate, a window over the *bucket table* (one row per bucket,
   thousands of times smaller than the data) hands each bucket the value
   carried in from earlier buckets, and the final window is partitioned by
-  ``(key, bucket)``. No task ever holds more than one bucket of one key.
+  ``(key, bucket)``. No task ever holds more than one bucket of one key, nothing is
+  stored in between, and the rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
 DEFAULT_BUCKET_ROWS = 1 << 20
 
 
@@ -40,30 +39,20 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     """Bucketed carry-forward; ``bucket_of`` is the (numeric) order column
     that is cut into buckets of ``bucket_rows`` values (default: first order column).
 
-    Plan: one shuffle of the input by (key, bucket); one window over it gives
-    each row's in-bucket value and each bucket's last value; the bucket table
-    (one row per bucket, aggregated without another shuffle of the data) is
-    windowed by key to get the value carried into each bucket and joined back
-    on the same partitioning. The windowed rows are checkpointed, so the
-    input is scanned once."""
+    Two passes, nothing stored: the first reduces every bucket to its last value by a
+    partial ``max_by`` (one row per task and bucket is shuffled) and windows that bucket
+    table by key; the second shuffles the rows once, by (key, bucket), meets the carried-in
+    values on that partitioning and fills inside the bucket. Rows whose key is null
+    count as one key."""
     bucket_of = bucket_of or order[0]
-    b = "__carry_bucket"
-    v = "__carry_value"
+    b, v, k = "__carry_bucket", "__carry_value", "__carry_key"
+    # One struct as key: it is never null, so rows with null keys meet in the join too.
     base = (df.withColumn(b, F.floor(F.col(bucket_of) / F.lit(bucket_rows)).cast("long"))
-              .withColumn(v, value)
-              .repartition(*_cols(keys), F.col(b)))
-    wl = Window.partitionBy(*_cols(keys), F.col(b)).orderBy(*_cols(order))
-    local = (base.withColumn("__local", F.last(F.col(v), ignorenulls=True).over(
-                 wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-                 .withColumn("__bucket_last", F.last(F.col(v), ignorenulls=True).over(
-                     wl.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    # Two consumers (bucket table, join-back): materialise so the input is
-    # scanned once; the checkpoint keeps the (key, bucket) hash partitioning.
-    local = cut_lineage(local)
-    buckets = local.groupBy(*keys, b).agg(F.first("__bucket_last").alias("__bucket_last"))
-    wb = (Window.partitionBy(*_cols(keys)).orderBy(F.col(b))
-          .rowsBetween(Window.unboundedPreceding, -1))
-    carried_in = buckets.select(*keys, b, F.last("__bucket_last", ignorenulls=True).over(wb).alias("__carried_in"))
-    return (local.join(carried_in, on=[*keys, b], how="left")
-                 .withColumn(out, F.coalesce(F.col("__local"), F.col("__carried_in")))
-                 .drop(b, v, "__local", "__bucket_last", "__carried_in"))
+              .withColumn(v, value).withColumn(k, F.struct(*_cols(keys))))
+    last = base.groupBy(k, b).agg(F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*_cols(order)))).alias("__bucket_last"))
+    before = Window.partitionBy(k).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    carried_in = last.select(k, b, F.last("__bucket_last", ignorenulls=True).over(before).alias("__carried_in"))
+    inside = Window.partitionBy(k, b).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (base.join(carried_in, [k, b])
+                .withColumn(out, F.coalesce(F.last(v, ignorenulls=True).over(inside), "__carried_in"))
+                .drop(k, b, v, "__carried_in"))
