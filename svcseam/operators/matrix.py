@@ -7,56 +7,64 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as TX
+from .ranks import positions
 
 KEY = ["project_id"]
 
 
-def substrings(s: Column) -> Column:
-    """Every non-empty substring of ``s`` (names are identifiers, so the list
-    is short: L·(L+1)/2 entries)."""
-    n = F.length(s)
-    return F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.transform(F.sequence(i, F.greatest(n, i)), lambda j: F.substring(s, i, j - i + 1)))))
+GRAM = 3
 
 
-def substrings_of_lengths(s: Column, lengths: Column) -> Column:
-    """Substrings of ``s`` whose length is in ``lengths`` (an int array)."""
+def grams(s: Column, sizes: Column) -> Column:
+    """The distinct substrings of ``s`` of the given sizes: fewer than length x sizes."""
     n = F.length(s)
-    ok = F.filter(lengths, lambda L: L <= n)
-    return F.flatten(F.transform(ok, lambda L: F.transform(F.sequence(F.lit(1), n - L + 1),
-                                                           lambda i: F.substring(s, i, L))))
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda q: q <= n),
+                                                  lambda q: F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(s, i, q)))))
+
+
+def contained_names(needles: DataFrame, hay: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, needle, hay) for every distinct ``needle`` that is a substring of a distinct
+    ``hay`` with the same keys; empty names match nothing.
+
+    Names are cut into 3-grams (a shorter needle is its own gram). Each needle is looked up by
+    its rarest gram among the hay only, and what that finds is verified; a needle with a gram
+    that no hay has is found by none. Both sides unfold to fewer rows than their letters
+    (times the needle sizes of at most three that occur)."""
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    needles = needles.select(*keys, "needle").where("needle <> ''").distinct()
+    sizes = needles.groupBy(*keys).agg(F.collect_set(size).alias("_sizes"))  # at most GRAM values
+    posted = (hay.select(*keys, "hay").distinct().join(sizes, keys)
+              .select(*keys, "hay", F.explode(grams(F.col("hay"), F.col("_sizes"))).alias("gram")))
+    counts = posted.groupBy(*keys, "gram").agg(F.count("*").alias("_n"))
+    rarest = (needles.select(*keys, "needle", F.explode(grams(F.col("needle"), F.array(size))).alias("gram"))
+              .join(counts, [*keys, "gram"], "left")
+              .groupBy(*keys, "needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("m"))
+              .where("m.n > 0").select(*keys, "needle", F.col("m.gram").alias("gram")))
+    return posted.join(rarest, [*keys, "gram"]).where(F.contains("hay", "needle")).select(*keys, "needle", "hay")
 
 
 def related_table(classes: DataFrame, tbls: DataFrame, removals=rules.TABLE_STEM_REMOVALS) -> DataFrame:
     """A class's table is one whose name contains the class stem or is
     contained in it; ties go to the shortest name, then alphabetical (K12).
 
-    The theta condition ``stem ⊇ t or t ⊇ stem`` is evaluated as two
-    equi-joins on (project, string): substrings of each stem against table
-    names, and substrings of each table name against stems. Nothing is
-    compared pairwise inside a project. An empty stem matches every table
-    (first table by the tie rule)."""
+    The theta condition ``stem ⊇ t or t ⊇ stem`` is two containment searches over an index
+    of rarest grams, run as one (``way`` tells them apart); nothing is compared pairwise
+    inside a project. An empty stem matches every table (first table by the tie rule)."""
     c = classes.select(*KEY, "class_name", TX.table_stem(F.col("class_name"), removals).alias("stem"))
+    stems = c.select(*KEY, "stem").where("stem <> ''").distinct()
     t = tbls.select(*KEY, "table_name").distinct()
-    # t ⊆ stem: only substrings as long as some table name of the project
-    lens = t.groupBy(*KEY).agg(F.collect_set(F.length("table_name")).alias("_lens"))  # ≤ max name length
-    a = (c.filter(F.col("stem") != "").join(lens, KEY, "inner")
-         .select(*KEY, "class_name", F.explode(substrings_of_lengths(F.col("stem"), F.col("_lens"))).alias("table_name"))
-         .join(t, [*KEY, "table_name"], "inner"))
-    # stem ⊆ t
-    ts = t.select(*KEY, "table_name", F.explode(substrings(F.col("table_name"))).alias("stem"))
-    b = (c.filter(F.col("stem") != "").join(ts, [*KEY, "stem"], "inner")
-         .select(*KEY, "class_name", "table_name"))
+    way = [*KEY, "way"]
+    found = contained_names(
+        t.select(*KEY, F.lit(0).alias("way"), F.col("table_name").alias("needle")).union(stems.select(*KEY, F.lit(1), "stem")),
+        stems.select(*KEY, F.lit(0).alias("way"), F.col("stem").alias("hay")).union(t.select(*KEY, F.lit(1), "table_name")), way)
+    inside = F.col("way") == 0
+    hits = found.select(*KEY, F.when(inside, F.col("hay")).otherwise(F.col("needle")).alias("stem"),
+                        F.when(inside, F.col("needle")).otherwise(F.col("hay")).alias("table_name"))
     # empty stem: every table
-    first = t.groupBy(*KEY).agg(F.min(F.struct(F.length("table_name").alias("l"), "table_name")).alias("m"))
-    e = (c.filter(F.col("stem") == "").join(first, KEY, "inner")
-         .select(*KEY, "class_name", F.col("m.table_name").alias("table_name")))
-    hits = a.unionByName(b).unionByName(e)
-    best = (hits.groupBy(*KEY, "class_name")
-            .agg(F.min(F.struct(F.length("table_name").alias("l"), "table_name")).alias("m"))
-            .select(*KEY, "class_name", F.col("m.table_name").alias("related_table")))
-    return classes.select(*KEY, "class_name").join(best, [*KEY, "class_name"], "left")
+    hits = hits.union(t.select(*KEY, F.lit("").alias("stem"), "table_name"))
+    best = (hits.groupBy(*KEY, "stem").agg(F.min(F.struct(F.length("table_name").alias("l"), "table_name")).alias("m"))
+            .select(*KEY, "stem", F.col("m.table_name").alias("related_table")))
+    return c.join(best, [*KEY, "stem"], "left").select(*KEY, "class_name", "related_table")
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -105,14 +113,15 @@ def matrix_readable(matrix: DataFrame) -> DataFrame:
 
 
 def matrix_by_domain(matrix: DataFrame) -> DataFrame:
-    """S9 + O1: grouped by domain, Controllers first; ``sort_key`` carries the
-    display order (domain, stereotype rank, class name)."""
-    m = classify(matrix)
-    return m.select(*KEY, "domain", "class_name", "stereotype",
-                    F.coalesce("related_table", F.lit(rules.NONE_BY_DOMAIN)).alias("related_table"),
-                    "calls_out", "calls_in",
-                    F.when(F.col("has_autowired") == 1, F.lit(rules.YES)).otherwise(F.lit(rules.NO)).alias("injected"),
-                    "log_frequency", "stereotype_rank")
+    """S9 + O1: grouped by domain, Controllers first; ``sheet_row`` is the row's place (from
+    1) in its project's sheet by (domain, stereotype rank, class name), found without a
+    window over a project."""
+    m = classify(matrix).select(*KEY, "domain", "class_name", "stereotype",
+                                F.coalesce("related_table", F.lit(rules.NONE_BY_DOMAIN)).alias("related_table"),
+                                "calls_out", "calls_in",
+                                F.when(F.col("has_autowired") == 1, F.lit(rules.YES)).otherwise(F.lit(rules.NO)).alias("injected"),
+                                "log_frequency", "stereotype_rank")
+    return positions(m, KEY, ["domain", "stereotype_rank", "class_name"], "sheet_row").withColumn("sheet_row", F.col("sheet_row") + 1)
 
 
 def classes_by_domain(matrix: DataFrame) -> DataFrame:
