@@ -1,7 +1,9 @@
 """Lexical helpers for Java text.
 
 ``scan_column`` is the only Python in the call-edge job: one linear pass over a
-file's tokens with a stack of open brackets. Comments and literals are blanked
+file's tokens with a stack of open brackets, which finds where expressions begin and end.
+Owners, the filters, injected fields, packages and error files are DataFrame expressions
+over what it finds (``operators.calls``). Comments and literals are blanked
 first, keeping every newline, so line numbers and positions are unchanged.
 """
 
@@ -51,7 +53,6 @@ _TOKEN = re.compile(r"""[A-Za-z_$\u0080-\uffff][\w$]*|\"{3}[ \n]*\"{3}|" *"|' *'
 _LITERAL = re.compile(r"""(\"{3}[\s\S]*?\"{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""")
 _SPACE = re.compile(r"\s+")
 _TIGHT = re.compile(r" ?([.()]) ?")
-_PACKAGE = re.compile(r"(?m)^\s*package\s+([\w.]+)\s*;")
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 _TYPE_WORDS = frozenset(["class", "interface"])
 # Words that may stand before ``(`` or ``.`` without being a call or a value.
@@ -88,16 +89,16 @@ def _qualified(tokens: list, i: int) -> int:
     return i + 1
 
 
-def _injected_field(tokens: list, i: int, names: frozenset, text: str):
+def _annotated_field(tokens: list, i: int, text: str):
     """A field declaration that begins with annotations at i: (index after it, type,
-    name, injected?); None if what follows the annotations is no field."""
-    injected = False
+    name, written names of its annotations); None if what follows them is no field."""
+    written = []
     while i + 1 < len(tokens) and (tokens[i][0] == "@" or tokens[i][0] in _MODIFIERS):
         if tokens[i][0] in _MODIFIERS:
             i += 1
             continue
         j = _qualified(tokens, i + 1)
-        injected |= tokens[j - 1][0] in names
+        written.append(_tidy(text[tokens[i + 1][1]:tokens[j - 1][2]]))
         if j < len(tokens) and tokens[j][0] == "(":
             depth = 0
             while j < len(tokens):
@@ -106,7 +107,7 @@ def _injected_field(tokens: list, i: int, names: frozenset, text: str):
                 if depth == 0:
                     break
         i = j
-    if not injected or i >= len(tokens) or not tokens[i][0][0].isalpha() and tokens[i][0][0] not in "_$":
+    if i >= len(tokens) or not tokens[i][0][0].isalpha() and tokens[i][0][0] not in "_$":
         return None
     j = _qualified(tokens, i)
     if j < len(tokens) and tokens[j][0] == "<":
@@ -115,43 +116,35 @@ def _injected_field(tokens: list, i: int, names: frozenset, text: str):
         j += 2
     if j + 1 >= len(tokens) or not re.match(r"[A-Za-z_$]", tokens[j][0]) or tokens[j + 1][0] not in ("=", ";", ","):
         return None
-    return j + 1, _tidy(text[tokens[i][1]:tokens[j - 1][2]]), tokens[j][0]
+    return j + 1, _tidy(text[tokens[i][1]:tokens[j - 1][2]]), tokens[j][0], written
 
 
-def scan_java(text: str, annotations: tuple[str, ...], min_scope_len: int = 2) -> tuple[str, bool, list[tuple]]:
-    """(package, balanced?, edges) of one file; an edge is (owner, to_class, method,
-    call_type, line). One pass over the tokens with a stack of open brackets: ``value`` is
-    where the expression just read begins and ends, so that any ``.name(`` after it is a
-    call with that expression as scope, over lines and at any nesting."""
+def scan_java(text: str) -> tuple[bool, list[tuple]]:
+    """(well formed?, sites) of one file; a site is (kind, name, target, annotations, begin,
+    parent, link): ``type`` declarations, ``call`` (target = source text of its scope) and
+    annotated ``field`` (target = its type), in the order of their names. ``begin`` is where
+    the site's whole expression begins; ``parent`` is the place among the sites of the call
+    whose arguments it stands in (-1: none) and ``link`` its number in its chain of calls.
+
+    One pass over the tokens with a stack of open brackets: ``value`` is the expression just
+    read (begin, end, links), so that any ``.name(`` after it is a call with that expression
+    as scope, over lines and at any nesting. A file whose brackets don't balance or
+    whose last comment or quote is open is not well formed."""
     code = blank_text(text)
-    newlines = [m.start() for m in re.finditer("\n", code)]
     tokens = [(m.group(0), m.start(), m.end()) for m in _TOKEN.finditer(code)]
-    names = frozenset(annotations)
-    found = _PACKAGE.search(code)
-    edges: list[tuple] = []
-    stack: list[tuple] = []  # (bracket, begin of the value it ends, or -1, of a ``new``?)
-    owner, value, dotted, balanced = "Unknown", None, False, True
+    sites: list[tuple] = []
+    stack: list[tuple] = []  # (bracket, begin of the value it ends, or -1, of a ``new``?, links, call it belongs to)
+    value, dotted, good = None, False, "/*" not in code
     made = False  # the value just read is a ``new`` that a body may follow
     i = 0
     while i < len(tokens):
         t, begin, end = tokens[i]
         after = tokens[i + 1][0] if i + 1 < len(tokens) else ""
         body, made = made, False
+        inside = stack[-1][4] if stack else -1
         if t[0].isalpha() or t[0] in "_$" or t[0] > "\x7f":
-            if dotted and value is not None:
-                if after == "(":
-                    scope = _tidy(text[value[0]:value[1]])
-                    if scope != "this" and len(scope) >= min_scope_len:
-                        edges.append((owner, scope, t, "method_call", bisect.bisect_left(newlines, value[0]) + 1))
-                    stack.append(("(", value[0], False))
-                    i += 1
-                    value = None
-                else:
-                    value = (value[0], end)
-            elif t in _TYPE_WORDS and not (i and tokens[i - 1][0] in ("@", ".")) and after and (after[0].isalpha() or after[0] in "_$"):
-                owner, value = after, None
-                i += 1
-            elif t == "new":
+            if t == "new":
+                start, links = (value[0], value[2]) if dotted and value else (begin, 0)
                 j = i + 1
                 while j < len(tokens) and tokens[j][0] == "@":
                     j = _qualified(tokens, j + 1)
@@ -160,66 +153,111 @@ def scan_java(text: str, annotations: tuple[str, ...], min_scope_len: int = 2) -
                     j = _skip_angles(tokens, j)
                 value = None
                 if j < len(tokens) and tokens[j][0] in "([":
-                    stack.append((tokens[j][0], begin, True))
+                    stack.append((tokens[j][0], start, True, links, inside))
                     j += 1
                 i = j - 1
+            elif dotted and value is not None:
+                if after == "(":
+                    sites.append(("call", t, _tidy(text[value[0]:value[1]]), None, value[0], inside, value[2]))
+                    stack.append(("(", value[0], False, value[2] + 1, len(sites) - 1))
+                    i += 1
+                    value = None
+                else:
+                    value = (value[0], end, value[2])
+            elif t in _TYPE_WORDS and not (i and tokens[i - 1][0] in ("@", ".")) and after and (after[0].isalpha() or after[0] in "_$"):
+                sites.append(("type", after, None, None, begin, inside, 0))
+                value = None
+                i += 1
             elif after == "(":
-                stack.append(("(", -1 if t in _NOT_VALUES else begin, False))
+                stack.append(("(", -1 if t in _NOT_VALUES else begin, False, 0, inside))
                 i += 1
                 value = None
             else:
-                value = None if t in _NOT_VALUES else (begin, end)
+                value = None if t in _NOT_VALUES else (begin, end, 0)
             dotted = False
         elif t == ".":
             dotted = True
             if after == "<":  # explicit type arguments before a method's name
                 i = _skip_angles(tokens, i + 1) - 1
         elif t == "@" and after != "interface":
-            field = _injected_field(tokens, i, names, text)
+            field = _annotated_field(tokens, i, text)
             if field:
-                edges.append((owner, field[1], field[2], "autowired", bisect.bisect_left(newlines, begin) + 1))
+                sites.append(("field", field[2], field[1], field[3], begin, inside, 0))
                 i, value, dotted = field[0] - 1, None, False
             else:
                 j = _qualified(tokens, i + 1) if i + 1 < len(tokens) else i + 1
                 if j < len(tokens) and tokens[j][0] == "(":
-                    stack.append(("(", -1, False))
+                    stack.append(("(", -1, False, 0, inside))
                     j += 1
                 i, value, dotted = j - 1, None, False
         elif t in "([{":
-            stack.append((t, begin if t == "(" else value[0] if value and (t == "[" or body) else -1, body and t == "["))
+            kept = value if value and (t == "[" or body) else None
+            stack.append((t, begin if t == "(" else kept[0] if kept else -1, body and t == "[", kept[2] if kept else 0, inside))
             value, dotted = None, False
         elif t in _CLOSES:
             if not stack or stack[-1][0] != _CLOSES[t]:
-                balanced = False
+                good = False
                 break
-            _, start, made = stack.pop()
-            value, dotted = (start, end) if start >= 0 else None, False
+            _, start, made, links, _ = stack.pop()
+            value, dotted = (start, end, links) if start >= 0 else None, False
+        elif t in "\"'":
+            good = False  # an open quote
+            break
         elif len(t) > 1:
-            value, dotted = (begin, end), False  # a literal
+            value, dotted = (begin, end, 0), False  # a literal
         else:
             value, dotted = None, False
         i += 1
-    return (found.group(1) if found else "default"), balanced and not stack, edges
+    return good and not stack, sites
+
 
+def visit_order(sites: list[tuple]) -> list[int]:
+    """The place of each call and field when expressions are visited from the outside: a call,
+    what its arguments hold, then what its scope holds, so the last link of a chain comes first."""
+    below: dict[int, list[int]] = {}
+    for k, (_, _, _, _, begin, parent, link) in enumerate(sites):
+        below.setdefault(parent, []).append(k)
+    for ks in below.values():
+        ks.sort(key=lambda k: (sites[k][4], -sites[k][6]))
+    place, todo, n = [0] * len(sites), below.get(-1, [])[::-1], 0
+    while todo:
+        k = todo.pop()
+        place[k] = n
+        n += sites[k][0] != "type"
+        todo.extend(below.get(k, [])[::-1])
+    return place
 
-_SCAN_TYPE = ("struct<package:string,parsed:boolean,edges:array<struct<from_class:string,to_class:string,method_name:string,"
-              "call_type:string,line_number:int,call_idx:int>>>")
 
+_SCAN_TYPE = "struct<good:boolean,sites:array<struct<kind:string,name:string,target:string,annotations:array<string>,line:int,idx:int>>>"
 
-def scan_column(content, annotations: tuple[str, ...], min_scope_len: int):
-    """``scan_java`` of a text column; null texts and unbalanced files are not parsed and have no edges."""
-    edge = pa.struct([("from_class", pa.string()), ("to_class", pa.string()), ("method_name", pa.string()),
-                      ("call_type", pa.string()), ("line_number", pa.int32()), ("call_idx", pa.int32())])
+
+def scan_column(content):
+    """``scan_java`` of a text column: the sites in the order of the text, each with the line
+    its expression begins on and its place in the order of visits; null texts are not good."""
+    site = pa.struct([("kind", pa.string()), ("name", pa.string()), ("target", pa.string()), ("annotations", pa.list_(pa.string())),
+                      ("line", pa.int32()), ("idx", pa.int32())])
 
     @F.arrow_udf(_SCAN_TYPE)
     def scan(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts.to_pylist():
-            package, ok, edges = scan_java(text, annotations, min_scope_len) if text is not None else ("default", False, [])
-            out.append({"package": package, "parsed": ok,
-                        "edges": [dict(zip(edge.names, (*e, k))) for k, e in enumerate(edges)] if ok else []})
-        return pa.array(out, pa.struct([("package", pa.string()), ("parsed", pa.bool_()), ("edges", pa.list_(edge))]))
+            good, sites = scan_java(text) if text is not None else (False, [])
+            lines = [m.start() for m in re.finditer("\n", text)] if sites else []
+            out.append({"good": good, "sites": [
+                {"kind": s[0], "name": s[1], "target": s[2], "annotations": s[3], "line": bisect.bisect_left(lines, s[4]) + 1, "idx": k}
+                for s, k in zip(sites, visit_order(sites))]})
+        return pa.array(out, pa.struct([("good", pa.bool_()), ("sites", pa.list_(site))]))
 
     # Deterministic in fact; declared otherwise so Catalyst never copies the call
     # into a pushed-down filter (which would run the Python pass twice).
     return scan.asNondeterministic()(content)
+
+
+#: Only space, comments and annotations can stand before a file's package.
+_PACKAGE = r"\A(?:\s++|/\*(?s:.*?)\*/|//[^\n]*|@[\w.]+(?:\([^)]*\))?)*+package\s+([\w.]+)\s*;"
+
+
+def package_of(content):
+    """The declared package, ``default`` without one."""
+    found = F.regexp_extract(content, _PACKAGE, 1)
+    return F.when(found == "", F.lit("default")).otherwise(found)

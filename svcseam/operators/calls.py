@@ -9,14 +9,16 @@ Accepted grammar (documented limit of a lexical scan, quirk K8):
   scope is its source text with spacing normalised outside literals; the line is the
   one the whole expression begins on; unscoped calls are ``this`` calls and are dropped
   (C2: scope ``this`` or shorter than 2 characters is dropped);
-* an injected field is ``@Autowired``/``@Inject`` among annotations and modifiers, at
-  any distance before a type and a name; its edge goes to the type, method = field
-  name, line = where the declaration begins;
+* the links of a chain come outer first: a call, the calls in its arguments, then those in
+  its scope;
+* an injected field is ``@Autowired``/``@Inject``, written so, among annotations and
+  modifiers, at any distance before a type and a name; its edge goes to the type,
+  method = field name, line = where the declaration begins;
 * the owner class is the last ``class``/``interface`` declared before the call in the
   same file, ``Unknown`` before any, so also in enum, record and annotation files
   (K9 reset per file);
-* a file is an error file (C6) if it can't be read or its brackets don't balance; it
-  gives no edges, as the parser this replaces rejects it.
+* a file is an error file (C6) if it can't be read, its brackets don't balance or a
+  comment or quote is left open; it gives no edges, as the parser this replaces rejects it.
 
 Per-file work is row-local and linear in the file, the text is never shuffled.
 Aggregates afterwards are keyed by ``project_id``.
@@ -29,23 +31,34 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import javalex as JL
+from .ranks import positions
 
 KEY = ["project_id"]
 
 
-def parse_sources(source_files: DataFrame, min_scope_len: int = 2) -> DataFrame:
-    """Per file: package, parsed? and its edges (C1–C5), in one pass over the text."""
-    scan = JL.scan_column(F.col("content"), tuple(rules.INJECTION_ANNOTATIONS), min_scope_len)
-    return (source_files.select(*KEY, "path", scan.alias("scan"))
-            .select(*KEY, "path", F.col("scan.package").alias("from_package"), "scan.parsed", "scan.edges"))
+def parse_sources(source_files: DataFrame) -> DataFrame:
+    """Per file: package (C5), parsed? (C6) and the sites that one pass over the text finds."""
+    return (source_files.select(*KEY, "path", JL.package_of(F.col("content")).alias("from_package"), JL.scan_column(F.col("content")).alias("scan"))
+            .select(*KEY, "path", F.coalesce("from_package", F.lit("default")).alias("from_package"),
+                    F.coalesce("scan.good", F.lit(False)).alias("parsed"), "scan.sites"))
 
 
-def call_edges(parsed: DataFrame) -> DataFrame:
-    """Method-call edges (``method_call``) and injected-field edges
-    (``autowired``) with owner class, package, line and position."""
-    return (parsed.filter("parsed").select(*KEY, "path", "from_package", F.explode("edges").alias("e"))
-            .select(*KEY, "path", "e.from_class", "from_package", "e.to_class", "e.method_name", "e.call_type",
-                    "e.line_number", "e.call_idx"))
+def call_edges(parsed: DataFrame, annotations=rules.INJECTION_ANNOTATIONS, min_scope_len: int = 2) -> DataFrame:
+    """Method-call edges (``method_call``) and injected-field edges (``autowired``)
+    with owner class, package, line and position (``call_idx``: outer link of a chain first).
+
+    The owner (C4) is the last type declared before the site, carried along the file's
+    sites; a call is dropped (C2) if its scope is ``this`` or too short; a field
+    counts (C3) if one of its annotations is written as one of ``annotations``."""
+    sites = parsed.filter("parsed").select(*KEY, "path", "from_package", F.posexplode("sites").alias("at", "s"))
+    before = Window.partitionBy(*KEY, "path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owner = F.last(F.when(F.col("s.kind") == "type", F.col("s.name")), ignorenulls=True).over(before)
+    call = (F.col("s.kind") == "call") & (F.col("s.target") != "this") & (F.length("s.target") >= min_scope_len)
+    field = (F.col("s.kind") == "field") & F.arrays_overlap("s.annotations", F.array(*[F.lit(a) for a in annotations]))
+    return (sites.withColumn("from_class", F.coalesce(owner, F.lit("Unknown"))).filter(call | field)
+            .select(*KEY, "path", "from_class", "from_package", F.col("s.target").alias("to_class"), F.col("s.name").alias("method_name"),
+                    F.when(F.col("s.kind") == "call", "method_call").otherwise("autowired").alias("call_type"),
+                    F.col("s.line").alias("line_number"), F.col("s.idx").alias("call_idx")))
 
 
 def injected_edges(edges: DataFrame) -> DataFrame:
@@ -61,24 +74,23 @@ def file_status(parsed: DataFrame) -> DataFrame:
 
 
 def _position():
-    return F.struct("path", "line_number", "call_idx")
+    return F.struct("path", "call_idx", "line_number")
 
 
 def adjacency_edges(edges: DataFrame) -> DataFrame:
-    """C7, long form: each distinct (class, target) with its first position and
-    call count — the scalable form (no per-class list)."""
+    """C7, without order: each distinct (class, target) with its first position and
+    call count."""
     return edges.groupBy(*KEY, "from_class", "to_class").agg(F.min(_position()).alias("first"),
                                                              F.count("*").alias("n_calls"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Distinct targets per class in first-seen order (list form for the
-    sink; bounded by the classes of one project)."""
+    """The distinct targets of each class, ``rank`` = place in first-seen order from 1.
+    Long form: a hub class with millions of targets is spread over many tasks (ranks come
+    from ranges of first positions and the counts of earlier ranges), never in one row."""
     first = adjacency_edges(edges)
-    return (first.groupBy(*KEY, "from_class")
-            .agg(F.sort_array(F.collect_list(F.struct("first", "to_class"))).alias("_t"),
-                 F.count("*").alias("n_targets"))
-            .select(*KEY, "from_class", F.transform("_t", lambda x: x["to_class"]).alias("targets"), "n_targets"))
+    ranked = positions(first, [*KEY, "from_class"], ["first", "to_class"], size="n_targets")
+    return ranked.select(*KEY, "from_class", (F.col("pos") + 1).alias("rank"), "to_class", "n_calls", "n_targets")
 
 
 def class_list(edges: DataFrame) -> DataFrame:
@@ -107,5 +119,5 @@ def call_type_histogram(edges: DataFrame) -> DataFrame:
 
 def first_calls(edges: DataFrame, k: int = rules.PREVIEW_ROWS) -> DataFrame:
     """C11: the first ``k`` edges of each project by position."""
-    w = Window.partitionBy(*KEY).orderBy("path", "line_number", "call_idx", "to_class", "method_name")
+    w = Window.partitionBy(*KEY).orderBy("path", "call_idx", "line_number", "to_class", "method_name")
     return edges.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -59,7 +59,7 @@ def test_lexical_call_edges(spark):
 
 
 def _found(spark, text):
-    e = C.call_edges(C.parse_sources(_src(spark, [("A.java", text)]))).orderBy("line_number", "call_idx").collect()
+    e = C.call_edges(C.parse_sources(_src(spark, [("A.java", text)]))).orderBy("call_idx").collect()
     return [(r.from_class, r.to_class, r.method_name, r.line_number) for r in e]
 
 
@@ -78,12 +78,12 @@ def test_calls_over_lines_nesting_and_constructors(spark):
 }
 """
     assert _found(spark, text) == [
-        ("A", "one", "two", 3), ("A", "one.two(three(four(5)))", "six", 3),
-        ("A", "builder", "start", 4), ("A", "builder.start()", "next", 4), ("A", 'builder.start().next("x(")', "build", 4),
+        ("A", "one.two(three(four(5)))", "six", 3), ("A", "one", "two", 3),  # the outer link first
+        ("A", 'builder.start().next("x(")', "build", 4), ("A", "builder.start()", "next", 4), ("A", "builder", "start", 4),
         ("A", "new Foo()", "bar", 7),
-        ("A", "repo", "a", 8), ("A", "repo.a(new Foo(1))", "b", 8),
-        ("A", "svc", "all", 9), ("A", "svc.all()", "size", 9),
-        ("A", "xs[0]", "go", 10), ("A", "((Foo)yy)", "run", 10), ("A", "List", "of", 10), ("A", "List.<String>of(1)", "size", 10),
+        ("A", "repo.a(new Foo(1))", "b", 8), ("A", "repo", "a", 8),
+        ("A", "svc.all()", "size", 9), ("A", "svc", "all", 9),
+        ("A", "xs[0]", "go", 10), ("A", "((Foo)yy)", "run", 10), ("A", "List.<String>of(1)", "size", 10), ("A", "List", "of", 10),
     ]
 
 
@@ -101,15 +101,63 @@ def test_calls_on_literals_and_after_bodies(spark):
 }
 '''
     assert _found(spark, text) == [
-        ("A", '"GET"', "equals", 3), ("A", '"a  . b"', "split", 3), ("A", '"a"', "concat", 3), ("A", '"a".concat(b)', "trim", 3),
+        ("A", '"GET"', "equals", 3), ("A", '"a  . b"', "split", 3), ("A", '"a".concat(b)', "trim", 3), ("A", '"a"', "concat", 3),
         ("A", '""', "isEmpty", 3),
         ("A", '"""\n      x.y() (\n      """', "formatted", 4),
-        ("A", "aa", "bb", 7), ("A", "new X(){ void g(){ aa.bb(); } }", "run", 7),
+        ("A", "new X(){ void g(){ aa.bb(); } }", "run", 7), ("A", "aa", "bb", 7),
         ("A", "new int[]{1}", "clone", 8), ("A", "new int[][] {{1}, {2}}", "clone", 8),
         ("A", "y2", "go", 9), ("A", "z2", "go", 9),
     ]
 
 
+def test_visits_go_from_the_outside(spark):
+    """A call, the calls in its arguments, then those in its scope, at any nesting."""
+    text = """class A {
+  void f() {
+    aa.bb(cc.dd(), ee.ff(gg.hh())).ii(jj.kk(() -> { ll.mm(); nn.oo(); })).pp();
+    outer.new Inner(qq.rr()).go(); (ss.tt()).uu();
+  }
+}
+"""
+    assert [(s, m) for _, s, m, _ in _found(spark, text)] == [
+        ("aa.bb(cc.dd(), ee.ff(gg.hh())).ii(jj.kk(()-> { ll.mm(); nn.oo(); }))", "pp"),
+        ("aa.bb(cc.dd(), ee.ff(gg.hh()))", "ii"), ("jj", "kk"), ("ll", "mm"), ("nn", "oo"),
+        ("aa", "bb"), ("cc", "dd"), ("ee", "ff"), ("gg", "hh"),
+        ("outer.new Inner(qq.rr())", "go"), ("qq", "rr"), ("(ss.tt())", "uu"), ("ss", "tt")]
+
+
+def test_written_annotation_names_and_packages(spark):
+    field = "class A {{ {} private Repo repo; }}"
+    for a, n in [("@Inject", 1), ("@Autowired(required = false) @Lazy", 1), ("@Lazy\n@Autowired", 1), ("@javax.inject.Inject", 0), ("@Injected", 0), ("@Lazy", 0)]:
+        assert len(_found(spark, field.format(a))) == n, a
+    heads = {"package a.b ;\nclass A {": "a.b", "/** {@link X} package no; */ // package not;\n@Ann(\"x\") package yes;class A {": "yes",
+             "class A { String s = \"\"\"\npackage no;\n\"\"\"; void f() {}": "default", "// package no;\nimport x.y;\nclass A {": "default"}
+    for head, want in heads.items():
+        e = C.call_edges(C.parse_sources(_src(spark, [("A.java", head + " void g() { aa.bb(); } }")]))).collect()
+        assert [r.from_package for r in e] == [want], head
+
+
+def test_open_comments_and_quotes_are_error_files(spark):
+    bad = ["class A { void f() { a1.b(); } } /* open", 'class A { String s = "open; void f() { a1.b(); } }', "class A { char c = '; void f() { a1.b(); } }",
+           "class A { void f() { a1.b(; }", None]
+    good = ["class A { /* closed */ void f() { a1.b(\"/* no comment\"); } }", "", "class A { int x = 4 / 2; }"]
+    parsed = C.parse_sources(_src(spark, [(f"{i}.java", t) for i, t in enumerate(bad + good)]))
+    st = C.file_status(parsed).collect()[0]
+    assert (st.total_files, st.parsed_files, st.error_files) == (8, 3, 5)
+    assert [r.path for r in C.call_edges(parsed).collect()] == ["5.java"]
+
+
+def test_adjacency_ranks_targets_of_a_hub(spark):
+    edges = spark.range(3000).select(F.lit("p").alias("project_id"), F.lit("Hub").alias("from_class"), F.concat(F.lit("t"), F.col("id") % 1000).alias("to_class"),
+                                     F.format_string("f%d.java", F.col("id") % 3).alias("path"), F.lit(1).alias("line_number"), F.col("id").cast("int").alias("call_idx"))
+    got = {r["rank"]: r for r in C.adjacency(edges).collect()}
+    first = {}
+    for f in range(3):
+        for i in range(f, 3000, 3):
+            first.setdefault(f"t{i % 1000}", len(first) + 1)
+    assert {r.to_class: k for k, r in got.items()} == first and {r.n_targets for r in got.values()} == {1000} and {r.n_calls for r in got.values()} == {3}
+
+
 def test_spread_annotations_enum_and_annotation_files(spark):
     text = """/* package no; */
 package yes;
@@ -154,7 +202,9 @@ def test_call_metrics_compat_and_fixed(spark):
     assert (m["B"].calls_out, m["B"].calls_in) == (1, 1)
     f = {r.class_name: r for r in A.call_metrics(e, fixed=True).collect()}
     assert (f["A"].calls_in, f["A"].deps_unique) == (1, 2) and f["B"].calls_in == 3
-    adj = {r.from_class: r.targets for r in C.adjacency(e).collect()}
+    adj = {}
+    for r in C.adjacency(e).orderBy("from_class", "rank").collect():
+        adj.setdefault(r.from_class, []).append(r.to_class)
     assert adj == {"A": ["b", "B"], "B": ["a"]}
     assert sum(r.calls_out for r in m.values()) == e.count()
 
@@ -217,8 +267,8 @@ def test_chained_calls(spark):
            "    foo().bar(\"a.b()\");\n    this.repo.find(1, g(2)).x();\n  }\n}\n")
     e = C.call_edges(C.parse_sources(_src(spark, [("A.java", src)]))).orderBy("line_number", "call_idx").collect()
     assert [(r.line_number, r.to_class, r.method_name) for r in e] == [
-        (4, "repo", "findAll"), (4, "repo.findAll()", "stream"), (4, "repo.findAll().stream()", "map"),
         (4, "repo.findAll().stream().map(x -> x.getName())", "count"),
+        (4, "repo.findAll().stream()", "map"), (4, "repo.findAll()", "stream"), (4, "repo", "findAll"),
         (5, "foo()", "bar"),
-        (6, "this.repo", "find"), (6, "this.repo.find(1, g(2))", "x"),
+        (6, "this.repo.find(1, g(2))", "x"), (6, "this.repo", "find"),
     ]
