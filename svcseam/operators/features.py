@@ -28,10 +28,10 @@ def column_stats(matrix: DataFrame, numeric: Sequence[str] = rules.NUMERIC_COLUM
     return matrix.groupBy(*KEY).agg(*aggs)
 
 
-def zscores(matrix: DataFrame, numeric: Sequence[str] = rules.NUMERIC_COLUMNS) -> DataFrame:
+def zscores(matrix: DataFrame, numeric: Sequence[str] = rules.NUMERIC_COLUMNS, stats: DataFrame | None = None) -> DataFrame:
     """M1: ``num_<c>`` = (x − mean) / population std; a zero std divides by 1
-    (the column becomes 0)."""
-    st = column_stats(matrix, numeric)
+    (the column becomes 0). ``stats`` gives ready column statistics."""
+    st = (stats.select(*KEY, *[f"{k}_{c}" for c in numeric for k in ("mean", "std")]) if stats is not None else column_stats(matrix, numeric))
     j = matrix.join(st, KEY, "left")
     out = []
     for c in numeric:
@@ -81,10 +81,10 @@ def class_tfidf(classes: DataFrame) -> DataFrame:
     return tfidf(camel_tokens(classes), "class_name", "tokens")
 
 
-def class_vocabulary(classes: DataFrame) -> DataFrame:
-    """The number of distinct TF-IDF tokens per project, without weights."""
+def class_tokens(classes: DataFrame) -> DataFrame:
+    """(project_id, class_name, token), the distinct TF-IDF tokens of each class name, without weights."""
     token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("tokens"), F.lit(TX.WORD_TOKEN), 0))).alias("token")
-    return camel_tokens(classes).select(*KEY, token).groupBy(*KEY).agg(F.count_distinct("token").alias("n_tokens"))
+    return camel_tokens(classes).select(*KEY, "class_name", token)
 
 
 def composite_long(z_long: DataFrame, tfidf_long: DataFrame, w_numeric: float = rules.W_NUMERIC,
@@ -99,11 +99,27 @@ def composite_long(z_long: DataFrame, tfidf_long: DataFrame, w_numeric: float =
     return out if ids is None else out.join(ids.select(*KEY, "class_name", "related_table"), [*KEY, "class_name"], "left")
 
 
-def pivot_wide(long: DataFrame, row_cols: Sequence[str], max_columns: int = 10_000) -> DataFrame:
-    """Long → wide for a sink, with explicit column values (sorted). The names of at
-    most ``max_columns`` features are read; with more the rows come as they are,
-    in long form (every value is in it, and a wider sheet can't be used)."""
-    names = sorted(r.feature for r in long.select("feature").distinct().limit(max_columns + 1).collect())
-    if len(names) > max_columns:
-        return long
-    return long.groupBy(*row_cols).pivot("feature", names).agg(F.first("value")).fillna(0.0, subset=names)
+def wide_rows(long: DataFrame, ids: Sequence[str] = ("class_name",), part_rows: int = 100_000) -> DataFrame:
+    """Long features as the rows of one wide sheet per project, for
+    ``sources.wide_csv``: ``(project_id, part, lead, ids, names, cells)``.
+
+    The columns of a project's sheet are its own features, sorted. A sheet is cut into parts
+    of about ``part_rows`` classes. Each part has a row with ``lead`` = 0 that holds the
+    header (ids = the names of the id columns, names = the project's features); the others
+    (``lead`` = 1) hold one class each, its ids as text and its cells by name; a
+    feature that a class lacks, or whose value is null, is 0. Nothing but a header and a
+    single class's cells is ever in one row."""
+    key = F.struct(*[F.col(c).cast("string").alias(c) for c in ids])
+    rows = (long.groupBy(*KEY, key.alias("_id"))
+            .agg(F.sort_array(F.collect_list(F.struct("feature", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")))).alias("_c")))
+    parts = (long.select(*KEY, key.alias("_id"), "feature").groupBy(*KEY)
+             .agg(F.sort_array(F.collect_set("feature")).alias("_names"), F.approx_count_distinct("_id").alias("_rows"))
+             .withColumn("_parts", F.ceil(F.col("_rows") / F.lit(part_rows)).cast("int")))
+    ids_of = F.array(*[F.col(f"_id.{c}") for c in ids])
+    head = parts.select(*KEY, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(0).alias("lead"),
+                        F.array(*[F.lit(c) for c in ids]).alias("ids"), F.col("_names").alias("names"), F.array().cast("array<double>").alias("cells"))
+    same = F.col("r.project_id").eqNullSafe(F.col("p.project_id"))
+    body = (rows.alias("r").join(parts.select(*KEY, "_parts").alias("p"), same)
+            .select("r.project_id", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int").alias("part"), F.lit(1).alias("lead"), ids_of.alias("ids"),
+                    F.transform("_c", lambda e: e["feature"]).alias("names"), F.transform("_c", lambda e: e["value"]).alias("cells")))
+    return head.union(body)

@@ -5,8 +5,8 @@ partitioned by project so a corpus lands as one folder per project.
 * S7–S9 the three matrix sheets as CSV with their headings; the by-domain
   sheet is sorted (O1) and split per domain (the reference's blank spacer
   row becomes the folder boundary).
-* S10 normalised / TF-IDF / composite: long parquet always; a wide CSV only
-  when the vocabulary is below a bound (beyond it the long rows as CSV).
+* S10 normalised / TF-IDF / composite: long parquet and one wide CSV sheet per
+  project, under that project's own header.
 * S11 report metrics; S12 artifact manifest from a ``binaryFile`` listing.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import rules
 from .operators import features as M
 from .operators import matrix as X
+from .sources import files
+from .sources import wide_csv as wide_csv_source
 
 
 def _by_project(df: DataFrame, partition_by: str | None):
@@ -53,21 +55,20 @@ def write_matrix_by_domain(matrix: DataFrame, path: str) -> None:
     """S9 + O1: sorted by (domain, stereotype rank, class); one folder per domain."""
     b = X.matrix_by_domain(matrix)
     src = ["domain", "class_name", "stereotype", "related_table", "calls_out", "calls_in", "injected", "log_frequency"]
-    # A range partition on the full sort key splits a hot domain over several
+    # A range partition on the sheet's row splits a hot domain over several
     # tasks and keeps the order across part files.
-    out = (b.repartitionByRange("project_id", "domain", "stereotype_rank", "class_name")
-           .sortWithinPartitions("project_id", "domain", "stereotype_rank", "class_name")
+    out = (b.repartitionByRange("project_id", "sheet_row").sortWithinPartitions("project_id", "sheet_row")
            .select("project_id", F.col("domain").alias("_domain"),
                    *[F.col(c).alias(h) for c, h in zip(src, rules.BY_DOMAIN_HEADINGS)]))
     out.write.mode("overwrite").option("header", True).partitionBy("project_id", "_domain").csv(path)
 
 
-def write_features(long: DataFrame, path: str, wide_csv: bool = True, max_columns: int = 10_000) -> None:
-    """Long parquet (scalable form) and, below the vocabulary bound, a wide CSV."""
+def write_features(long: DataFrame, path: str, wide_csv: bool = True) -> None:
+    """Long parquet (scalable form) and one wide CSV sheet per project, whose columns
+    are that project's own features in order (a class listed twice has one row)."""
     _by_project(long, "project_id").parquet(path + "/long")
     if wide_csv:
-        ids = [c for c in ("project_id", "class_name", "related_table") if c in long.columns]
-        _csv(M.pivot_wide(long, ids, max_columns), path + "/wide")
+        wide_csv_source.write_sheets(M.wide_rows(long, [c for c in ("class_name", "related_table") if c in long.columns]), path + "/wide")
 
 
 def write_report(metrics: DataFrame, path: str) -> None:
@@ -77,15 +78,17 @@ def write_report(metrics: DataFrame, path: str) -> None:
 
 def manifest(spark: SparkSession, out_dir: str, expected=rules.ARTIFACTS) -> DataFrame:
     """For each expected artifact: exists?, size in KB (summed over the
-    part files of a folder), step. Only file metadata is read."""
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(out_dir)
-               .select("path", "length"))
+    part files of a folder), step. Only file metadata is read. ``out_dir`` may be relative,
+    absolute or a URI; a folder that doesn't exist holds no artifact."""
     names = F.array(*[F.struct(F.lit(n).alias("artifact"), F.lit(s).alias("step")) for n, s in expected])
     exp = spark.range(1).select(F.inline(names))
-    base = out_dir.rstrip("/")
-    sizes = (listing.select(F.regexp_extract("path", r"^(?:file:)?" + base.replace(".", r"\.") + r"/([^/]+)", 1)
-                            .alias("artifact"), "length")
-             .groupBy("artifact").agg(F.sum("length").alias("bytes")))
+    root = files.qualified(spark, out_dir)
+    if files.existing(spark, [root]):
+        listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+                   .select(F.split_part(files.below_root(F.col("_metadata.file_path"), root), F.lit("/"), F.lit(1)).alias("artifact"), "length"))
+    else:
+        listing = spark.createDataFrame([], "artifact string, length long")
+    sizes = listing.groupBy("artifact").agg(F.sum("length").alias("bytes"))
     return (exp.join(sizes, "artifact", "left")
             .select("artifact", "step", F.col("bytes").isNotNull().alias("exists"),
                     F.round(F.col("bytes") / 1024.0, 1).alias("size_kb")))

@@ -1,4 +1,4 @@
-"""File sources S1–S5 and the S13 fallbacks.
+"""File sources S1–S5.
 
 * S1 ``source_files``: recursive ``*.java`` scan of the projects' source roots, one row per file.
 * S2 ``log_lines``: text lines numbered from 1 *per file*, exact even when a
@@ -6,7 +6,8 @@
   position in split); per-split line counts become offsets through a small
   window over the split table (one row per 128 MB split).
 * S3 lives in ``operators.ddl.pick_ddl`` (path priority per project).
-* S4/S5 JSON and CSV ingest with explicit schemas; a missing path is ``None``.
+* S4/S5 JSON and CSV ingest with explicit schemas; a missing path is ``None``, malformed
+  JSON a side table that makes its project's source absent.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from .. import rules
 
@@ -132,13 +132,46 @@ def ddl_candidates(spark: SparkSession, root: str, project_id: str | None = None
     return df.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("project_id"), "path", "ddl")
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame | None:
-    """JSON with an explicit schema (absent keys → null; malformed
-    records → null fields, PERMISSIVE). A missing path returns ``None``."""
-    try:
-        return spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE").json(path)
-    except AnalysisException:
+class MissingInput(FileNotFoundError):
+    """Q10: an input that a step can't do without is absent."""
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_json_checked(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> tuple[DataFrame, DataFrame] | None:
+    """(rows, corrupt) of JSON with an explicit schema (absent keys → null); ``None`` if
+    nothing is at ``path``. ``corrupt`` (project_id, path, record) holds the records
+    that can't be read; a project with one has no rows, as a tool that loads the
+    project's file in one piece has none. Projects are the ``project_id`` of the schema or of
+    the folders; a corrupt record whose project can't be told counts for the rows
+    without project."""
+    if not existing(spark, [path]):
         return None
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    text = spark.read.option("wholetext", multiline).text(path).select("value", F.col("_metadata.file_path").alias("_file")).filter(F.trim("value") != "")
+    one = F.array(F.from_json("value", full, options))
+    if multiline:  # a file holds one object or a list of them
+        one = F.when(F.ltrim("value").startswith("["), F.coalesce(F.from_json("value", T.ArrayType(full), options), F.array(F.lit(None).cast(full)))).otherwise(one)
+    found = text.select("_file", "value", F.explode(one).alias("r"))
+    folder = F.regexp_extract("_file", "/project_id=([^/]*)/", 1)
+    for _ in range(2):  # the path is encoded, and the folder's name before it
+        folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    own = F.col("r.project_id") if "project_id" in schema.names else F.lit(None).cast("string")
+    project = F.when(F.col("_file").rlike("/project_id=[^/]*/"), F.nullif(folder, F.lit("__HIVE_DEFAULT_PARTITION__"))).otherwise(own)
+    bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
+    corrupt = found.filter(bad).select(project.alias("project_id"), F.col("_file").alias("path"), F.coalesce(f"r.{CORRUPT}", "value").alias("record"))
+    lost = corrupt.select(F.struct("project_id").alias("_project")).distinct()
+    rows = (found.filter(~bad).withColumn("_project", F.struct(project.alias("project_id"))).join(lost, "_project", "left_anti")
+            .select(*[F.col("_project.project_id") if c == "project_id" else F.col(f"r.{c}") for c in schema.names]))
+    return rows, corrupt
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame | None:
+    """The rows of ``read_json_checked``."""
+    found = read_json_checked(spark, path, schema, multiline)
+    return found[0] if found is not None else None
 
 
 MATRIX_CSV_SCHEMA = T.StructType(
@@ -148,11 +181,11 @@ MATRIX_CSV_SCHEMA = T.StructType(
 
 def read_matrix_csv(spark: SparkSession, path: str, project_id: str = "default") -> DataFrame | None:
     """The raw feature-matrix CSV. The header is read as data-less schema
-    first, so missing / extra columns can be reported (Q1) before typing."""
-    try:
-        header = spark.read.option("header", True).csv(path).columns
-    except AnalysisException:
+    first, so missing / extra columns can be reported (Q1) before typing. Nothing at
+    ``path`` gives ``None``."""
+    if not existing(spark, [path]):
         return None
+    header = spark.read.option("header", True).csv(path).columns
     fields = {f.name: f for f in MATRIX_CSV_SCHEMA.fields}
     schema = T.StructType([fields.get(c, T.StructField(c, T.StringType())) for c in header])
     df = spark.read.schema(schema).option("header", True).csv(path)
