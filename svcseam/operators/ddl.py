@@ -157,23 +157,3 @@ def schema_summary(tbls: DataFrame, fks: DataFrame) -> DataFrame:
     return (t.join(k, KEY, "left")
             .select(*KEY, "total_tables", F.coalesce("total_fks", F.lit(0)).alias("total_fks"),
                     F.coalesce("inferred_fks", F.lit(0)).alias("inferred_fks"), "table_names"))
-
-
-def fallback_schema(project_ids: DataFrame):
-    """The built-in 6-table schema for projects without DDL, flagged
-    ``simulated``. Returns (columns, foreign_keys)."""
-    col_rows = []
-    for tpos, (t, cols) in enumerate(rules.FALLBACK_TABLES):
-        for ordinal, (n, ty, nullable, pk) in enumerate(cols):
-            col_rows.append(F.struct(F.lit(t).alias("table_name"), F.lit(tpos).alias("table_pos"),
-                                     F.lit(ordinal).alias("ordinal"), F.lit(n).alias("name"),
-                                     F.lit(ty).alias("type"), F.lit(nullable).alias("nullable"),
-                                     F.lit(pk).alias("primary_key")))
-    fk_rows = [F.struct(F.lit(t).alias("from_table"), F.lit(c).alias("column"), F.lit(r).alias("references_table"),
-                        F.lit(rc).alias("references_column"), F.lit(False).alias("inferred"),
-                        F.struct(F.lit(0).alias("k"), F.lit(0).alias("a"), F.lit(i).alias("b")).alias("fk_order"))
-               for i, (c, t, r, rc) in enumerate(rules.FALLBACK_FOREIGN_KEYS)]
-    p = project_ids.select(*KEY).distinct()
-    cols = p.select(*KEY, F.inline(F.array(*col_rows))).withColumn("simulated", F.lit(True))
-    fks = p.select(*KEY, F.inline(F.array(*fk_rows))).withColumn("simulated", F.lit(True))
-    return cols, fks

@@ -117,18 +117,3 @@ def top_k(freq: DataFrame, key: str, k: int = rules.PREVIEW_ROWS) -> DataFrame:
     Spark insert a partial per-partition limit before the shuffle."""
     w = Window.partitionBy(*KEY).orderBy(F.col("n").desc(), F.col(key))
     return freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def fallback_events(spark, project_ids: DataFrame) -> DataFrame:
-    """The built-in simulated log (18 events) for projects without a log,
-    flagged ``simulated`` (the reference does not flag it)."""
-    names = ["type", "method", "endpoint", "resource", "table_name", "operation"]
-    sim = F.array(*[
-        F.struct(F.lit(i + 1).cast("long").alias("line_no"),
-                 *[F.lit(v).cast("string").alias(n) for n, v in zip(names, e)])
-        for i, e in enumerate(rules.FALLBACK_LOG_EVENTS)])
-    return (project_ids.select(*KEY).distinct().select(*KEY, F.inline(sim))
-            .select(*KEY, F.lit("simulated").alias("session_id"), "line_no",
-                    F.when(F.col("type") == "HTTP", 0).otherwise(1).alias("seq"),
-                    "type", "method", "endpoint", "resource", "table_name", "operation",
-                    F.lit(True).alias("simulated")))

@@ -135,24 +135,26 @@ def step_status(issues: DataFrame, projects: DataFrame, steps: Sequence[int] = (
     return per.unionByName(overall)
 
 
-def report_metrics(metrics: dict[str, tuple[int, DataFrame]]) -> DataFrame:
-    """Long ``(project_id, step, metric, value)`` from named one-row-per-
-    project tables ``{metric: (step, df(project_id, value))}``."""
-    out = None
-    for name, (step, df) in metrics.items():
-        part = df.select(*KEY, F.lit(step).alias("step"), F.lit(name).alias("metric"),
-                         F.col("value").cast("double").alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def matrix_facts(matrix: DataFrame, numeric: Sequence[str] = rules.NUMERIC_COLUMNS, threshold: float = rules.CONSTANT_SCALE) -> DataFrame:
+    """Q2, Q3, Q7 and the column statistics of M1 in one aggregate, one row per project:
+    ``n_names``, ``n_distinct`` (more names than distinct ones: duplicates), ``negative``,
+    ``constant`` (compat rule, K13), ``mean_<c>`` and ``std_<c>``."""
+    aggs = [F.count("class_name").alias("n_names"), F.count_distinct("class_name").alias("n_distinct")]
+    for c in numeric:
+        x = F.coalesce(F.col(c), F.lit(0)).cast("double")
+        aggs += [F.avg(x).alias(f"mean_{c}"), F.stddev_pop(x).alias(f"std_{c}"), F.min(c).alias(f"min_{c}")]
+    a = matrix.groupBy(*KEY).agg(*aggs)
 
+    def scale(c):
+        return F.when(F.col(f"std_{c}") > 0, F.col(f"std_{c}")).otherwise(F.lit(1.0))
 
-def stacked_metrics(sources: Sequence[tuple[DataFrame, dict]]) -> DataFrame:
-    """Like ``report_metrics`` from one-row-per-project tables that each hold several
-    metrics: ``[(df, {metric: (step, column)})]``."""
-    out = None
-    for df, metrics in sources:
-        rows = F.array(*[F.struct(F.lit(step).alias("step"), F.lit(name).alias("metric"), value.cast("double").alias("value"))
-                         for name, (step, value) in metrics.items()])
-        part = df.select(*KEY, F.inline(rows))
-        out = part if out is None else out.unionByName(part)
-    return out
+    negative = [F.coalesce(F.col(f"min_{c}") < 0, F.lit(False)) for c in numeric]
+    return a.select(*KEY, "n_names", "n_distinct", *[f"{k}_{c}" for c in numeric for k in ("mean", "std")],
+                    F.exists(F.array(*negative), lambda b: b).alias("negative"),
+                    F.exists(F.array(*[scale(c) < threshold for c in numeric]), lambda b: b).alias("constant"))
+
+
+def zscore_means(z: DataFrame, numeric: Sequence[str] = rules.NUMERIC_COLUMNS, tol: float = rules.MEAN_TOLERANCE) -> DataFrame:
+    """Q6 per project: whether the means of all z-score columns are ≈ 0."""
+    a = z.groupBy(*KEY).agg(*[F.avg(f"num_{c}").alias(c) for c in numeric])
+    return a.select(*KEY, F.forall(F.array(*[F.abs(F.col(c)) < tol for c in numeric]), lambda b: b).alias("mean_ok"))

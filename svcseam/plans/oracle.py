@@ -281,7 +281,32 @@ MAT = _with(LOG_LINES, SCHEMA, CALL_ROWS, MATRIX)
 FEAT = _with(LOG_LINES, SCHEMA, CALL_ROWS, MATRIX, FEATURES)
 
 _FK_COLS = 'project_id, from_table, "column", references_table, references_column, inferred'
-_EDGE_COLS = "project_id, path, from_class, from_package, to_class, method_name, call_type, line_number"
+_EDGE_COLS = "project_id, path, from_class, from_package, to_class, method_name, call_type, line_number, call_idx"
+#: Edges of a plain file come one after the other.
+_PLAIN = "SELECT *, CAST(row_number() OVER (PARTITION BY project_id, path ORDER BY line_number) - 1 AS INTEGER) AS call_idx FROM calls"
+_FLUENT = """
+      SELECT project_id, file AS path, 'Unknown' AS from_class, pkg AS from_package, 'Map<String, ' || to_type || '>' AS to_class,
+             to_var AS method_name, 'autowired' AS call_type, CAST(3 AS INTEGER) AS line_number, CAST(0 AS INTEGER) AS call_idx
+      FROM t WHERE call_type = 'autowired'
+      UNION ALL SELECT project_id, file, from_class, pkg, first_link || '.next(three(four(5)))', 'done', 'method_call', 4, 0
+      FROM t WHERE call_type <> 'autowired'
+      UNION ALL SELECT project_id, file, from_class, pkg, first_link, 'next', 'method_call', 4, 1 FROM t WHERE call_type <> 'autowired'
+      UNION ALL SELECT project_id, file, from_class, pkg, to_var, verb, 'method_call', 4, 2 FROM t WHERE call_type <> 'autowired'
+      UNION ALL SELECT project_id, file, from_class, pkg, 'new ' || to_type || '()', 'go', 'method_call', 7, 3
+      FROM t WHERE call_type <> 'autowired'"""
+_FLUENT_ROWS = """, t AS (
+      SELECT *, regexp_replace(path, '[.]java$', '_') || CAST(line_number AS VARCHAR) || '.java' AS file,
+             'com.shop.p' || CAST(l_suppkey AS VARCHAR) AS pkg, to_var || '.' || verb || '(new ' || to_type || '(1))' AS first_link
+      FROM cr)"""
+#: All generated Java text: the outer link of a chain comes first.
+TEXT = f"{_FLUENT_ROWS}, edges AS (SELECT {_EDGE_COLS} FROM ({_PLAIN}) UNION ALL {_FLUENT})"
+
+
+def _adjacency(src: str, order: str) -> str:
+    return f"""
+      , firsts AS (SELECT project_id, from_class, to_class, min({order}) AS f, count(*) AS n_calls FROM {src} GROUP BY ALL)
+      SELECT project_id, from_class, row_number() OVER (PARTITION BY project_id, from_class ORDER BY f, to_class) AS rank, to_class,
+             n_calls, count(*) OVER (PARTITION BY project_id, from_class) AS n_targets FROM firsts"""
 
 
 def _rank_filter(src: str, cols: str, order: str, k: int = rules.PREVIEW_ROWS) -> str:
@@ -326,25 +351,22 @@ def _pairs(vec: str, doc: str, a: str, b: str, k: int = rules.TOP_PAIRS) -> str:
 
 
 def _issues_sql() -> str:
+    """A check that fails is one issue of its project and step."""
     neg = " OR ".join(f"{c} < 0" for c in rules.NUMERIC_COLUMNS)
-    zs_off = " UNION ALL ".join(
-        f"SELECT project_id, 3 AS step FROM zs GROUP BY project_id HAVING NOT abs(avg(num_{c})) < {rules.MEAN_TOLERANCE}"
-        for c in rules.NUMERIC_COLUMNS)
-    const = " UNION ALL ".join(
-        f"SELECT project_id, 3 AS step FROM matrix GROUP BY project_id HAVING "
+    off = " OR ".join(f"NOT abs(avg(num_{c})) < {rules.MEAN_TOLERANCE}" for c in rules.NUMERIC_COLUMNS)
+    const = " OR ".join(
         f"(CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) > 0 THEN stddev_pop(CAST({c} AS DOUBLE)) ELSE 1.0 END) "
         f"< {rules.CONSTANT_SCALE}" for c in rules.NUMERIC_COLUMNS)
     return f"""
   , named AS (SELECT project_id FROM classes UNION SELECT project_id FROM ddl_scripts
               UNION SELECT 'N' || CAST(n_nationkey AS VARCHAR) FROM nation)
   , issues AS (
-      SELECT project_id, 2 AS step FROM (SELECT project_id, class_name, row_number() OVER (
-          PARTITION BY project_id, class_name ORDER BY class_name) AS o FROM matrix) WHERE o > 1
+      SELECT DISTINCT project_id, 2 AS step FROM (SELECT project_id, class_name FROM matrix GROUP BY ALL HAVING count(*) > 1)
       UNION ALL SELECT project_id, 2 FROM (SELECT project_id FROM matrix GROUP BY project_id HAVING bool_or({neg}))
-      UNION ALL {zs_off}
-      UNION ALL SELECT project_id, 3 FROM classes c WHERE NOT EXISTS (
+      UNION ALL SELECT project_id, 3 FROM (SELECT project_id FROM zs GROUP BY project_id HAVING {off})
+      UNION ALL SELECT DISTINCT project_id, 3 FROM classes c WHERE NOT EXISTS (
           SELECT 1 FROM tfidf t WHERE t.project_id = c.project_id AND t.class_name = c.class_name AND t.value <> 0)
-      UNION ALL {const}
+      UNION ALL SELECT project_id, 3 FROM (SELECT project_id FROM matrix GROUP BY project_id HAVING {const})
       UNION ALL SELECT project_id, 1 FROM ddl_scripts d WHERE NOT EXISTS (
           SELECT 1 FROM classes c WHERE c.project_id = d.project_id)
       UNION ALL SELECT project_id, 1 FROM named d WHERE NOT EXISTS (
@@ -373,10 +395,14 @@ def _report_sql() -> str:
         ("tfidf_tokens", 3, "SELECT project_id, count(DISTINCT token) AS v FROM tfidf GROUP BY ALL"),
         ("composite_features", 3,
          f"SELECT project_id, count(DISTINCT token) + {len(rules.NUMERIC_COLUMNS)} AS v FROM tfidf GROUP BY ALL"),
+        ("weight_numeric", 3, f"SELECT DISTINCT project_id, {rules.W_NUMERIC} AS v FROM tfidf"),
+        ("weight_tfidf", 3, f"SELECT DISTINCT project_id, {rules.W_TFIDF} AS v FROM tfidf"),
     ]
+    named = [f"""SELECT project_id, 1 AS step, 'call_type:' || coalesce(call_type, '?') AS metric, CAST(count(*) AS DOUBLE) AS value FROM calls GROUP BY ALL""",
+             f"""SELECT project_id, 1, 'domain:' || {_TDOMAIN}, CAST(count(*) AS DOUBLE) FROM tbls GROUP BY ALL"""]
     return "\n  UNION ALL ".join(
-        f"SELECT project_id, {step} AS step, '{name}' AS metric, CAST(v AS DOUBLE) AS value FROM ({sql})"
-        for name, step, sql in parts)
+        [f"SELECT project_id, {step} AS step, '{name}' AS metric, CAST(v AS DOUBLE) AS value FROM ({sql})"
+         for name, step, sql in parts] + named)
 
 
 PAGES = f"""
@@ -457,37 +483,22 @@ def oracle_sql() -> dict[str, str]:
       LEFT JOIN (SELECT project_id, count(*) AS total_fks, count(*) FILTER (WHERE inferred) AS inferred_fks
                  FROM fks GROUP BY ALL) f USING (project_id)"""
     # -- calls (the oracle for the text job is the structured derivation)
-    q["call_edges"] = CALLS + f"SELECT {_EDGE_COLS} FROM calls"
-    q["call_edges_fluent"] = CALLS + """, t AS (
-      SELECT *, regexp_replace(path, '[.]java$', '_') || CAST(line_number AS VARCHAR) || '.java' AS file,
-             'com.shop.p' || CAST(l_suppkey AS VARCHAR) AS pkg, to_var || '.' || verb || '(new ' || to_type || '(1))' AS first_link
-      FROM cr)
-      SELECT project_id, file AS path, 'Unknown' AS from_class, pkg AS from_package, 'Map<String, ' || to_type || '>' AS to_class,
-             to_var AS method_name, 'autowired' AS call_type, CAST(3 AS INTEGER) AS line_number
-      FROM t WHERE call_type = 'autowired'
-      UNION ALL SELECT project_id, file, from_class, pkg, to_var, verb, 'method_call', 4 FROM t WHERE call_type <> 'autowired'
-      UNION ALL SELECT project_id, file, from_class, pkg, first_link, 'next', 'method_call', 4 FROM t WHERE call_type <> 'autowired'
-      UNION ALL SELECT project_id, file, from_class, pkg, first_link || '.next(three(four(5)))', 'done', 'method_call', 4
-      FROM t WHERE call_type <> 'autowired'
-      UNION ALL SELECT project_id, file, from_class, pkg, 'new ' || to_type || '()', 'go', 'method_call', 7
-      FROM t WHERE call_type <> 'autowired'"""
-    q["injected_edges"] = CALLS + f"SELECT {_EDGE_COLS} FROM calls WHERE call_type = 'autowired'"
-    q["adjacency"] = CALLS + """
-      , firsts AS (SELECT project_id, from_class, to_class, min((path, line_number)) AS f FROM calls GROUP BY ALL)
-      SELECT project_id, from_class, string_agg(to_class, ',' ORDER BY f, to_class) AS targets, count(*) AS n_targets
-      FROM firsts GROUP BY ALL"""
-    q["adjacency_edges"] = CALLS + """
-      SELECT project_id, from_class, to_class, arg_min(path, (path, line_number)) AS first_path,
-             arg_min(line_number, (path, line_number)) AS first_line, count(*) AS n_calls
-      FROM calls GROUP BY ALL"""
+    q["call_edges"] = CALLS + f"SELECT {_EDGE_COLS} FROM ({_PLAIN})"
+    q["call_edges_fluent"] = CALLS + _FLUENT_ROWS + _FLUENT
+    q["injected_edges"] = CALLS + f"SELECT {_EDGE_COLS} FROM ({_PLAIN}) WHERE call_type = 'autowired'"
+    q["adjacency"] = CALLS + TEXT + _adjacency("edges", "(path, call_idx)")
+    q["adjacency_edges"] = CALLS + TEXT + """
+      SELECT project_id, from_class, to_class, arg_min(path, (path, call_idx)) AS first_path,
+             arg_min(line_number, (path, call_idx)) AS first_line, count(*) AS n_calls
+      FROM edges GROUP BY ALL"""
     q["class_list"] = CALLS + "SELECT project_id, class_name FROM classes"
     q["call_summary"] = CALLS + """
       SELECT project_id, count(DISTINCT path) AS total_files, count(DISTINCT path) AS parsed_files,
              CAST(0 AS BIGINT) AS error_files, count(DISTINCT from_class) AS total_classes, count(*) AS total_calls
       FROM calls GROUP BY ALL"""
     q["call_type_histogram"] = CALLS + "SELECT project_id, coalesce(call_type, '?') AS call_type, count(*) AS n FROM calls GROUP BY ALL"
-    q["first_calls"] = CALLS + _rank_filter("calls", "project_id, path, line_number, from_class, to_class, method_name",
-                                            "path, line_number, to_class, method_name")
+    q["first_calls"] = CALLS + TEXT + _rank_filter("edges", "project_id, path, line_number, from_class, to_class, method_name",
+                                                   "path, call_idx")
     q["page_links"] = PAGES + "SELECT * FROM links"
     q["page_link_metrics"] = PAGES + """
       SELECT o.project_id, o.class_name, o.calls_out, CAST(coalesce(i.n, 0) AS BIGINT) AS calls_in, o.deps_unique,
@@ -497,10 +508,7 @@ def oracle_sql() -> dict[str, str]:
             FROM links GROUP BY ALL) o
       LEFT JOIN (SELECT project_id, lower(to_class) AS k, count(*) AS n FROM links GROUP BY ALL) i
         ON i.project_id = o.project_id AND i.k = lower(o.class_name)"""
-    q["page_link_adjacency"] = PAGES + """
-      , firsts AS (SELECT project_id, from_class, to_class, min((path, line_number)) AS f FROM links GROUP BY ALL)
-      SELECT project_id, from_class, string_agg(to_class, ',' ORDER BY f, to_class) AS targets, count(*) AS n_targets
-      FROM firsts GROUP BY ALL"""
+    q["page_link_adjacency"] = PAGES + _adjacency("links", "(path, line_number)")
     q["page_resources"] = f"""
       SELECT page_id, regexp_extract(url, {_s(FX.URL_HOST)}, 1) AS project_id,
              regexp_extract(url, {_s(FX.URL_PATH)}, 1) AS path,
@@ -537,7 +545,8 @@ def oracle_sql() -> dict[str, str]:
     q["matrix_by_domain"] = MAT + f"""
       SELECT project_id, domain, class_name, stereotype, coalesce(related_table, {_s(rules.NONE_BY_DOMAIN)}) AS related_table,
              calls_out, calls_in, CASE WHEN has_autowired = 1 THEN {_s(rules.YES)} ELSE {_s(rules.NO)} END AS injected,
-             log_frequency, {_RANK} AS stereotype_rank FROM classified"""
+             log_frequency, {_RANK} AS stereotype_rank,
+             row_number() OVER (PARTITION BY project_id ORDER BY domain, {_RANK}, class_name) AS sheet_row FROM classified"""
     q["classes_by_domain"] = MAT + """
       SELECT project_id, upper(domain) AS domain, class_name,
              count(*) OVER (PARTITION BY project_id, upper(domain)) AS n_classes FROM classified"""

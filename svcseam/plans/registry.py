@@ -185,7 +185,7 @@ def schema_summary(spark, sf):
 
 
 # ---------------------------------------------------------------- calls (C*)
-_EDGE_COLS = ["project_id", "path", "from_class", "from_package", "to_class", "method_name", "call_type", "line_number"]
+_EDGE_COLS = ["project_id", "path", "from_class", "from_package", "to_class", "method_name", "call_type", "line_number", "call_idx"]
 
 
 @query
@@ -205,21 +205,26 @@ def injected_edges(spark, sf):
     return C.injected_edges(_once(spark, sf, from_text=True).edges).select(*_EDGE_COLS)
 
 
+def _text_edges(spark, sf) -> DataFrame:
+    """The edges of all generated Java text: plain files and those with chains."""
+    return C.call_edges(C.parse_sources(FX.source_files(spark, sf).unionByName(FX.fluent_files(spark, sf))))
+
+
 @query
 def adjacency(spark, sf):
-    return C.adjacency(_once(spark, sf).edges).select("project_id", "from_class", _joined("targets"), "n_targets")
+    return C.adjacency(_text_edges(spark, sf))
 
 
 @query
 def adjacency_edges(spark, sf):
-    return C.adjacency_edges(_once(spark, sf).edges).select(
+    return C.adjacency_edges(_text_edges(spark, sf)).select(
         "project_id", "from_class", "to_class", F.col("first.path").alias("first_path"),
         F.col("first.line_number").alias("first_line"), "n_calls")
 
 
 @query
 def class_list(spark, sf):
-    return _once(spark, sf).classes
+    return _once(spark, sf, from_text=True).classes
 
 
 @query
@@ -235,8 +240,8 @@ def call_type_histogram(spark, sf):
 
 @query
 def first_calls(spark, sf):
-    return C.first_calls(_once(spark, sf).edges).select("project_id", "path", "line_number", "from_class",
-                                                     "to_class", "method_name", "rank")
+    return C.first_calls(_text_edges(spark, sf)).select("project_id", "path", "line_number", "from_class",
+                                                        "to_class", "method_name", "rank")
 
 
 @query
@@ -254,8 +259,7 @@ def page_link_metrics(spark, sf):
 @query
 def page_link_adjacency(spark, sf):
     """C7 over the real link graph."""
-    return C.adjacency(FX.page_link_edges(spark, sf)).select("project_id", "from_class", _joined("targets"),
-                                                             "n_targets")
+    return C.adjacency(FX.page_link_edges(spark, sf))
 
 
 @query
@@ -269,7 +273,8 @@ def page_resources(spark, sf):
 # ---------------------------------------------------------------- metrics (A*)
 @query
 def calls_out_in(spark, sf):
-    return _x(spark, sf).call_metrics
+    """A1–A4 from Java text."""
+    return Extraction.from_fixtures(spark, sf, from_text=True).call_metrics
 
 
 @query
@@ -433,26 +438,9 @@ def step_status(spark, sf):
     x = _x(spark, sf)
     projects = (x.classes.select("project_id").unionByName(x.ddl_scripts.select("project_id"))
                 .unionByName(FX.idle_classes(spark, sf).select("project_id")))
-    return Q.step_status(run.issues(x, projects), projects)
+    return run.step_status(x, projects)
 
 
 @query
 def report_metrics(spark, sf):
-    """One aggregate per source, turned into long rows by ``inline``."""
-    x = _x(spark, sf)
-
-    def per_project(df, n="value"):
-        return df.groupBy("project_id").agg(F.count("*").alias(n))
-
-    vocab = M.class_vocabulary(x.classes)
-    width = F.lit(len(rules.NUMERIC_COLUMNS))
-    return Q.stacked_metrics([
-        (per_project(x.classes), {"classes": (1, F.col("value"))}),
-        (per_project(x.edges), {"calls": (1, F.col("value"))}),
-        (per_project(x.tables), {"tables": (1, F.col("value"))}),
-        (per_project(x.foreign_keys), {"foreign_keys": (1, F.col("value"))}),
-        (L.log_totals(x.events), {"http_events": (1, F.col("total_http")), "sql_events": (1, F.col("total_sql"))}),
-        (per_project(x.resource_tables), {"correlated_resources": (1, F.col("value"))}),
-        (per_project(x.matrix), {"matrix_rows": (2, F.col("value")), "numeric_features": (3, width)}),
-        (vocab, {"tfidf_tokens": (3, F.col("n_tokens")), "composite_features": (3, F.col("n_tokens") + width)}),
-    ])
+    return run.report_counts(_x(spark, sf))

@@ -138,51 +138,6 @@ CONSTANT_SCALE = 0.001
 PREVIEW_ROWS = 5
 TOP_PAIRS = 5
 
-# Fallback log events used when a project has no log (type, method, endpoint,
-# resource, table, operation), in order.
-FALLBACK_LOG_EVENTS = [
-    ("HTTP", "GET", "/owners", "owners", None, None),
-    ("SQL", None, None, None, "owners", "SELECT"),
-    ("HTTP", "GET", "/owners/1", "owners", None, None),
-    ("SQL", None, None, None, "owners", "SELECT"),
-    ("SQL", None, None, None, "pets", "SELECT"),
-    ("HTTP", "POST", "/owners/new", "owners", None, None),
-    ("SQL", None, None, None, "owners", "INSERT"),
-    ("HTTP", "GET", "/owners/1/pets/new", "pets", None, None),
-    ("HTTP", "POST", "/owners/1/pets/new", "pets", None, None),
-    ("SQL", None, None, None, "pets", "INSERT"),
-    ("HTTP", "GET", "/owners/1/pets/1/visits/new", "visits", None, None),
-    ("HTTP", "POST", "/owners/1/pets/1/visits/new", "visits", None, None),
-    ("SQL", None, None, None, "visits", "INSERT"),
-    ("HTTP", "GET", "/vets", "vets", None, None),
-    ("SQL", None, None, None, "vets", "SELECT"),
-    ("SQL", None, None, None, "specialties", "SELECT"),
-    ("HTTP", "GET", "/owners?lastName=Davis", "owners", None, None),
-    ("SQL", None, None, None, "owners", "SELECT"),
-]
-
-# Fallback schema used when a project has no DDL script: table -> columns
-# (name, type, nullable, primary_key), then explicit foreign keys
-# (column, from_table, references_table, references_column).
-FALLBACK_TABLES = [
-    ("owners", [("id", "INT", False, True), ("first_name", "VARCHAR", False, False),
-                ("last_name", "VARCHAR", False, False), ("address", "VARCHAR", True, False)]),
-    ("pets", [("id", "INT", False, True), ("name", "VARCHAR", False, False),
-              ("birth_date", "DATE", True, False), ("type_id", "INT", False, False),
-              ("owner_id", "INT", False, False)]),
-    ("vets", [("id", "INT", False, True), ("first_name", "VARCHAR", False, False),
-              ("last_name", "VARCHAR", False, False)]),
-    ("visits", [("id", "INT", False, True), ("pet_id", "INT", False, False),
-                ("visit_date", "DATE", True, False), ("description", "VARCHAR", True, False)]),
-    ("specialties", [("id", "INT", False, True), ("name", "VARCHAR", False, False)]),
-    ("types", [("id", "INT", False, True), ("name", "VARCHAR", False, False)]),
-]
-FALLBACK_FOREIGN_KEYS = [
-    ("owner_id", "pets", "owners", "id"),
-    ("type_id", "pets", "types", "id"),
-    ("pet_id", "visits", "pets", "id"),
-]
-
 # ---------------------------------------------------------------------------
 # end of fixed values
 # ---------------------------------------------------------------------------

@@ -74,14 +74,17 @@ def test_plural_quirk_k7(spark):
     assert [(r.column, r.references_table) for r in fixed] == [("owner_id", "owners")]
 
 
-def test_domains_and_graph_on_fallback(spark):
-    """S13 fallback schema: 6 tables, 3 keys; D8 domains and D9 graph."""
-    proj = spark.createDataFrame([("p",)], "project_id string")
-    cols, fks = D.fallback_schema(proj)
-    tb = cols.groupBy("project_id", "table_name").agg({"table_pos": "min"}).withColumnRenamed("min(table_pos)", "table_pos")
+def test_domains_and_graph(spark):
+    """D8 domains, D9 graph and D10 groups of six tables with three keys."""
+    ddl = "\n".join(f"CREATE TABLE {t} (\n  id INT{c}\n);" for t, c in [
+        ("owners", ""), ("pets", ",\n  owner_id INT,\n  type_id INT,\n  FOREIGN KEY (owner_id) REFERENCES owners(id),\n  FOREIGN KEY (type_id) REFERENCES types(id)"),
+        ("vets", ""), ("visits", ",\n  pet_id INT,\n  FOREIGN KEY (pet_id) REFERENCES pets(id)"), ("specialties", ""), ("types", "")])
+    st = D.statements(spark.createDataFrame([("p", "schema.sql", ddl)], "project_id string, path string, ddl string"))
+    tb = D.tables(st)
     dom = {r.table_name: r.domain for r in D.table_domains(tb).collect()}
     assert dom == {"owners": "owner_pet", "pets": "owner_pet", "vets": "veterinarian", "visits": "appointment",
                    "specialties": "veterinarian", "types": "reference"}
+    fks = D.all_foreign_keys(D.explicit_foreign_keys(st), D.inferred_foreign_keys(D.columns(tb), tb, D.explicit_foreign_keys(st)))
     g = {r.from_table: r.targets for r in D.table_graph(fks).collect()}
     assert g == {"pets": ["owners", "types"], "visits": ["pets"]}
     groups = {r.domain: r.tables for r in D.domain_groups(D.table_domains(tb)).collect()}

@@ -1,6 +1,7 @@
 """M1–M5 on the recorded 14-class golden, and the quality checks Q*."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -77,6 +78,61 @@ def test_nearest_pairs_brute_force(spark, sf_small):
     assert sorted(got) == sorted(exp)
 
 
+def _brute(vecs, k=5):
+    """vecs: {doc: {token: value}} → the k best pairs by (similarity desc, names)."""
+    docs = sorted(vecs)
+    sims = sorted((-round(sum(w * vecs[b].get(t, 0.0) for t, w in vecs[a].items()), 9), a, b) for i, a in enumerate(docs) for b in docs[i + 1:])
+    return [(a, b, -s) for s, a, b in sims[:k]]
+
+
+def _long(spark, vecs, project="p"):
+    return spark.createDataFrame([(project, d, t, float(w)) for d, v in vecs.items() for t, w in v.items()],
+                                 "project_id string, class_name string, token string, value double")
+
+
+def test_ties_on_a_hot_token_cost_few_candidates(spark):
+    """5,000 documents share one token with equal weight: 12.5 million pairs tie."""
+    vecs = {f"d{i:05d}": {"hot": 0.6, f"u{i}": 0.8} for i in range(5000)}
+    v = _long(spark, vecs)
+    got = [(r.class_a, r.class_b, r.similarity) for r in S.nearest_pairs(v).orderBy("rank").collect()]
+    assert got == [("d00000", f"d{i:05d}", 0.36) for i in range(1, 6)]
+    docs = S._doc_vectors(v, "class_name")
+    thr = S.threshold(S._score(S.first_pairs(docs, "class_name", 5), docs, "class_name"), 5)
+    assert S.candidate_pairs(docs, thr, "class_name").count() < 5000
+    # weights that differ a little: impacts, not names, decide
+    vecs = {d: {"hot": 0.3 + int(d[1:]) * 1.37e-5, f"u{d}": 0.5} for d in list(vecs)[:3000]}
+    v = _long(spark, vecs)
+    got = [(r.class_a, r.class_b, r.similarity) for r in S.nearest_pairs(v).orderBy("rank").collect()]
+    assert got == _brute({d: vecs[d] for d in sorted(vecs)[-20:]})
+    docs = S._doc_vectors(v, "class_name")
+    thr = S.threshold(S._score(S.first_pairs(docs, "class_name", 5), docs, "class_name"), 5)
+    assert S.candidate_pairs(docs, thr, "class_name").count() < 5000
+
+
+def test_nearest_pairs_on_many_shapes(spark):
+    """Ties, copies, few shared tokens, too few pairs: all against brute force, in one corpus."""
+    rng = random.Random(4)
+    corpus = {}
+    for p in range(24):
+        n, words = rng.choice([1, 2, 3, 5, 9, 40]), rng.choice([1, 2, 4, 12])
+        vecs = {}
+        for i in range(n):
+            tokens = rng.sample(range(words), rng.randint(1, min(words, 4)))
+            raw = {f"t{t}": rng.choice([1.0, 1.0, 2.0, 3.5]) for t in tokens} | ({f"own{i}": 1.0} if p % 2 else {})
+            norm = math.sqrt(sum(w * w for w in raw.values()))
+            vecs[f"c{rng.randrange(1000):03d}{i}"] = {t: w / norm for t, w in raw.items()}
+        corpus[f"p{p}"] = vecs
+    long = None
+    for p, vecs in corpus.items():
+        part = _long(spark, vecs, p)
+        long = part if long is None else long.unionByName(part)
+    got = {}
+    for r in S.nearest_pairs(long).orderBy("project_id", "rank").collect():
+        got.setdefault(r.project_id, []).append((r.class_a, r.class_b, r.similarity))
+    for p, vecs in corpus.items():
+        assert got.get(p, []) == _brute(vecs), p
+
+
 def test_composite_weights(spark):
     m = _matrix(spark)
     classes = m.select("project_id", "class_name")
@@ -84,8 +140,8 @@ def test_composite_weights(spark):
     row = {r.feature: r.value for r in comp.filter("class_name = 'PetValidator'").collect()}
     assert abs(row["tfidf_validator"] - 0.3 * 0.86334902) < 1e-8
     assert len([k for k in row if k.startswith("num_")]) == 12
-    wide = M.pivot_wide(comp, ["project_id", "class_name"])
-    assert len(wide.columns) == 2 + 12 + 14
+    header = M.wide_rows(comp).filter("lead = 0").collect()
+    assert len(header) == 1 and len(header[0].names) == 12 + 14 and header[0].names == sorted(header[0].names)
 
 
 def test_quality_checks(spark):
@@ -143,8 +199,9 @@ def test_hot_token_does_not_score_all_pairs(spark):
         rest = math.sqrt((1 - w * w) / 2)
         rows += [("p", f"d{i:03d}", "hot", w), ("p", f"d{i:03d}", f"u{i}", rest), ("p", f"d{i:03d}", f"v{i}", rest)]
     v = spark.createDataFrame(rows, "project_id string, class_name string, token string, value double")
-    scored = S._candidate_pairs(v, "class_name", 5, 16, 2)
-    assert 5 <= scored.count() < n  # of n (n - 1) / 2 pairs
+    docs = S._doc_vectors(v, "class_name")
+    thr = S.threshold(S._score(S.first_pairs(docs, "class_name", 5), docs, "class_name"), 5)
+    assert 5 <= S.candidate_pairs(docs, thr, "class_name").count() < n  # of n (n - 1) / 2 pairs
     got = [(r.class_a, r.class_b) for r in S.nearest_pairs(v, k=5).orderBy("rank").collect()]
     hot = {r[1]: r[3] for r in rows if r[2] == "hot"}
     want = sorted(((-round(hot[a] * hot[b], 9), a, b) for a in hot for b in hot if a < b))[:5]

@@ -42,15 +42,20 @@ def test_fixed_update_table(spark):
 
 
 def _golden_events(spark):
-    return L.fallback_events(spark, spark.createDataFrame([("p",)], "project_id string")).drop("simulated")
+    """One line per recorded event."""
+    lines = ["GET /owners", "select * from owners", "GET /owners/1", "select * from owners", "select * from pets", "POST /owners/new",
+             "insert into owners values (1)", "GET /owners/1/pets/new", "POST /owners/1/pets/new", "insert into pets values (1)",
+             "GET /owners/1/pets/1/visits/new", "POST /owners/1/pets/1/visits/new", "insert into visits values (1)", "GET /vets",
+             "select * from vets", "select * from specialties", "GET /owners?lastName=Davis", "select * from owners"]
+    return L.log_events(_lines(spark, lines))
 
 
-def test_fallback_log_golden(spark):
+def test_recorded_log_golden(spark):
     """The 18 recorded events: correlation, counts and totals."""
     ev = _golden_events(spark)
     rtm = L.resource_table_map(L.log_correlation(ev)).orderBy("first_seen").collect()
     assert [(r.resource, r.tables) for r in rtm] == [
-        ("owners", ["owners", "pets"]), ("pets", ["pets"]), ("visits", ["visits"]), ("vets", ["vets", "specialties"])]
+        ("owners", ["owners", "pets", "visits"]), ("vets", ["vets", "specialties"])]
     tf = {r.table_name: r.n for r in L.table_frequency(ev).collect()}
     assert tf == {"owners": 4, "pets": 2, "visits": 1, "vets": 1, "specialties": 1}
     tot = L.log_totals(ev).collect()[0]

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from svcseam.operators import ddl as D
@@ -123,8 +125,8 @@ def test_extract_corpus_and_manifest(spark, tmp_path):
     key = ["project_id", "class_name"]
     again = R.matrix_from_artifacts(spark, out)
     assert again.orderBy(*key).collect() == x.matrix.orderBy(*key).collect()
-    wrong, profile, comp = R.checks_from_matrix_csv(spark, out + "/feature_matrix.csv/project_id=demo", "demo")
-    assert wrong == [] and profile.count() == 12
+    wrong, profile, comp, status = R.checks_from_matrix_csv(spark, out + "/feature_matrix.csv/project_id=demo", "demo")
+    assert wrong == [] and profile.count() == 12 and {(r.step, r.n_issues, r.ok) for r in status.collect()} == {(2, 0, True), (3, 0, True)}
     direct = x.composite.filter("project_id = 'demo'").select(*comp.columns)
     rounded = [F.round(F.col(c), 9).alias(c) if c == "value" else F.col(c) for c in comp.columns]
     assert sorted(map(tuple, comp.select(*rounded).collect()), key=str) == sorted(map(tuple, direct.select(*rounded).collect()), key=str)
@@ -134,6 +136,56 @@ def test_extract_corpus_and_manifest(spark, tmp_path):
     assert listed["feature_matrix.csv"] == "true"
     for member in ("call_summary", "adjacency", "db_tables", "db_domain_groups", "log_resource_tables", "log_totals"):
         assert spark.read.json(f"{out}/{member}.json").count() > 0
-    cols, fks, ev = R.with_fallbacks(x)
-    assert cols.filter("project_id = 'other' AND simulated").select("table_name").distinct().count() == 6
-    assert ev.filter("project_id = 'other'").count() == 18
+
+
+def test_manifest_of_any_folder(spark, tmp_path, monkeypatch):
+    out = tmp_path / "out +%41(1)"
+    os.makedirs(out / "feature_matrix.csv/project_id=p%2Fq")
+    (out / "feature_matrix.csv/project_id=p%2Fq/part-0.csv").write_bytes(b"x" * 2048)
+    (out / "call_graph.json").write_bytes(b"y" * 1024)
+    monkeypatch.chdir(tmp_path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(str(tmp_path)).getFileSystem(spark._jsc.hadoopConfiguration())
+    before = hadoop.getWorkingDirectory()
+    hadoop.setWorkingDirectory(spark._jvm.org.apache.hadoop.fs.Path(str(tmp_path)))
+    try:
+        for at in (str(out), f"file:{out}", f"file://{out}/", out.name):
+            man = {r.artifact: (r.exists, r.size_kb) for r in sinks.manifest(spark, at).collect()}
+            assert man["feature_matrix.csv"] == (True, 2.0) and man["call_graph.json"] == (True, 1.0) and man["tfidf_matrix.csv"] == (False, None), at
+    finally:
+        hadoop.setWorkingDirectory(before)
+    assert not any(r.exists for r in sinks.manifest(spark, str(tmp_path / "nothing")).collect())
+
+
+def test_malformed_artifacts_count_as_absent(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    _corpus(root)
+    out = str(tmp_path / "out")
+    x = R.extract_corpus(spark, root, out)
+    with open(f"{out}/call_graph.json/project_id=demo/torn.json", "w") as f:
+        f.write('{"path": "A.java", "from_class": "Torn", "to_')
+    with open(f"{out}/db_features.json/project_id=demo/torn.json", "w") as f:
+        f.write('{"table_name": 7, "ordinal": "many"}\n')
+    a = R.load_artifacts(spark, out)
+    assert {(r.project_id, r.input) for r in a.corrupt.collect()} == {("demo", "call_graph"), ("demo", "db_features")}
+    assert all("torn.json" in r.path and r.record for r in a.corrupt.collect())
+    assert {r.project_id for r in a.tables["call_graph"].collect()} == {"other"}  # no class named null, no half of a project
+    issues = {(r.project_id, r.input, r.effect) for r in a.missing_inputs(x.classes).collect()}
+    assert {("demo", "call_graph", "stop"), ("demo", "db_features", "issue")} <= issues
+    assert {r.project_id for r in R.matrix_from_artifacts(spark, out).collect()} == {"other"}
+    with pytest.raises(S.MissingInput):
+        R.load_artifacts(spark, str(tmp_path / "nothing"))
+
+
+def test_matrix_sheet_missing_or_with_missing_columns(spark, tmp_path):
+    with pytest.raises(S.MissingInput):
+        R.checks_from_matrix_csv(spark, str(tmp_path / "no.csv"), "p")
+    sheet = tmp_path / "m.csv"
+    sheet.write_text("class_name,calls_out,calls_in,extra\nOwnerController,3,0,x\nOwnerController,-1,2,y\n")
+    wrong, profile, comp, status = R.checks_from_matrix_csv(spark, str(sheet), "p")
+    assert ("db_columns", "missing") in wrong and ("extra", "extra") in wrong and ("calls_out", "missing") not in wrong
+    assert {r.column for r in profile.collect()} == {"calls_out", "calls_in"}
+    # Q1 missing columns, Q2 a repeated name, Q3 a negative minimum
+    assert {(r.step, r.n_issues, r.ok) for r in status.collect()} == {(2, 3, False), (3, 0, True)}
+    sheet.write_text("calls_out\n3\n")
+    with pytest.raises(ValueError, match="class names"):
+        R.checks_from_matrix_csv(spark, str(sheet), "p")
