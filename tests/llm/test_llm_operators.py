@@ -515,7 +515,7 @@ def test_empty_and_odd_tables(spark, odd, none, name):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = Q.QUERIES[name](spark, SF).toPandas()
     want = con.sql(Q.ORACLE[name]).df()
@@ -526,5 +526,5 @@ def test_oracle(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES) == list(range(1, 14))
     assert json.dumps(sorted(Q.ORACLE)) and os.path.exists(SF)
