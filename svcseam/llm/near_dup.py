@@ -43,6 +43,7 @@ THRESHOLD, MISS = 75, 1e-6
 SMALL = 8
 #: Blocks of a family hold about this many shingles (8 bytes each).
 BLOCK_SHINGLES = 1_000_000
+BLOCK_DOCS = 2048
 #: Ids of candidates are broadcast to the scan up to this many (8 bytes each), and shuffled beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -162,6 +163,10 @@ def _to_compare(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small, star
 
 
+def _col(c):
+    return F.col(c) if isinstance(c, str) else c
+
+
 def _families(star: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
     """(doc_id, comp, family, query, qb, tb) for families, documents that large buckets
     connect, that hold several components. Every member outside the family's largest
@@ -170,10 +175,14 @@ def _families(star: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
     docs = kept(family.join(labels.toDF("doc_id", "component"), "doc_id", "left").join(sigs.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
                 .select("doc_id", "family", "n", F.coalesce("component", "doc_id").alias("comp")))
     comps = docs.groupBy("family", "comp").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+
+    def blocks(shingles, rows):  # bounded in shingles and, for short documents, in rows
+        return F.ceil(F.greatest(_col(shingles) / BLOCK_SHINGLES, _col(rows) / BLOCK_DOCS)).cast("int")
+
     largest = (comps.groupBy("family").agg(F.max(F.struct("docs", F.col("comp").alias("main"), F.col("n").alias("main_n"))).alias("m"),
-                                           F.sum("n").alias("all_n"), F.count("*").alias("comps")).where("comps > 1")
-               .select("family", "m.main", F.ceil(F.col("all_n") / BLOCK_SHINGLES).cast("int").alias("tb"),
-                       F.ceil((F.col("all_n") - F.col("m.main_n")) / BLOCK_SHINGLES).cast("int").alias("qb")))
+                                           F.sum("n").alias("all_n"), F.sum("docs").alias("all_docs"), F.count("*").alias("comps")).where("comps > 1")
+               .select("family", "m.main", blocks("all_n", "all_docs").alias("tb"),
+                       blocks(F.col("all_n") - F.col("m.main_n"), F.col("all_docs") - F.col("m.docs")).alias("qb")))
     return docs.join(largest, "family").select("doc_id", "comp", "family", (F.col("comp") != F.col("main")).alias("query"), "qb", "tb")
 
 
@@ -220,7 +229,8 @@ def _compare_blocks(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 def _family_links(families: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components of a family: blocks of queries against blocks of targets, of
-    about ``BLOCK_SHINGLES`` shingles each, so that no task holds a family."""
+    about ``BLOCK_SHINGLES`` shingles and ``BLOCK_DOCS`` documents at most, so that no task
+    holds a family."""
     full = kept(families.join(sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id"))
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -246,15 +256,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prof = kept(profiles(docs))
     full = prof.where("n_shingles > 0 and doc_id is not null")
     groups = kept(full.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    reps = full.join(groups.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi")
+    # Rows of one doc_id are one document: each of its texts counts once, or links multiply.
+    repeated = not full.groupBy("doc_id").count().where("count > 1").isEmpty()
+    once = (lambda df, *key: df.dropDuplicates(["doc_id", *key])) if repeated else (lambda df, *key: df)
+    reps = once(full.join(groups.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi"), "fp")
     rows = reps.select("doc_id", "sig").mapInArrow(_bands, "bucket long, doc_id long")
     rows = kept(rows)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = kept(rows.join(shared.select("bucket"), "bucket"))
     ids = members.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sigs = kept(prof.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig"))
-    sets = kept(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<bigint>"))
+    sigs = kept(once(full.join(ids, "doc_id", "left_semi"), "fp").select("doc_id", "n_shingles", "sig"))
+    sets = kept(once(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<bigint>"), "shingles").where("size(shingles) > 0"))
     small, star = _to_compare(members)
     labels = components(verified_links(small.union(star).distinct(), sigs, sets).toDF("u", "v"))
     rest = _family_links(_families(star, labels, sigs), sigs, sets)

@@ -171,6 +171,29 @@ def test_near_duplicates_in_a_large_family(spark, monkeypatch):
     assert got == reference_components(dict(rows))[0]
 
 
+def test_repeated_rows_are_one_document(spark):
+    """Two near copies a hundred times each: one link, not a hundred million rows."""
+    a = " ".join(f"r{i}" for i in range(80))
+    b = a.replace("r40", "other")
+    rows = [(1, a)] * 100 + [(2, b)] * 100 + [(3, " ".join(f"s{i}" for i in range(50)))] * 3
+    out = near_dup.near_duplicates(frame(spark, rows)).collect()
+    assert len(out) == 203 and {(r.doc_id, r.component_id, r.n_shingles) for r in out} == {(1, 1, 76), (2, 1, 76), (3, 3, 46)}
+
+
+def test_family_blocks_are_bounded_in_rows(spark, monkeypatch):
+    random.seed(6)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(random.randrange(0, 4)):
+            w[random.randrange(len(w))] = f"e{random.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 20)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == reference_components(dict(rows))[0]
+
+
 def test_bayes_bounds():
     need = near_dup.least_matches(0.75, 1e-6)
     assert need == sorted(need) and 0 <= need[0] < 16 and need[-1] < 96  # mean at the threshold is 96 of 128
