@@ -1,7 +1,8 @@
 """Step 2B — DDL scripts → tables, columns, foreign keys, domains.
 
-Input ``ddl_scripts(project_id, path, ddl)``: one row per schema script. The
-regex scan runs per script inside the tasks; everything after it (dedup,
+Input ``ddl_scripts(project_id, path, ddl)``, one row per schema script, or the numbered
+lines of scripts of any size (``statements_of_lines``). The
+regex scan runs per script or chunk inside the tasks; everything after it (dedup,
 inference, graph) is ordinary aggregation and joins keyed by project.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as TX
+from ..session import cut_lineage
 
 KEY = ["project_id"]
 
@@ -42,6 +44,63 @@ def statements(ddl_scripts: DataFrame) -> DataFrame:
                     F.regexp_extract("stmt", rules.CREATE_TABLE_PATTERN, 2).alias("body")))
 
 
+CHUNK_LINES = 4096
+#: After ``);`` with something other than ``(`` before it (a chunk begins after a line's end)
+#: no statement is open, so a script may be cut there.
+_FIRST_CUT = r"(?s)\A(\);|.*?[^(]\);)"
+_AFTER_LAST_CUT = r"(?s)\A(?:.*[^(]|)\);(.*)\z"
+_START = r"(?is)(CREATE\s+TABLE\s+\w+\s*\(.*)\z"
+_PARTIAL = r"(?is)(CREATE(?:\s+TABLE(?:\s+\w+)?)?\s*)\z"
+
+
+def statements_of_lines(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """D1 like ``statements`` for scripts of any size, from their numbered lines
+    ``(project_id, path, line_no, line)``: a script is never in one row.
+
+    Lines are joined to chunks. What lies between a chunk's first and last cut is searched in
+    place; what lies across chunks is stitched: a prefix count of the chunks with a cut names the
+    segment that each chunk's head, tail or (without a cut) whole belongs to, and a
+    segment's pieces are joined in order. Pieces are first shortened to where a statement can
+    begin, so a stitched row is about as long as its statement. Positions are counts of
+    earlier statements, summed over chunks."""
+    script = [*KEY, "path"]
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    chunks = (lines.withColumn("chunk", F.floor(F.col("line_no") / F.lit(chunk_lines)).cast("long")).groupBy(*script, "chunk")
+              .agg(F.concat(text, F.lit("\n")).alias("text"))
+              .withColumn("head", F.regexp_extract("text", _FIRST_CUT, 1)).withColumn("cut", F.col("head") != ""))
+    tail = F.regexp_extract("text", _AFTER_LAST_CUT, 1)
+    chunks = cut_lineage(chunks.withColumn("tail", F.when(F.col("cut"), tail)))  # read for both kinds of matches
+    inside = F.expr("substring(text, length(head) + 1, length(text) - length(head) - length(tail))")
+    found = F.regexp_extract_all(F.col("s"), F.lit(rules.CREATE_TABLE_PATTERN), 0)
+    middle = chunks.filter("cut").select(*script, F.col("chunk").alias("at"), F.lit(1).alias("part"), inside.alias("s"))
+
+    # One row a chunk, without its text: the segment that ends in it or passes through it.
+    earlier = Window.partitionBy(*script).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    segments = chunks.select(*script, "chunk", "cut").withColumn("segment", F.coalesce(F.sum(F.col("cut").cast("long")).over(earlier), F.lit(0)))
+    numbered = chunks.drop("cut").join(segments, [*script, "chunk"])
+    pieces = (numbered.select(*script, "chunk", "segment", F.when(F.col("cut"), F.col("head")).otherwise(F.col("text")).alias("piece"), F.col("cut").alias("ends"))
+              .union(numbered.filter("cut").select(*script, "chunk", F.col("segment") + 1, "tail", F.lit(False))))
+    # One row a piece, without its text: whether a statement may be open before it.
+    blank = F.col("piece").rlike(r"\A\s*\z")
+    seen = (pieces.select(*script, "segment", "chunk", F.when(~blank, F.col("piece").rlike(_START) | F.col("piece").rlike(_PARTIAL)).alias("may")))
+    so_far = Window.partitionBy(*script, "segment").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    opened = seen.select(*script, "segment", "chunk", F.coalesce(F.max("may").over(so_far), F.lit(False)).alias("open"))
+    begin = F.regexp_extract("piece", _START, 1)
+    short = (F.when(F.col("open"), F.col("piece")).when(begin != "", begin).otherwise(F.regexp_extract("piece", _PARTIAL, 1)))
+    stitched = (pieces.join(opened, [*script, "segment", "chunk"]).withColumn("short", short).filter((F.col("short") != "") | F.col("ends"))
+                .groupBy(*script, "segment").agg(F.max("chunk").alias("at"), F.max("ends").alias("ends"),
+                                                 F.sort_array(F.collect_list(F.struct("chunk", "short"))).alias("p"))
+                # before what is inside the chunk that ends it; the script's open end comes last
+                .select(*script, "at", F.when(F.col("ends"), 0).otherwise(2).alias("part"), F.array_join(F.transform("p", lambda x: x["short"]), "").alias("s")))
+    matches = cut_lineage(middle.union(stitched).select(*script, "at", "part", found.alias("m")).filter(F.size("m") > 0))
+    before = Window.partitionBy(*script).orderBy("at", "part").rowsBetween(Window.unboundedPreceding, -1)
+    base = matches.select(*script, "at", "part", F.coalesce(F.sum(F.size("m")).over(before), F.lit(0)).alias("base"))
+    return (matches.join(base, [*script, "at", "part"]).select(*KEY, "base", F.posexplode("m").alias("i", "stmt"))
+            .select(*KEY, (F.col("base") + F.col("i")).cast("int").alias("stmt_pos"),
+                    F.lower(F.regexp_extract("stmt", rules.CREATE_TABLE_PATTERN, 1)).alias("table_name"),
+                    F.regexp_extract("stmt", rules.CREATE_TABLE_PATTERN, 2).alias("body")))
+
+
 def tables(stmts: DataFrame) -> DataFrame:
     """One row per table; a repeated name keeps the *last* body at the
     *first* position (insert-ordered map semantics)."""

@@ -1,7 +1,7 @@
 """The whole extraction as lazily built DataFrames.
 
 ``Extraction`` takes the three evidence sources (call edges or Java text, DDL
-scripts, log lines) and exposes every intermediate table as a property. Each
+scripts or the statements read from them, log lines) and exposes every intermediate table as a property. Each
 property is a lazy DataFrame; Catalyst prunes whatever a consumer does not
 read. Nothing is collected.
 
@@ -31,7 +31,8 @@ from ..sources import fixtures as FX
 class Extraction:
     def __init__(self, log_lines: DataFrame, ddl_scripts: DataFrame, edges: DataFrame,
                  source_files: DataFrame | None = None, bucket_rows: int | None = None,
-                 materialize: bool = True):
+                 materialize: bool = True, statements: DataFrame | None = None):
+        self._statements = statements
         self.log_lines = log_lines
         self._ddl_scripts = ddl_scripts
         self._edges = edges
@@ -82,7 +83,7 @@ class Extraction:
 
     @cached_property
     def statements(self) -> DataFrame:
-        return D.statements(self.ddl_scripts)
+        return self._statements if self._statements is not None else D.statements(self.ddl_scripts)
 
     @cached_property
     def tables(self) -> DataFrame:

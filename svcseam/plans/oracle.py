@@ -562,6 +562,11 @@ def oracle_sql() -> dict[str, str]:
         {zl}
         UNION ALL SELECT project_id, class_name, 'tfidf_' || token, value * {rules.W_TFIDF} FROM tfidf) f
       LEFT JOIN matrix m ON m.project_id = f.project_id AND m.class_name = f.class_name"""
+    names = " UNION ALL ".join(f"SELECT DISTINCT project_id, 'num_{c}' AS f FROM matrix" for c in rules.NUMERIC_COLUMNS)
+    q["wide_sheets"] = FEAT + f"""
+      SELECT project_id, 'class_name,related_table,' || string_agg(f, ',' ORDER BY f) AS header, n_classes
+      FROM ({names} UNION ALL SELECT DISTINCT project_id, 'tfidf_' || token FROM tfidf)
+      JOIN (SELECT project_id, count(*) AS n_classes FROM matrix GROUP BY ALL) USING (project_id) GROUP BY project_id, n_classes"""
     q["nearest_pairs"] = FEAT + _pairs("tfidf", "class_name", "class_a", "class_b")
     q["tfidf_documents"] = DOCS + f"SELECT project_id, doc_id, token, tf, df, {_r('value', 'value')} FROM dv"
     q["nearest_documents"] = DOCS + _pairs("dv", "doc_id", "doc_a", "doc_b").replace("  , docs_", ", docs_", 1)

@@ -8,6 +8,7 @@ kept), doubles are rounded (``+ 0.0`` folds ``-0.0``), and ranks are ints.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from ..operators import matrix as X
 from ..operators import metrics as A
 from ..operators import quality as Q
 from ..operators import similarity as S
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
+from ..sources import wide_csv
 from . import run
 from .extraction import Extraction
 
@@ -348,6 +351,16 @@ def composite_features(spark, sf):
     return _x(spark, sf).composite.select("project_id", "class_name", "related_table", "feature", _r("value"))
 
 
+@query
+def wide_sheets(spark, sf):
+    """The composite sheets as written and read back, the header and the number of classes of each."""
+    path = f"{ensure_checkpoint_dir(spark)}/sheets-{uuid.uuid4().hex}"
+    ids = ["class_name", "related_table"]
+    wide_csv.write_sheets(M.wide_rows(_x(spark, sf).composite, ids), path)
+    head = F.col("value").startswith(",".join(ids) + ",")
+    return (spark.read.text(path).groupBy("project_id").agg(F.max(F.when(head, F.col("value"))).alias("header"), F.count_if(~head).alias("n_classes")))
+
+
 @query
 def nearest_pairs(spark, sf):
     return _x(spark, sf).nearest

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import rules
+from ..operators.ddl import pick_ddl
 
 
 SOURCE_ROOT = "src/main/java"
@@ -85,12 +86,12 @@ def corpus_logs(spark: SparkSession, root: str, glob: str = "*.log") -> DataFram
 
 
 def log_lines(spark: SparkSession, paths: str | list[str], project_id: str | Column | None = None,
-              root: str | None = None, session_per_file: bool = True, glob: str | None = None) -> DataFrame:
+              root: str | None = None, session_per_file: bool = True, glob: str | None = None, line_sep: str | None = None) -> DataFrame:
     """(project_id, session_id, line_no, line), ``line_no`` from 1 per file.
 
     ``session_per_file`` makes each file its own correlation session; False
     gives one session per project (the reference's single-log behaviour)."""
-    reader = spark.read
+    reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
     if glob is not None:  # files matching it at any depth
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     root = qualified(spark, root) if root is not None else None
@@ -132,6 +133,31 @@ def ddl_candidates(spark: SparkSession, root: str, project_id: str | None = None
     return df.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("project_id"), "path", "ddl")
 
 
+def picked_scripts(spark: SparkSession, root: str, project_id: str | None = None, candidates=rules.DDL_CANDIDATES) -> tuple[DataFrame, DataFrame]:
+    """S3 without a size limit: (scripts, lines): the highest-priority script of each project
+    as (project_id, path), and its numbered lines as (project_id, path, line_no, line), read
+    by as many tasks as its size asks for. Paths are those of ``ddl_candidates``."""
+    full = qualified(spark, root)
+    places = existing(spark, [f"{full}/{'' if project_id is not None else '*/'}{c}" for c in candidates])
+    if not places:
+        return (spark.createDataFrame([], "project_id string, path string"),
+                spark.createDataFrame([], "project_id string, path string, line_no long, line string"))
+
+    def named(path: Column) -> tuple[Column, Column]:
+        below = below_root(path, full)
+        if project_id is not None:
+            return F.lit(project_id), F.concat(F.lit(f"{project_id}/"), below)
+        return F.split_part(below, F.lit("/"), F.lit(1)), below
+
+    def columns(path: Column) -> list[Column]:
+        return [c.alias(n) for c, n in zip(named(path), ("project_id", "path"))]
+
+    listed = spark.read.format("binaryFile").load(places).select(*columns(F.col("_metadata.file_path")))  # names only
+    scripts = pick_ddl(listed)
+    lines = log_lines(spark, places, project_id="", line_sep="\n").select(*columns(F.col("session_id")), "line_no", "line")
+    return scripts, lines.join(scripts, ["project_id", "path"], "left_semi")
+
+
 class MissingInput(FileNotFoundError):
     """Q10: an input that a step can't do without is absent."""
 

@@ -1,6 +1,7 @@
 """S1–S12 on a tiny on-disk corpus (tests only; a cluster uses shared storage)."""
 
 import os
+import random
 
 import pytest
 
@@ -75,7 +76,8 @@ def test_roots_relative_encoded_and_without_evidence(spark, tmp_path, monkeypatc
         assert {r.project_id for r in x.source_files.collect()} == {"demo", "other"}
         assert not [r for r in x.source_files.collect() if "ATest" in r.path]
         assert sorted(r.line for r in x.log_lines.collect() if "deep" in r.session_id) == ["GET /deep"]
-        assert [(r.project_id, "owners" in r.ddl) for r in x.ddl_scripts.collect()] == [("demo", True)]
+        assert [(r.project_id, r.path) for r in x.ddl_scripts.collect()] == [("demo", "demo/src/main/resources/schema.sql")]
+        assert "owners" in {r.table_name for r in x.tables.collect()}
     bare = tmp_path / "bare"
     os.makedirs(bare / "p/src/main/java")
     (bare / "p/src/main/java/A.java").write_text("class AService { void f() { repo.go(); } }\n")
@@ -189,3 +191,47 @@ def test_matrix_sheet_missing_or_with_missing_columns(spark, tmp_path):
     sheet.write_text("calls_out\n3\n")
     with pytest.raises(ValueError, match="class names"):
         R.checks_from_matrix_csv(spark, str(sheet), "p")
+
+
+def _script(n, seed):
+    """A script with everything that can lie across a chunk's border."""
+    rng = random.Random(seed)
+    parts = []
+    for i in range(n):
+        kind = rng.randrange(9)
+        cols = ",\n".join(f"  c{j} INT{rng.choice(['', ' NOT NULL', '(3)'])}" for j in range(rng.randrange(1, 30)))
+        if kind < 4:
+            parts.append(f"CREATE TABLE t{rng.randrange(n)} (\n  id INT,\n{cols}\n);")
+        elif kind == 4:  # the start over lines, blank ones too
+            parts.append(f"create\n\n{chr(10) * rng.randrange(12)}table\n  t{i}\n\n(\n{cols}\n);")
+        elif kind == 5:
+            parts.append(f"CREATE TABLE e{i} ();\nINSERT INTO x VALUES (1);")  # an empty body goes on
+        elif kind == 6:
+            parts.append("\n".join(f"ALTER TABLE x ADD c{j}; -- CREATE TABLE" for j in range(rng.randrange(20))))
+        elif kind == 7:
+            parts.append("SELECT now();\n)\n;\n);\r")
+        else:
+            parts.append(f"CREATE TABLE a{i} (id INT); CREATE TABLE b{i} (id INT,\n x INT); CREATE")
+    return "\n".join(parts) + rng.choice(["", "\nCREATE TABLE open (id INT"])
+
+
+def test_scripts_larger_than_a_split(spark, tmp_path):
+    """Small splits and chunks give the statements of the whole text."""
+    root = tmp_path / "c"
+    texts = {f"p{k}": _script(n, k) for k, n in enumerate([0, 1, 5, 40, 400])}
+    for p, t in texts.items():
+        os.makedirs(root / p / "src/main/resources/db/mysql")
+        (root / p / "src/main/resources/schema.sql").write_text(t, newline="")
+        (root / p / "src/main/resources/db/mysql/schema.sql").write_text("CREATE TABLE lower_priority (id INT);")
+    want = D.statements(spark.createDataFrame([(p, "s", t) for p, t in texts.items()], "project_id string, path string, ddl string"))
+    want = sorted((r.project_id, r.stmt_pos, r.table_name, r.body) for r in want.collect())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        scripts, lines = S.picked_scripts(spark, str(root))
+        assert {r.path for r in scripts.collect()} == {f"{p}/src/main/resources/schema.sql" for p in texts}
+        for chunk in (1, 7, 64):
+            got = D.statements_of_lines(lines, chunk)
+            assert sorted((r.project_id, r.stmt_pos, r.table_name, r.body) for r in got.collect()) == want, chunk
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
