@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared_fs import opened
 from . import bpe
 from .elias_fano import EliasFano
 from .elias_fano import encode as ef_encode
@@ -47,13 +47,6 @@ READ_DOCS = 4096
 READ_TOKENS = 1 << 20
 
 
-def opened(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system and the path in it of a URI or a local path."""
-    if "://" not in path and not path.startswith("file:"):
-        return pa.fs.LocalFileSystem(), path
-    return pa.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1).replace("file:///", "file:/", 1).replace("file:/", "file:///", 1))
-
-
 class Writer:
     """One file, written front to back; only a document's length and name are held."""
 
@@ -149,11 +142,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = bpe.VOCABULARY,
     ids are documents each for itself, in the order of their texts' hashes. An id that
     ``width`` bytes can't hold is an error. An empty table gives no file. The special
     token's string in a text is that token, as the library reads it."""
-    if "://" not in folder and not folder.startswith("file:"):
-        pa.fs.LocalFileSystem().create_dir(folder, recursive=True)
-    else:
-        fs, at = opened(folder)
-        fs.create_dir(at, recursive=True)
+    fs, at = opened(folder)
+    fs.create_dir(at, recursive=True)
     order = ["doc_id", "tie", "row"]  # equal rows are told apart by place, so that a partition never needs all of them
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()))
