@@ -33,6 +33,8 @@ from .tables import fold, kept
 from .words import bounds, slices, string_buffers, tokens
 
 FIT_ROWS = 20_000
+#: The fit's dense tables are made for this many rows at a time; they lie in the driver.
+FIT_BLOCK = 4096
 STEMS, VOTERS = 400, 120
 PREFIXES = (4, 5, 6)
 SUPPORT, MIN_Z = 3, 4.0
@@ -130,22 +132,22 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 12) -> tuple
     label; ``label`` is the given label or -1. table[v, y, u] = P(vote v | label y, vote
     of its parent u). The given label enters as a voter whose error is estimated."""
     n, m = votes.shape
-    x = votes.astype(np.float32)
+    blocks = [slice(i, i + FIT_BLOCK) for i in range(0, n, FIT_BLOCK)]
     base = float(label[label >= 0].mean()) if (label >= 0).any() else 0.1
     # Unlabelled rows begin at their label-like votes' mean.
     known = label >= 0
     q = np.where(known, np.where(label == 1, 0.95, 0.02), base)
     if known.any() and not known.all():
-        p1 = (x[label == 1].sum(0) + 0.5) / ((label == 1).sum() + 1)
-        p0 = (x[label == 0].sum(0) + 0.5) / ((label == 0).sum() + 1)
-        z = np.log(base / (1 - base) if 0 < base < 1 else 0.1) + (x @ np.log(p1 / p0) + (1 - x) @ np.log((1 - p1) / (1 - p0))) / np.sqrt(m)
+        p1, p0 = ((_blockwise(lambda b: votes[b][label[b] == k].astype(np.float32).sum(0), blocks) + 0.5) / ((label == k).sum() + 1) for k in (1, 0))
+        z = np.concatenate([_prior_odds(votes[b].astype(np.float32), p1, p0) for b in blocks])
+        z = np.log(base / (1 - base) if 0 < base < 1 else 0.1) + z / np.sqrt(m)
         q = np.where(known, q, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
     parent, error = np.full(m, -1), (0.05, 0.02)
     table = np.zeros((m, 2, 2))
     for step in range(rounds):
         w = np.stack([1 - q, q])
         total = w.sum(1) + 1e-9
-        both = np.stack([(x * w[y][:, None].astype(np.float32)).T @ x for y in (0, 1)]).astype(float)
+        both = _blockwise(lambda b: _joint(votes[b].astype(np.float32), w[:, b]), blocks)
         if step < 4:
             parent = _tree(both, total)
         one = np.array([np.diag(both[y]) for y in (0, 1)])
@@ -162,17 +164,41 @@ def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 12) -> tuple
         prior = np.clip(total[1] / n, 1e-4, 1 - 1e-4)
         if known.any():
             error = tuple(np.clip((w[y][known & (label != y)].sum() + 1) / (w[y][known].sum() + 20), 0.001, 0.3) for y in (0, 1))
-        of = np.where(parent[None, :] >= 0, votes[:, np.maximum(parent, 0)], 0)
-        ll = np.zeros((2, n))
+        ll = np.concatenate([_likelihood(votes[b], parent, table) for b in blocks], axis=1) if n else np.zeros((2, 0))
         for y in (0, 1):
-            p = np.clip(table[np.arange(m)[None, :], y, of], 1e-5, 1 - 1e-5)
-            ll[y] = np.where(votes == 1, np.log(p), np.log(1 - p)).sum(1)
             ll[y] += np.where(known, np.log(np.where(label == y, 1 - error[y], error[y])), 0)
         z = np.log(prior / (1 - prior)) + ll[1] - ll[0]
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return q, parent, table
 
 
+def _blockwise(part, blocks: list[slice]):
+    """The sum of ``part`` over blocks of rows; never are all rows dense at once."""
+    total = part(blocks[0])
+    total = total.astype(float) if len(blocks) > 1 else total
+    for b in blocks[1:]:
+        total += part(b)
+    return total
+
+
+def _prior_odds(x: np.ndarray, p1: np.ndarray, p0: np.ndarray) -> np.ndarray:
+    return x @ np.log(p1 / p0) + (1 - x) @ np.log((1 - p1) / (1 - p0))
+
+
+def _joint(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each label: how often two votes fire together, weighted by the label's posterior."""
+    return np.stack([(x * w[y][:, None].astype(np.float32)).T @ x for y in (0, 1)]).astype(float)
+
+
+def _likelihood(votes: np.ndarray, parent: np.ndarray, table: np.ndarray) -> np.ndarray:
+    of = np.where(parent[None, :] >= 0, votes[:, np.maximum(parent, 0)], 0)
+    ll = np.zeros((2, len(votes)))
+    for y in (0, 1):
+        p = np.clip(table[np.arange(len(parent))[None, :], y, of], 1e-5, 1 - 1e-5)
+        ll[y] = np.where(votes == 1, np.log(p), np.log(1 - p)).sum(1)
+    return ll
+
+
 def _tree(both: np.ndarray, total: np.ndarray) -> np.ndarray:
     """Parents in the maximum spanning tree over mutual information given the label."""
     m = both.shape[1]
@@ -197,17 +223,29 @@ def _tree(both: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def _logistic(r: np.ndarray, f: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, steps: int = 25):
-    x = np.zeros((len(y), width + 1), np.float32)
-    x[r, f] = 1
-    x[:, width] = 1
+    order = np.argsort(r, kind="stable")
+    r, f = r[order], f[order]
+    starts = range(0, len(y), FIT_BLOCK)
+    cut = np.searchsorted(r, [*starts, len(y)])
+    blocks = [(i, slice(cut[j], cut[j + 1])) for j, i in enumerate(starts)]
     w = np.zeros(width + 1)
     penalty = np.full(width + 1, ridge)
     penalty[width] = 1e-3
-    for _ in range(steps):
+
+    def step(block):
+        """Gradient and Hessian of a block of rows, side by side."""
+        i, own = block
+        of = y[i:i + FIT_BLOCK]
+        x = np.zeros((len(of), width + 1), np.float32)
+        x[r[own] - i, f[own]] = 1
+        x[:, width] = 1
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
-        g = x.T @ (p - y).astype(np.float32) + penalty * w
         s = np.maximum(p * (1 - p), 1e-4).astype(np.float32)
-        h = (x * s[:, None]).T @ x + np.diag(penalty)
+        return np.c_[x.T @ (p - of).astype(np.float32), (x * s[:, None]).T @ x]
+
+    for _ in range(steps):
+        both = _blockwise(step, blocks)
+        g, h = both[:, 0] + penalty * w, both[:, 1:] + np.diag(penalty)
         d = np.linalg.solve(h.astype(float), g)
         w -= d
         if np.abs(d).max() < 1e-4:

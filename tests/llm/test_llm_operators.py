@@ -551,3 +551,27 @@ def test_oracle(spark, name):
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in Q.QUERIES) == list(range(1, 14))
     assert json.dumps(sorted(Q.ORACLE)) and os.path.exists(SF)
+
+
+def test_toxicity_fit_makes_no_dense_table_of_all_rows():
+    """The pipeline's driver memory: the fit's tables are dense for a block of rows only, and the sums over blocks agree."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    true = rng.random(40_000) < 0.1
+    votes = (rng.random((40_000, 128)) < np.where(true[:, None], 0.2, 0.02)).astype(np.uint8)
+    label = np.where(rng.random(len(true)) < 0.5, true, -1).astype(int)
+    r, f = np.nonzero(np.c_[votes, votes, votes])
+    tracemalloc.start()
+    q, parent, _ = toxicity.label_model(votes, label)
+    w, b = toxicity._logistic(r, f, q, 384)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 60  # 197 MB before
+    block, toxicity.FIT_BLOCK = toxicity.FIT_BLOCK, len(true)
+    try:
+        q1, parent1, _ = toxicity.label_model(votes, label)
+        w1, b1 = toxicity._logistic(r, f, q, 384)
+    finally:
+        toxicity.FIT_BLOCK = block
+    assert (parent == parent1).all() and np.abs(q - q1).max() < 1e-5 and np.abs(w - w1).max() < 1e-4 and abs(b - b1) < 1e-4
