@@ -74,9 +74,8 @@ def _group_counts(table: pa.Table) -> pa.Table:
     return pa.table([group, projects.take(pa.array(p)), tokens.take(pa.array(code)), pa.array(n)], ["_group", "project_id", "token", "n"])
 
 
-def _weigh(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """(project_id, _doc, token, tf, df, value) of a group: tf * idf, divided by the document's norm, tokens ascending."""
-    names = ["project_id", "_doc", "token", "tf", "df", "value"]
+def _weights(docs: pa.Table, words: pa.Table):
+    """Per entry of a group, by document and token: (row of its document, document, tokens, token code, tf, place in ``words``, value)."""
     first, project, projects, tokens, at, code, tf = _entries(docs)
     size = max(len(tokens), 1)
     key = pc.index_in(words.column("project_id"), projects).to_numpy().astype(np.int64) * size + pc.index_in(words.column("token"), tokens).to_numpy()
@@ -84,16 +83,37 @@ def _weigh(docs: pa.Table, words: pa.Table) -> pa.Table:
     word = order[np.searchsorted(key[order], project[at] * size + code)]
     w = tf * words.column("idf").to_numpy()[word]
     norm = np.sqrt(np.add.reduceat(w * w, np.flatnonzero(np.r_[True, at[1:] != at[:-1]]))) if len(w) else w
-    row = pa.array(first[at])
-    return pa.table([docs.column("project_id").take(row), docs.column("_doc").take(row), tokens.take(pa.array(code)), pa.array(tf),
-                     words.column("df").take(pa.array(word)), pa.array(w / norm[at])], names)
+    return first, at, tokens, code, tf, word, w / norm[at]
 
 
-def tfidf_of_texts(docs: DataFrame, doc_col: str, text_col: str, token_pattern: str, group_chars: int = GROUP_CHARS) -> DataFrame:
-    """``features.tfidf`` for long texts: the same rows (project_id, <doc_col>, token, tf, df, value).
-
-    Rows of one project and id are one document, each counts in n; a row without project has
-    no result. The length of the texts is read first; it gives the number of groups."""
+def _weigh(docs: pa.Table, words: pa.Table) -> pa.Table:
+    """(project_id, _doc, token, tf, df, value) of a group: tf * idf, divided by the document's norm."""
+    first, at, tokens, code, tf, word, value = _weights(docs, words)
+    row = pa.array(first[at])
+    return pa.table([docs.column("project_id").take(row), docs.column("_doc").take(row), tokens.take(pa.array(code)), pa.array(tf),
+                     words.column("df").take(pa.array(word)), pa.array(value)], ["project_id", "_doc", "token", "tf", "df", "value"])
+
+
+def _weigh_vectors(docs: pa.Table, words: pa.Table) -> pa.Table:
+    """(project_id, _doc, vec, self_dot) of a group: a row per document, vec as ``similarity`` wants it."""
+    first, at, tokens, code, _, word, value = _weights(docs, words)
+    df = words.column("df").to_numpy()[word]
+    order = np.lexsort((code, df, at))
+    code, df, value = code[order], df[order], value[order]
+    cut = np.r_[0, np.cumsum(np.bincount(at, minlength=len(first)))]
+    rest, dot = np.zeros(len(value)), np.zeros(len(first))
+    for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])):  # a document's own sums: copies get the same bits
+        after = np.cumsum(value[a:b][::-1] ** 2)
+        rest[a:b - 1] = np.sqrt(after[:-1])[::-1]
+        dot[i] = after[-1]
+    entry = pa.StructArray.from_arrays([pa.array(df), tokens.take(pa.array(code)), pa.array(value), pa.array(rest)], ["df", "token", "value", "rest"])
+    row = pa.array(first)
+    return pa.table([docs.column("project_id").take(row), docs.column("_doc").take(row), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), entry),
+                     pa.array(dot)], ["project_id", "_doc", "vec", "self_dot"])
+
+
+def _grouped(docs: DataFrame, doc_col: str, text_col: str, token_pattern: str, group_chars: int):
+    """(the groups of documents with those of their words, types of project_id and _doc)."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     kind = f"project_id {kinds['project_id']}, _doc {kinds[doc_col]}"
     groups = int((docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // group_chars) + 1
@@ -106,8 +126,24 @@ def tfidf_of_texts(docs: DataFrame, doc_col: str, text_col: str, token_pattern:
     words = (counted.groupBy("_group").applyInArrow(_group_counts, f"_group int, project_id {kinds['project_id']}, token string, n bigint")
              .withColumn("df", F.sum("n").over(Window.partitionBy("project_id", "token"))).join(n_docs, "project_id")
              .select("_group", "project_id", "token", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")))
-    return (counted.groupBy("_group").cogroup(words.groupBy("_group")).applyInArrow(_weigh, f"{kind}, token string, tf bigint, df bigint, value double")
-            .withColumnRenamed("_doc", doc_col))
+    return counted.groupBy("_group").cogroup(words.groupBy("_group")), kind
+
+
+def tfidf_of_texts(docs: DataFrame, doc_col: str, text_col: str, token_pattern: str, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """``features.tfidf`` for long texts: the same rows (project_id, <doc_col>, token, tf, df, value).
+
+    Rows of one project and id are one document, each counts in n; a row without project has
+    no result. The length of the texts is read first; it gives the number of groups."""
+    groups, kind = _grouped(docs, doc_col, text_col, token_pattern, group_chars)
+    return groups.applyInArrow(_weigh, f"{kind}, token string, tf bigint, df bigint, value double").withColumnRenamed("_doc", doc_col)
+
+
+def vectors_of_texts(docs: DataFrame, doc_col: str, text_col: str, token_pattern: str, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """The vectors of ``tfidf_of_texts``, a row per document, for ``similarity.nearest_pairs``:
+    (project_id, <doc_col>, vec, self_dot), vec being (df, token, value, rest), rarest token first."""
+    groups, kind = _grouped(docs, doc_col, text_col, token_pattern, group_chars)
+    vec = "vec array<struct<df: bigint, token: string, value: double, rest: double>>"
+    return groups.applyInArrow(_weigh_vectors, f"{kind}, {vec}, self_dot double").withColumnRenamed("_doc", doc_col)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
